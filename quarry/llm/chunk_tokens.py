@@ -167,7 +167,7 @@ def _encode_letters(path: str, words: pa.Array) -> tuple[np.ndarray, np.ndarray]
     ids = np.empty(int(counts.sum()), np.uint32)
     starts = np.cumsum(counts) - counts
     for own, symbols, n in done:
-        ids[_spread(starts[own], n)] = symbols[symbols >= 0]
+        ids[spread(starts[own], n)] = symbols[symbols >= 0]
     return ids, counts
 
 
@@ -197,20 +197,21 @@ def encode_chunks(path: str, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     has = both >= 0
     unit = both[has]
     n_unit = n[unit]
-    out = pool[_spread(starts[unit], n_unit)]
+    out = pool[spread(starts[unit], n_unit)]
     per = np.zeros(len(both), np.int64)
     per[has] = n_unit
     return out, per.reshape(-1, 2).sum(1)
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[i] .. starts[i]+lengths[i]-1 of all i, one after another."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def _split(texts: pa.Array):
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct ASCII-white-space chunks of all texts, the number of each chunk in order, and where each text begins and ends."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     lists = pc.ascii_split_whitespace(texts)
     words = lists.values if lists.offset == 0 else lists.flatten()
@@ -221,7 +222,7 @@ def _split(texts: pa.Array):
 
 def count_tokens(path: str, texts: pa.Array) -> np.ndarray:
     """How many tokens each text has; null counts as empty."""
-    chunks, index, bounds = _split(texts)
+    chunks, index, bounds = split(texts)
     _, per = encode_chunks(path, chunks)
     ends = np.concatenate(([0], np.cumsum(per[index])))
     return ends[bounds[1:]] - ends[bounds[:-1]]
@@ -229,11 +230,11 @@ def count_tokens(path: str, texts: pa.Array) -> np.ndarray:
 
 def encode_texts(path: str, texts: pa.Array, closing: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in order (uint32), with *closing* after each, and where each text ends."""
-    chunks, index, bounds = _split(texts)
+    chunks, index, bounds = split(texts)
     pool, per = encode_chunks(path, chunks)
     starts = np.cumsum(per) - per
     n = per[index]
-    ids = pool[_spread(starts[index], n)]
+    ids = pool[spread(starts[index], n)]
     ends = np.concatenate(([0], np.cumsum(n)))[bounds[1:]]
     if closing is not None:
         ids = np.insert(ids, ends, closing)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import exact_dedup, packing, simhash_dedup, token_counts
+from quarry.llm import exact_dedup, language_id, licenses, mixing, packing, quality, simhash_dedup, token_counts, toxicity, winnowing, words
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,10 +15,43 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "mix.*")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = words.remainder("doc_id", 3) == 1
+    model = language_id.fit(docs.where(~held_out))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = words.remainder("doc_id", 5) == 4
+    model = quality.fit(docs, _table(spark, sf_dir, "labels").where(~held_out))
+    found = quality.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "expected_grade", "tail_probability", "selected")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = words.remainder("doc_id", 4) == 2
+    languages = language_id.fit(docs.where(~held_out), train_docs=5_000, vocabulary=10_000)
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out), languages=languages)
+    found = toxicity.predict(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -26,13 +60,32 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " AND ").alias("licenses"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+QUERIES = (
+    op1_document_fingerprints,
+    op2_source_mixing,
+    op3_language_id,
+    op4_simhash_near_dedup,
+    op5_quality_classifier,
+    op6_toxicity,
+    op7_exact_dedup,
+    op8_best_fit_packing,
+    op9_license_scan,
+    op10_token_counts,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_simhash_near_dedup, op7_exact_dedup, op8_best_fit_packing, op10_token_counts)}
+    return {f.__name__: f for f in QUERIES}
 
 
 SQL = {
