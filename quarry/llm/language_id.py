@@ -140,7 +140,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, *, least: float = 0.5, tex
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
-        labels, shares = shared.value.score(pa.Array.from_pandas(text, pa.string()))
+        labels, shares = shared.value.score(pa.array(text.to_numpy(object), pa.string(), from_pandas=True))
         return pd.Series(np.array([x != UNKNOWN for x in labels], bool) & (shares >= least))
 
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))
