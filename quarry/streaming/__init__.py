@@ -1 +1,2 @@
+"""Structured Streaming operators."""
 
