@@ -23,7 +23,7 @@ UNKNOWN = "und"
 #: Labelled documents that a model is fitted on, at most about.
 TRAIN_DOCS = 20_000
 #: Words kept for each language, the most frequent first.
-VOCABULARY = 40_000
+VOCABULARY = 20_000
 LONGEST = 5
 #: Words that count in full towards a document's score; further ones only sharpen it as their mean.
 EVIDENCE = 24
@@ -45,7 +45,7 @@ class LanguageModel:
                     for i in range(len(shown) - size + 1):
                         grams[size][shown[i : i + size]][k] += weight
         self.words = self._log(vocabulary, n)
-        self.grams = [self._log({g: c for g, c in level.items() if size < 4 or c.sum() > 2}, n) for size, level in enumerate(grams)]
+        self.grams = [self._log({g: c for g, c in level.items() if size < 4 or c.sum() > 4}, n) for size, level in enumerate(grams)]
 
     @staticmethod
     def _log(table: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:

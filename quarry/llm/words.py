@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from quarry.llm import chunk_tokens
 
 
+#: Texts of one pass of a model take at most so many UTF-8 bytes (or are one text): values per word are held for a pass.
+PASS_BYTES = 8 << 20
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo *n*; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(n))
@@ -28,7 +32,7 @@ def sample(labelled: DataFrame, rows: int, key: str) -> DataFrame:
 
 def batches_of_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
     """(first row, end row, distinct chunks, chunk number of each word, where each text's words begin and end) in passes of bounded size."""
-    for a, b in chunk_tokens.slices(texts):
+    for a, b in chunk_tokens.slices(texts, PASS_BYTES):
         names, index, bounds = chunk_tokens.split(texts.slice(a, b - a))
         yield a, b, names.to_pylist(), index, bounds
 
