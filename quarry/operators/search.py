@@ -82,7 +82,7 @@ def page(files: DataFrame, key: str, order: str, limit: int, token: str | None =
             rows = rows.where(later | ((column == value) & same_later))
     ahead = rows.orderBy(*sort_columns(key, order)).limit(limit + 1)
     here = ahead.orderBy(*sort_columns(key, order)).limit(limit)
-    last = here.orderBy(F.col(key).asc_nulls_first() if order == "desc" else F.col(key).desc_nulls_last(), F.col("path").desc()).limit(1)
+    last = here.orderBy(F.col(key).asc_nulls_last() if order == "desc" else F.col(key).desc_nulls_first(), F.col("path").desc()).limit(1)
     more = ahead.agg((F.count("*") > limit).alias("more"))
     body = F.to_json(F.struct(F.lit(key).alias("sort"), F.lit(order).alias("order"), column.alias("value"), "path"), {"ignoreNullFields": "false"})
     return here, last.join(more, F.col("more")).select(F.base64(body.cast("binary")).alias("cursor"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import os
 import re
+import stat
 import tarfile
 import zipfile
 
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 from quarry import schema
 from quarry.functions import scalars, text
 from quarry.operators import lines
+from quarry.runtime import shuffle_partitions, stored
 from quarry.sources import detect, parsers
 
 #: Bytes of a text body that attributes and searches see; and of an archive entry.
@@ -23,34 +26,100 @@ BODY_BYTES = 1 << 20
 ENTRY_BYTES = 8 << 20
 
 
-def walk(spark: SparkSession, *roots: str) -> DataFrame:
-    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, content (read only if used)."""
+LISTED = "path string, name string, root string, size bigint, modified double, is_dir boolean, is_symlink boolean, target_path string, is_broken_symlink boolean"
+
+
+def _list(skip: str, follow: bool):
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for folder, root in zip(pdf["path"], pdf["root"]):
+                try:
+                    entries = sorted(os.scandir(folder), key=lambda e: e.name)
+                except OSError:
+                    continue
+                for e in entries:
+                    if skip and re.match(skip, e.name):
+                        continue
+                    link = e.is_symlink()
+                    try:
+                        seen = e.stat(follow_symlinks=follow or not link)
+                        broken = link and not os.path.exists(e.path)
+                    except OSError:
+                        seen, broken = e.stat(follow_symlinks=False), True
+                    folder_like = stat.S_ISDIR(seen.st_mode)
+                    if folder_like or stat.S_ISREG(seen.st_mode) or (link and not follow) or broken:
+                        rows.append((e.path, e.name, root, seen.st_size, seen.st_mtime, folder_like, link, os.readlink(e.path) if link else "", broken))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in LISTED.split(", ")])
+
+    return run
+
+
+def _read(paths: pd.Series) -> pd.Series:
+    def one(path: str) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return f.read()
+        except OSError:
+            return None
+
+    return pd.Series([one(p) for p in paths], dtype=object)
+
+
+def _glob_test(patterns: list[str], git_dir: bool) -> str:
+    """One expression for all globs over a name; .git is one unless *git_dir*."""
+    globs = [*patterns, *([] if git_dir else [".git"])]
+    return "|".join(f"(?:{fnmatch.translate(g)})" for g in globs)
+
+
+def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False) -> DataFrame:
+    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, content (read only if used).
+
+    Hidden and empty files count.  Folders are listed by the executors, one level
+    a round, so an excluded folder is never entered; they must be mounted where
+    executors run.  Links stay rows of their own unless *follow_symlinks*.
+    """
+    test = _glob_test(list(exclude_globs), git_dir)
+    front = spark.createDataFrame([(r.rstrip("/") or "/", r.rstrip("/") or "/") for r in roots], "path string, root string")
+    found = None
+    while True:
+        level = stored(front.mapInPandas(_list(test, follow_symlinks), LISTED), "listing")
+        here = level.where(~F.col("is_dir"))
+        found = here if found is None else found.unionByName(here)
+        front = level.where("is_dir").select("path", "root").repartition(shuffle_partitions(spark))
+        if level.where("is_dir").isEmpty():
+            break
+    content = F.pandas_udf(_read, "binary")
+    return found.select(
+        "path",
+        "name",
+        F.regexp_replace("path", "/[^/]*$", "").alias("dir"),
+        F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).alias("ext"),
+        "size",
+        F.to_utc_timestamp(F.timestamp_micros((F.col("modified") * 1_000_000).cast("bigint")), F.current_timezone()).cast("timestamp_ntz").alias("mod_time"),
+        F.expr("substring(path, length(root) + 2)").alias("rel"),
+        "is_symlink",
+        "target_path",
+        "is_broken_symlink",
+        content("path").alias("content"),
+    )
+
+
+def walk_store(spark: SparkSession, *roots: str) -> DataFrame:
+    """As walk(), from a store that only Spark reads; its file listing leaves out hidden and empty files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
-    path = F.regexp_replace("path", r"^file:(?://)?(?=/)", "")
-    rel = path
+    rel = F.col("path")
     for root in roots:
-        rel = F.when(path.startswith(root.rstrip("/") + "/"), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20)).otherwise(rel)
-    name = F.element_at(F.split(path, "/"), -1)
-    ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
-    return raw.select(
-        path.alias("path"),
-        name.alias("name"),
-        F.regexp_replace(path, "/[^/]*$", "").alias("dir"),
-        ext.alias("ext"),
-        F.col("length").alias("size"),
-        F.to_utc_timestamp("modificationTime", F.current_timezone()).cast("timestamp_ntz").alias("mod_time"),
-        rel.alias("rel"),
-        "content",
-    )
+        rel = F.when(F.col("path").startswith(root.rstrip("/") + "/"), F.substring("path", len(root.rstrip("/")) + 2, 1 << 20)).otherwise(rel)
+    name = F.element_at(F.split("path", "/"), -1)
+    mod_time = F.to_utc_timestamp("modificationTime", F.current_timezone()).cast("timestamp_ntz")
+    return raw.select("path", name.alias("name"), F.regexp_replace("path", "/[^/]*$", "").alias("dir"), F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1)).alias("ext"), F.col("length").alias("size"), mod_time.alias("mod_time"), rel.alias("rel"), "content")
 
 
 def exclude(files: DataFrame, patterns: list[str], git_dir: bool = False) -> DataFrame:
     """Without files of which any path part below the root matches a glob; .git goes unless *git_dir*."""
-    globs = [*patterns, *([] if git_dir else [".git"])]
-    if not globs:
-        return files
-    test = "|".join(f"(?:{fnmatch.translate(g)})".replace(r"\Z", "").replace(r"\z", "") for g in globs)
-    return files.where(~F.exists(F.split("rel", "/"), lambda p: p.rlike(f"^(?:{test})$")))
+    test = _glob_test(patterns, git_dir).replace(r"\Z", "").replace(r"\z", "")
+    return files.where(~F.exists(F.split("rel", "/"), lambda p: p.rlike(f"^(?:{test})$"))) if test else files
 
 
 def gitignore(files: DataFrame, rules: str) -> DataFrame:
@@ -122,6 +191,7 @@ def attributes(files: DataFrame) -> DataFrame:
             "word_count": F.coalesce("word_count", F.when(has, text.word_count(F.col("body")))),
             "title": F.coalesce("title", F.when(ct == "html", F.nullif(text.html_title(F.col("body")), F.lit("")))),
             "language": F.coalesce("language", language, F.when(ct == "html", F.nullif(text.html_lang(F.col("body")), F.lit("")))),
+            "frontmatter": F.try_parse_json("frontmatter"),
             "json_kind": F.when(ct == "json", text.json_kind(F.col("body"))),
             "root_element": F.when(ct == "xml", text.xml_root(F.col("body"))),
             "license_id": F.when(ct == "repo/license", scalars.license_id(F.col("body"))),
@@ -159,7 +229,7 @@ def _parse(batches):
 
 def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "") -> DataFrame:
     """The whole source: listing, excludes, detection and attributes, ready for any search."""
-    files = exclude(walk(spark, *roots), list(exclude_globs))
+    files = walk(spark, *roots, exclude_globs=list(exclude_globs))
     if ignore_rules:
         files = gitignore(files, ignore_rules)
     return attributes(detected(files)).drop("rel")
