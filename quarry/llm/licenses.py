@@ -115,7 +115,7 @@ def _normal(sentence: Column) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.!?;:])\s+", "$1\n"), r"\s*\n\s*")
+    return F.split(F.regexp_replace(text, r"([.!?;]|(?<![Ii]dentifier):)\s+", "$1\n"), r"\s*\n\s*")
 
 
 def sentence_ids(text: Column) -> Column:
