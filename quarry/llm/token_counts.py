@@ -32,8 +32,8 @@ def tokenizer_digest(path: str) -> str:
 
 
 def content_digest(text):
-    """SHA-256 of the text with ASCII white-space runs as one blank; the tokenizer drops them all the same."""
-    return F.sha2(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ").cast("binary"), 256)
+    """SHA-256 of the text with ASCII white-space runs as one blank, none at the ends; the tokenizer drops them all the same."""
+    return F.sha2(F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")).cast("binary"), 256)
 
 
 def read_cache(spark, cache_dir: str) -> DataFrame:
