@@ -16,6 +16,8 @@ from quarry.runtime import stored
 
 #: Partitions whose open documents meet in one task of the next round.
 FAN_IN = 16
+#: A bin with more free space than this part of it is open even where its partition meets the bound.
+SLACK = 64
 #: Documents that one repacking task takes on average at most; no further merging beyond it.
 REPACK_ROWS = 4_000_000
 
@@ -79,9 +81,9 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
 
 
 def _still_open(bins: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
-    """Which documents the next round gets: of a partition with a gap, all in bins with room; else those in bins at most half full."""
+    """Which documents the next round gets: of a partition with a gap, all in bins with room; else those in bins with room for more than SLACK."""
     gap = len(fill) > lower_bound(sizes, capacity)
-    return fill[bins] < capacity if gap else fill[bins] * 2 <= capacity
+    return fill[bins] < capacity if gap else capacity - fill[bins] > capacity // SLACK
 
 
 def _first_round(path: str, capacity: int, closing: int):
@@ -121,7 +123,7 @@ def _first_round(path: str, capacity: int, closing: int):
 
 
 def _repack(capacity: int, level: int):
-    def again(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         group = int(key[0])
         pdf = pdf.sort_values(["level", "part", "bin", "offset"], kind="stable")
         sizes = pdf["length"].to_numpy()
@@ -144,8 +146,8 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing:
     than *capacity* is cut.  Each partition packs its own documents by best fit
     decreasing and compares its bins with a lower bound from dual feasible
     functions.  Partitions above their bound send the documents of bins with
-    room, and the others those of bins at most half full, to a common task of
-    FAN_IN partitions, which packs them anew and keeps the better packing; that
+    room, and the others those of bins with more than a little, to a common task
+    of FAN_IN partitions, which packs them anew and keeps the better packing; that
     repeats until one task has seen all that is open.  Only ids and lengths
     travel, never texts.
 
