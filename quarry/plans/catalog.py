@@ -107,11 +107,11 @@ def duplicates_exact(spark, d):
 
 def _trees(spark, d):
     rel = docs(spark, d).withColumn("path", F.element_at(F.split("path", "/"), -1))
-    return rel.where(F.col("doc_id") % 2 == 0), rel.where(F.col("doc_id") % 3 == 0)
+    return rel.where("source < 'src15'"), rel.where("source >= 'src15'")
 
 
-_TREES = f"""{FILES}, t AS (SELECT lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, doc_id, sha256(body) AS sha256 FROM files WHERE size > 0),
-    a AS (SELECT path AS path_a, sha256 FROM t WHERE doc_id % 2 = 0), b AS (SELECT path AS path_b, sha256 FROM t WHERE doc_id % 3 = 0)"""
+_TREES = f"""{FILES}, t AS (SELECT lpad(doc_id::VARCHAR, 8, '0') || '.txt' AS path, source, sha256(body) AS sha256 FROM files WHERE size > 0),
+    a AS (SELECT path AS path_a, sha256 FROM t WHERE source < 'src15'), b AS (SELECT path AS path_b, sha256 FROM t WHERE source >= 'src15')"""
 
 
 @query(f"WITH {_TREES} SELECT path_a, sha256, 'only_a' AS status FROM a WHERE sha256 NOT IN (SELECT sha256 FROM b)")
@@ -131,11 +131,11 @@ def diff_union(spark, d):
     return stats.diff(*_trees(spark, d), "union").select("path_a", "path_b", "sha256", "status")
 
 
-@query(f"""WITH {FILES}, t AS (SELECT language, (doc_id // 7)::VARCHAR AS path, sha256(body) AS sha256 FROM files WHERE size > 0)
-    SELECT x.path AS path_a, x.sha256, y.sha256 AS sha256_b FROM t x JOIN t y USING (path) WHERE x.language = 'en' AND y.language = 'de' AND x.sha256 <> y.sha256""")
+@query(f"""WITH {FILES}, t AS (SELECT source, (doc_id // 7)::VARCHAR AS path, sha256(body) AS sha256 FROM files WHERE size > 0)
+    SELECT x.path AS path_a, x.sha256, y.sha256 AS sha256_b FROM t x JOIN t y USING (path) WHERE x.source < 'src15' AND y.source >= 'src15' AND x.sha256 <> y.sha256""")
 def diff_mismatch(spark, d):
     rel = docs(spark, d).withColumn("path", F.expr("cast(doc_id div 7 as string)"))
-    return stats.diff(rel.where("language = 'en'"), rel.where("language = 'de'"), "mismatch").select("path_a", "sha256", "sha256_b")
+    return stats.diff(rel.where("source < 'src15'"), rel.where("source >= 'src15'"), "mismatch").select("path_a", "sha256", "sha256_b")
 
 
 @query(f"WITH {FILES} SELECT path, size FROM files WHERE size < 2000 OR (size = 2000 AND path > 'docs/src3') ORDER BY size DESC, path LIMIT 20")
@@ -266,11 +266,11 @@ def vector_maxsim(spark, d):
     return relevance.best_chunk(_chunks(spark, d), _PROBE).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("""SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE doc_id % 5 = 0) OR sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 7 = 0) AS is_known_good FROM documents""")
+@query("""SELECT doc_id, md5(text) IN (SELECT md5(text) FROM documents WHERE lang = 'de') OR sha256(text) IN (SELECT sha256(text) FROM documents WHERE source = 'src3') AS is_known_good FROM documents""")
 def known_hash_flags(spark, d):
     files = docs(spark, d)
     body = F.col("body").cast("binary")
-    hashes = files.where("doc_id % 5 = 0").select(F.lit("md5").alias("algo"), F.md5(body).alias("hex")).unionByName(files.where("doc_id % 7 = 0").select(F.lit("sha256").alias("algo"), F.sha2(body, 256).alias("hex")))
+    hashes = files.where("language = 'de'").select(F.lit("md5").alias("algo"), F.md5(body).alias("hex")).unionByName(files.where("source = 'src3'").select(F.lit("sha256").alias("algo"), F.sha2(body, 256).alias("hex")))
     return stats.known_flags(files, hashes).select("doc_id", "is_known_good")
 
 
@@ -312,12 +312,12 @@ def complexity_report(spark, d):
     return reports.complexity(rows)
 
 
-@query("""WITH n AS (SELECT o_custkey AS symbol, max(o_orderkey % 31) AS value FROM orders GROUP BY 1), b AS (SELECT o_custkey AS symbol, max(o_orderkey % 29) AS before FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1)
+@query("""WITH n AS (SELECT o_custkey AS symbol, max(o_orderkey % 31) AS value FROM orders GROUP BY 1), b AS (SELECT o_custkey AS symbol, max(o_orderkey % 29) AS before FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
     SELECT symbol, value, before, CASE WHEN value > 15 AND value > coalesce(before, 0) THEN 'fail' WHEN value > 15 THEN 'warn' ELSE 'pass' END AS verdict FROM n LEFT JOIN b USING (symbol)""")
 def review_verdicts(spark, d):
     o = tables.table(spark, d, "orders")
     now = o.select(F.lit("x").alias("path"), F.col("o_custkey").alias("symbol"), (F.col("o_orderkey") % 31).alias("value"))
-    base = o.where("o_orderkey % 2 = 0").select(F.lit("x").alias("path"), F.col("o_custkey").alias("symbol"), (F.col("o_orderkey") % 29).alias("value"))
+    base = o.where("o_orderstatus = 'F'").select(F.lit("x").alias("path"), F.col("o_custkey").alias("symbol"), (F.col("o_orderkey") % 29).alias("value"))
     return reports.review(now, base).drop("path")
 
 
@@ -352,13 +352,12 @@ def graph_dead_code(spark, d):
 
 
 def _site_edges(spark, d):
-    """A call graph of customers: each calls a few others, by arithmetic."""
-    c = tables.table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    n = F.lit(97)
-    return c.where("c_custkey < 400").select((F.col("c_custkey") % n).alias("src"), F.explode(F.array((F.col("c_custkey") * 3 + 1) % n, F.floor(F.col("c_custkey") / 7))).alias("dst")).where("dst < 97 AND src <> dst").distinct()
+    """A call graph of customers by arithmetic: a half and a third of each number call it."""
+    c = tables.table(spark, d, "customer")
+    return c.select(F.explode(F.array(F.expr("c_custkey div 2"), F.expr("c_custkey div 3"))).alias("src"), F.col("c_custkey").alias("dst")).where("src <> dst").distinct()
 
 
-_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT c_custkey % 97 AS src, unnest([(c_custkey * 3 + 1) % 97, c_custkey // 7]) AS dst FROM customer WHERE c_custkey < 400) WHERE dst < 97 AND src <> dst)"""
+_EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT unnest([c_custkey // 2, c_custkey // 3]) AS src, c_custkey AS dst FROM customer) WHERE src <> dst)"""
 
 
 @query(f"""WITH {_EDGES}, o AS (SELECT src AS node, count(*) AS ce FROM edges GROUP BY 1), i AS (SELECT dst AS node, count(*) AS ca FROM edges GROUP BY 1)
@@ -381,21 +380,19 @@ def graph_impact(spark, d):
     return graph.impact(_calls(spark, d), "c2")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 5::BIGINT AS symbol, ['5'] AS path, 0 AS depth UNION ALL SELECT dst, list_append(path, dst::VARCHAR), depth + 1 FROM edges JOIN r ON src = symbol WHERE depth < 4 AND NOT list_contains(path, dst::VARCHAR))
-    SELECT array_to_string(path, ' > ') AS path FROM r WHERE symbol = 40 ORDER BY depth, r.path LIMIT 1""")
+@query(f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 1::BIGINT AS symbol, ['1'] AS path, 0 AS depth UNION ALL SELECT dst, list_append(path, dst::VARCHAR), depth + 1 FROM edges JOIN r ON src = symbol WHERE depth < 8)
+    SELECT array_to_string(path, ' > ') AS path FROM r WHERE symbol = 100 ORDER BY depth, r.path LIMIT 1""")
 def graph_call_path(spark, d):
     edges = _site_edges(spark, d).select(F.col("src").cast("string").alias("caller"), F.col("dst").cast("string").alias("callee"))
-    return graph.call_path(edges, "5", "40")
+    return graph.call_path(edges, "1", "100")
 
 
-_CYCLE_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT c_custkey AS src, CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END AS dst FROM customer WHERE c_custkey < 120 AND c_custkey % 3 <> 0
-    UNION ALL SELECT c_custkey, c_custkey // 2 FROM customer WHERE c_custkey < 120 UNION ALL SELECT c_custkey // 4, c_custkey FROM customer WHERE c_custkey < 40 AND c_custkey % 7 = 0) WHERE src <> dst)"""
+_CYCLE_EDGES = """e AS (SELECT DISTINCT src, dst FROM (SELECT c_custkey AS src, unnest([CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END, c_custkey // 2]) AS dst FROM customer) WHERE src <> dst)"""
 
 
 def _cyclic(spark, d):
-    c = tables.table(spark, d, "customer").where("c_custkey < 120")
-    a = c.where("c_custkey % 3 <> 0").selectExpr("c_custkey AS src", "CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END AS dst")
-    return a.unionByName(c.selectExpr("c_custkey AS src", "c_custkey div 2 AS dst")).unionByName(c.where("c_custkey < 40 AND c_custkey % 7 = 0").selectExpr("c_custkey div 4 AS src", "c_custkey AS dst"))
+    c = tables.table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("src"), F.explode(F.array(F.expr("CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END"), F.expr("c_custkey div 2"))).alias("dst"))
 
 
 @query(f"""WITH RECURSIVE {_CYCLE_EDGES}, r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
@@ -422,11 +419,11 @@ def graph_test_gaps(spark, d):
     return graph.test_gaps(defs, refs, F.col("path").startswith("test/"))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_partkey % 3 = 0)
+@query("""WITH a AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_size <= 30), b AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_size > 20)
     SELECT *, 'added' AS change FROM (SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL SELECT *, 'removed' FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
 def api_diff(spark, d):
-    p = tables.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("kind"))
-    return stats.api_diff(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"))
+    p = tables.table(spark, d, "part").select("p_size", F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("kind"))
+    return stats.api_diff(p.where("p_size <= 30"), p.where("p_size > 20"))
 
 
 @query(f"""WITH {FILES}, p AS (SELECT * FROM (VALUES ('docs', 'root'), ('docs/src3', 'three'), ('docs/src1/de', 'one')) t(root, kind))
