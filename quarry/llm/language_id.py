@@ -40,13 +40,19 @@ class LanguageModel:
         for k, lang in enumerate(self.languages):
             for word, c in counts[lang].items():
                 vocabulary.setdefault(word, np.zeros(n))[k] += c
-                shown, weight = f"^{word}$", 1 + math.log(c)
+                weight = 1 + math.log(c)
                 for size in range(1, LONGEST + 1):
-                    for i in range(len(shown) - size + 1):
-                        grams[size][shown[i : i + size]][k] += weight
+                    for gram in self._grams(word, size):
+                        grams[size][gram][k] += weight
         self.words = self._log(vocabulary, n)
         self.grams = [self._log({g: c for g, c in level.items() if size < 4 or c.sum() > 4}, n) for size, level in enumerate(grams)]
 
+    @staticmethod
+    def _grams(word: str, size: int) -> list[str]:
+        """The n-grams of a word between marks for its ends; the marks alone are none."""
+        shown = f"^{word}$" if size > 1 else word
+        return [shown[i : i + size] for i in range(len(shown) - size + 1)]
+
     @staticmethod
     def _log(table: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
         if not table or not n:
@@ -58,10 +64,9 @@ class LanguageModel:
         """The word's score for each language, least 0 for the best known one of each."""
         found = self.words.get(word)
         if found is None:
-            shown = f"^{word[:200]}$"
             for size in range(LONGEST, 0, -1):
                 level = self.grams[size]
-                hits = [level[g] for i in range(len(shown) - size + 1) if (g := shown[i : i + size]) in level]
+                hits = [level[g] for g in self._grams(word, size) if g in level]
                 if hits:
                     found = np.mean(hits, axis=0)
                     break
