@@ -13,9 +13,10 @@ with the weights of those that are left: each such phase has a period of its own
 from __future__ import annotations
 
 import heapq
+import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -26,7 +27,7 @@ PERIOD = 1000
 #: Parts of a source that are ranked apart; a source of any size is spread over so many groups.
 SHARDS = 4096
 #: Phases times slots of a period at most: the bound of what is worked out on the driver and broadcast.
-SCHEDULE_ROWS = 2_000_000
+SCHEDULE_ROWS = 200_000
 
 
 def period(shares: list[int]) -> list[tuple[int, int]]:
@@ -89,6 +90,13 @@ def corpus_shares(counts: list[int], temperature: float, slots: int = PERIOD) ->
     return shares
 
 
+def _small(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table of few *rows* as a literal of the plan."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ':') for x in schema.split(', '))}>>")))
+
+
 def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """*docs*, each row once, with a struct column ``mix``: target_weight, phase, block, release, deadline, slot, position.
 
@@ -118,9 +126,9 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
         share = [int(shares.get(n, 1)) for n in names]
     found = phases(share, [-(-n // block) for n in counts])
 
-    numbered = spark.createDataFrame([(s, n, share[s] / sum(share)) for s, n in enumerate(names)], "number int, source string, target_weight double")
-    spans = spark.createDataFrame([(s, p, f["first"][s], f["base"], f["period"], len(at)) for p, f in enumerate(found) for s, at in f["at"].items()], "number int, phase int, first long, base long, period long, share long")
-    steps = spark.createDataFrame([(s, p, k, t) for p, f in enumerate(found) for s, at in f["at"].items() for k, t in enumerate(at)], "number int, phase int, step long, at long")
+    numbered = _small(spark, "number int, source string, target_weight double", [(s, n, share[s] / sum(share)) for s, n in enumerate(names)])
+    spans = _small(spark, "number int, phase int, first bigint, base bigint, period bigint, share bigint", [(s, p, f["first"][s], f["base"], f["period"], len(at)) for p, f in enumerate(found) for s, at in f["at"].items()])
+    steps = _small(spark, "number int, phase int, step bigint, at bigint", [(s, p, k, t) for p, f in enumerate(found) for s, at in f["at"].items() for k, t in enumerate(at)])
     # where a source's shards begin among its rows
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     begins = shard_rows.select("source", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
