@@ -130,7 +130,8 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     tested = stored(hashed.withColumn("twice", check(F.col("hash"))).drop("hash"), "tested")
     straight = tested.where(~F.col("twice")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.where("twice")
-    groups = maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size"))
+    # stored, so that the join below stands alone and Spark can split a hot digest's rows
+    groups = stored(maybe.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "row")).alias("stays"), F.count("*").alias("group_size")), "groups")
     settled = maybe.join(groups, "text_sha256").select("doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256")
     return straight.unionByName(settled)
 
