@@ -113,6 +113,8 @@ def near_duplicates(docs: DataFrame, *, distance: int = 3, id_col: str = "doc_id
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     found = linked.join(least, "component").join(degree, "node").select(F.col("node").alias("print"), "component_id", "links")
     known = classes.join(found, "print", "left").select("print", F.coalesce("component_id", "class_id").alias("component_id"), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
+    # stored, so that the join below stands alone and Spark can split a hot fingerprint's rows
+    known = stored(known, "known")
     return prints.join(known, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id", "class_id", "class_size", "links")
 
 
