@@ -7,7 +7,6 @@ five letters, or if none is known of four, and so on down to single letters.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 
 import numpy as np
@@ -30,61 +29,74 @@ EVIDENCE = 24
 
 
 class LanguageModel:
-    """Log frequencies of words and n-grams for each language; plain arrays and dicts, so it can be sent to executors."""
+    """Log frequencies of words and n-grams for each language, in arrays, so it can be sent to executors.
+
+    N-grams are kept by 64-bit keys in order, and looked up for all unknown words
+    of a pass at once.
+    """
 
     def __init__(self, counts: dict[str, dict[str, int]]):
         self.languages = sorted(counts)
-        n = len(self.languages)
-        vocabulary: dict[str, np.ndarray] = {}
-        grams: list[dict[str, np.ndarray]] = [defaultdict(lambda: np.zeros(n)) for _ in range(LONGEST + 1)]
-        for k, lang in enumerate(self.languages):
-            for word, c in counts[lang].items():
-                vocabulary.setdefault(word, np.zeros(n))[k] += c
-                weight = 1 + math.log(c)
-                for size in range(1, LONGEST + 1):
-                    for gram in self._grams(word, size):
-                        grams[size][gram][k] += weight
-        self.words = self._log(vocabulary, n)
-        self.grams = [self._log({g: c for g, c in level.items() if size < 4 or c.sum() > 4}, n) for size, level in enumerate(grams)]
+        names = sorted({w for c in counts.values() for w in c})
+        self.index = {w: i for i, w in enumerate(names)}
+        n = np.array([[counts[lang].get(w, 0) for lang in self.languages] for w in names], float).reshape(len(names), len(self.languages))
+        weight = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0)
+        self.words = self._log(n)
+        self.grams = [self._level(names, weight, size) for size in range(1, LONGEST + 1)]
 
     @staticmethod
-    def _grams(word: str, size: int) -> list[str]:
-        """The n-grams of a word between marks for its ends; the marks alone are none."""
-        shown = f"^{word}$" if size > 1 else word
-        return [shown[i : i + size] for i in range(len(shown) - size + 1)]
+    def _log(n: np.ndarray) -> np.ndarray:
+        return np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n) + 1e-9)).astype(np.float32)
 
     @staticmethod
-    def _log(table: dict[str, np.ndarray], n: int) -> dict[str, np.ndarray]:
-        if not table or not n:
-            return {}
-        total = sum(table.values()) + 0.5 * len(table)
-        return {w: np.log((c + 0.5) / total).astype(np.float32) for w, c in table.items()}
+    def _keys(names: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the n-grams of words between marks for their ends; the marks alone are none."""
+        return words.gram_keys([f"^{w}$" for w in names], size, inner=size == 1)
+
+    def _level(self, names: list[str], weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        keys, number = self._keys(names, size)
+        unique, of = np.unique(keys, return_inverse=True)
+        total = np.zeros((len(unique), weight.shape[1]))
+        np.add.at(total, of, np.repeat(weight, number, axis=0))
+        keep = (total.sum(1) > 4) | (size < 4)
+        return unique[keep], self._log(total[keep])
+
+    def table(self, names: list[str]) -> np.ndarray:
+        """Each word's score for each language, 0 for the best of each, all 0 for a word of unknown letters."""
+        at = np.fromiter((self.index.get(w, -1) for w in names), np.int64, len(names))
+        out = np.zeros((len(names), len(self.languages)), np.float32)
+        if not self.languages:
+            return out
+        out[at >= 0] = self.words[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for size in range(LONGEST, 0, -1):
+            level, scores = self.grams[size - 1]
+            if not len(left) or not len(level):
+                continue
+            keys, number = self._keys([names[i] for i in left], size)
+            place = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            hit = level[place] == keys
+            owner = np.repeat(np.arange(len(left)), number)[hit]
+            found = np.bincount(owner, minlength=len(left))
+            some = found > 0
+            sums = np.column_stack([np.bincount(owner, scores[place[hit], k], len(left)) for k in range(out.shape[1])])
+            out[left[some]] = sums[some] / found[some, None]
+            left = left[~some]
+        return out - out.max(1, keepdims=True)
 
     def word(self, word: str) -> np.ndarray:
-        """The word's score for each language, least 0 for the best known one of each."""
-        found = self.words.get(word)
-        if found is None:
-            for size in range(LONGEST, 0, -1):
-                level = self.grams[size]
-                hits = [level[g] for g in self._grams(word, size) if g in level]
-                if hits:
-                    found = np.mean(hits, axis=0)
-                    break
-            else:
-                return np.zeros(len(self.languages), np.float32)
-        return found - found.max()
+        return self.table([word])[0]
 
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text and its probability; UNKNOWN and 0 without letters or without a language learnt."""
         labels: list[str] = []
         shares = []
         for _, _, names, index, bounds in words.batches_of_words(texts):
+            plain = [(x if x.isalpha() else "".join(filter(str.isalpha, x))).lower() for x in names]
+            some = np.fromiter(map(bool, plain), bool, len(plain))
             table = np.zeros((len(names), len(self.languages) + 1), np.float32)
-            for i, name in enumerate(names):
-                word = name if name.isalpha() else "".join(filter(str.isalpha, name))
-                if word:
-                    table[i, :-1] = self.word(word.lower())
-                    table[i, -1] = 1
+            table[some, :-1] = self.table([x for x in plain if x])
+            table[some, -1] = 1
             total = words.sums(table, index, bounds)
             n, scores = total[:, -1], total[:, :-1]
             if not self.languages:

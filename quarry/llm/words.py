@@ -48,3 +48,24 @@ def sums(values: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarra
 
 def hash32(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_keys(shown: list[str], size: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the *size*-grams of all words one after another, and how many each word has.
+
+    Worked out for all words at once from their code points; with *inner* the
+    first and last character of each word, its marks, are left out.
+    """
+    codes = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, shown), np.int64, len(shown))
+    starts = np.cumsum(length) - length
+    if inner:
+        starts, length = starts + 1, length - 2
+    number = np.maximum(length - size + 1, 0)
+    h = np.zeros(max(len(codes) - size + 1, 0), np.uint64)
+    for k in range(size):
+        h = (h ^ (h >> np.uint64(29))) * _MIX + codes[k : k + len(h)]
+    return (h * _MIX)[chunk_tokens.spread(starts, number)], number
