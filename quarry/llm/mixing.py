@@ -15,23 +15,32 @@ from __future__ import annotations
 import heapq
 import json
 import math
+import uuid
+from array import array
+from bisect import bisect_left
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quarry.runtime import BROADCAST_ROWS, shared_dir
+
 #: Documents of one source in a row.
 BLOCK = 16
 #: Slots of a period when weights come from the corpus, at least.
 PERIOD = 1000
 #: Parts of a source that are ranked apart; a source of any size is spread over so many groups.
 SHARDS = 4096
-#: Phases times slots of a period at most: the bound of what is worked out on the driver and broadcast.
+#: Numbers of the schedule that go into the plan as a literal at most; a longer one is stored as a table, so many at a time.
 SCHEDULE_ROWS = 200_000
 
 
-def period(shares: list[int]) -> list[tuple[int, int]]:
-    """(source number, block number) of each slot of one period of sum(*shares*) slots, by earliest deadline first."""
+def period(shares: list[int], left: list[int] | None = None) -> list[tuple[int, int]]:
+    """(source number, block number) of each slot of one period of sum(*shares*) slots, by earliest deadline first.
+
+    With *left*, the blocks of each source, it ends with the slot in which a source runs out.
+    """
     total = sum(shares)
     release = lambda s, j: j * total // shares[s]
     waiting = [(0, s, 0) for s in range(len(shares))]
@@ -46,37 +55,39 @@ def period(shares: list[int]) -> list[tuple[int, int]]:
         if due <= t:
             raise AssertionError(f"block {j} of source {s} is late")
         slots.append((s, j))
+        if left is not None and j + 1 == left[s]:
+            break
         if j + 1 < shares[s]:
             heapq.heappush(waiting, (release(s, j + 1), s, j + 1))
     return slots
 
 
-def phases(shares: list[int], blocks: list[int]) -> list[dict]:
-    """The phases of a schedule: base slot, slots, period, and for each source in it (first block, share)."""
-    left, base, done, found = list(blocks), 0, [0] * len(blocks), []
+def phases(shares: list[int], blocks: list[int]) -> Iterator[dict]:
+    """The phases of a schedule: base slot, slots, period, the source that runs out, and for each source in it (first block, share, slots).
+
+    A source's slots are those of one period, or of the phase where that is shorter.
+    """
+    left, base, done = list(blocks), 0, [0] * len(blocks)
     active = [s for s in range(len(blocks)) if left[s] > 0]
     while active:
         own = [shares[s] for s in active]
         g = math.gcd(*own)
         own = [a // g for a in own]
-        if (len(found) + 1) * sum(own) > SCHEDULE_ROWS:
-            raise ValueError("too many sources or too fine weights; see SCHEDULE_ROWS")
-        slots, total = period(own), sum(own)
-        at: list[list[int]] = [[] for _ in own]
-        for t, (k, _) in enumerate(slots):
+        total = sum(own)
+        at = [array("q") for _ in own]
+        for t, (k, _) in enumerate(period(own, [left[s] for s in active])):
             at[k].append(t)
-        # the slot after the last block of the source that runs out first
-        ends = [((left[s] - 1) // a) * total + at[k][(left[s] - 1) % a] + 1 for k, (s, a) in enumerate(zip(active, own))]
-        length = min(ends)
+        # the slot after the last block of the source that runs out first; one whose slots were not worked out so far runs out later
+        ends = [(((left[s] - 1) // a) * total + at[k][(left[s] - 1) % a] + 1, s) for k, (s, a) in enumerate(zip(active, own)) if (left[s] - 1) % a < len(at[k])]
+        length, ended = min(ends)
         full, rest = divmod(length, total)
-        found.append({"base": base, "length": length, "period": total, "at": {s: at[k] for k, s in enumerate(active)}, "first": {s: done[s] for s in active}})
+        yield {"base": base, "length": length, "period": total, "ended": ended, "first": {s: done[s] for s in active}, "share": dict(zip(active, own)), "at": dict(zip(active, at))}
         for k, (s, a) in enumerate(zip(active, own)):
-            n = full * a + sum(t < rest for t in at[k])
+            n = full * a + bisect_left(at[k], rest)
             left[s] -= n
             done[s] += n
         base += length
         active = [s for s in active if left[s] > 0]
-    return found
 
 
 def corpus_shares(counts: list[int], temperature: float, slots: int = PERIOD) -> list[int]:
@@ -97,6 +108,26 @@ def _small(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ':') for x in schema.split(', '))}>>")))
 
 
+def _schedule(spark: SparkSession, shares: list[int], blocks: list[int]) -> tuple[DataFrame, dict[int, int], int]:
+    """All phases as (number, phase, first, base, period, share, at), the slot of each source's last block, and the number of slots in all at."""
+    schema = "number int, phase int, first bigint, base bigint, period bigint, share bigint, at array<bigint>"
+    rows, held, steps, last, path = [], 0, 0, {}, None
+    for p, f in enumerate(phases(shares, blocks)):
+        last[f["ended"]] = f["base"] + f["length"] - 1
+        for s, at in f["at"].items():
+            if held > SCHEDULE_ROWS:
+                path = path or f"{shared_dir(spark)}/schedule-{uuid.uuid4().hex}"
+                _small(spark, schema, rows).write.mode("append").parquet(path)
+                rows, held = [], 0
+            rows.append((s, p, f["first"][s], f["base"], f["period"], f["share"][s], at.tolist()))
+            held += len(at) + 1
+            steps += len(at)
+    if path is None:
+        return _small(spark, schema, rows), last, steps
+    _small(spark, schema, rows).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path), last, steps
+
+
 def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """*docs*, each row once, with a struct column ``mix``: target_weight, phase, block, release, deadline, slot, position.
 
@@ -112,7 +143,9 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
     for ``mix``, which is replaced.
 
     The driver sees one number per source and per shard of it, and works out one
-    period per phase (SCHEDULE_ROWS slots in all at most).
+    period per phase, or the phase where that is shorter: never more slots than there are
+    blocks, and with weights from the corpus about 25 times the square of the number of
+    sources.  It holds one phase and SCHEDULE_ROWS numbers of the schedule at a time.
     """
     spark, columns = docs.sparkSession, docs.columns
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").alias("id"))
@@ -124,11 +157,11 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
         share = corpus_shares(counts, temperature) if counts else []
     else:
         share = [int(shares.get(n, 1)) for n in names]
-    found = phases(share, [-(-n // block) for n in counts])
+    schedule, last, n_steps = _schedule(spark, share, [-(-n // block) for n in counts])
 
     numbered = _small(spark, "number int, source string, target_weight double", [(s, n, share[s] / sum(share)) for s, n in enumerate(names)])
-    spans = _small(spark, "number int, phase int, first bigint, base bigint, period bigint, share bigint", [(s, p, f["first"][s], f["base"], f["period"], len(at)) for p, f in enumerate(found) for s, at in f["at"].items()])
-    steps = _small(spark, "number int, phase int, step bigint, at bigint", [(s, p, k, t) for p, f in enumerate(found) for s, at in f["at"].items() for k, t in enumerate(at)])
+    spans = schedule.drop("at")
+    steps = schedule.select("number", "phase", F.posexplode("at").alias("step", "at"))
     # where a source's shards begin among its rows
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     begins = shard_rows.select("source", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
@@ -140,20 +173,13 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
     lists = spans.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("phase", "first", "base", "period", "share"))).alias("spans"))
     ranked = ranked.join(F.broadcast(lists), "number").withColumn("span", F.element_at(F.filter("spans", lambda x: x["first"] <= F.col("block")), -1))
     ranked = ranked.withColumn("j", F.col("block") - F.col("span.first")).withColumn("phase", F.col("span.phase")).withColumn("step", F.expr("j % span.share"))
-    ranked = ranked.join(F.broadcast(steps), ["number", "phase", "step"])
+    ranked = ranked.join(F.broadcast(steps) if n_steps <= BROADCAST_ROWS else steps, ["number", "phase", "step"])
     slot = F.expr("span.base + (j div span.share) * span.period + at")
     release = F.expr("span.base + (j * span.period) div span.share")
     deadline = F.expr("span.base + ((j + 1) * span.period + span.share - 1) div span.share")
     ranked = ranked.withColumn("slot", slot).withColumn("release", release).withColumn("deadline", deadline)
     # only a source's last block can be short: its gap moves up all that follow
-    gaps = []
-    for s, n in enumerate(counts):
-        if n % block:
-            j = n // block
-            p = max(p for p, f in enumerate(found) if s in f["at"] and f["first"][s] <= j)
-            f, k = found[p], j - found[p]["first"][s]
-            at = f["at"][s]
-            gaps.append((f["base"] + k // len(at) * f["period"] + at[k % len(at)], block - n % block))
+    gaps = [(last[s], block - n % block) for s, n in enumerate(counts) if n % block]
     missing = F.lit(0).cast("long")
     if gaps:
         pairs = F.array(*(F.struct(F.lit(t).cast("long").alias("t"), F.lit(g).cast("long").alias("g")) for t, g in gaps))

@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, winnowing
 
@@ -164,3 +165,29 @@ def test_license_lines_of_documents(spark, sf):
     got = {r.doc_id: set(r.licenses) - {"All-Rights-Reserved"} for r in licenses.scan(docs).collect()}
     for r in docs.collect():
         assert got[r.doc_id] == {v for k, v in lines.items() if k in r.text}
+
+
+def test_mix_of_several_hundred_sources(spark):
+    """More phases times slots than SCHEDULE_ROWS; every source is in its windows, and within a block of its share in each prefix."""
+    n = 300
+    docs = spark.range(n * 90).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source")).where("doc_id % 7 > 0 or doc_id % 300 < 150")
+    rows = sorted(mixing.mix(docs, block=1).collect(), key=lambda r: r.mix.position)
+    assert [r.mix.position for r in rows] == list(range(docs.count())) and len({r.doc_id for r in rows}) == len(rows)
+    assert all(r.mix.release <= r.mix.slot < r.mix.deadline for r in rows)
+    assert max(r.mix.phase for r in rows) == n - 1
+    done = Counter()
+    first = [r for r in rows if r.mix.phase == 0]
+    weight = {r.source: r.mix.target_weight for r in first}
+    for t, r in enumerate(first):
+        done[r.source] += 1
+        assert abs(done[r.source] - (t + 1) * weight[r.source]) < 1
+        if t % 500 == 0:
+            assert all(abs(done[s] - (t + 1) * w) < 1 for s, w in weight.items())
+
+
+def test_schedule_longer_than_a_literal():
+    """120 near-equal sources with many blocks: over 200,000 slots, each source's blocks all placed."""
+    blocks = [20_000 + 90 * k for k in range(120)]
+    found = list(mixing.phases(mixing.corpus_shares(blocks, 0.5), blocks))
+    assert sum(f["length"] for f in found) == sum(blocks) and len({f["ended"] for f in found}) == 120
+    assert sum(len(at) for f in found for at in f["at"].values()) > mixing.SCHEDULE_ROWS
