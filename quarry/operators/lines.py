@@ -102,10 +102,13 @@ def read_lines(files: DataFrame, start: int = 1, end: int | None = None, most: i
     return rows.select("path", F.size("lines").alias("total_lines"), F.array_join(F.slice("lines", max(start, 1), n), "\n").alias("text"))
 
 
-def chunks(files: DataFrame, size: int = 8192, most: int = 64) -> DataFrame:
-    """(path, chunk_id, start, text): overlapping stretches of *size* characters, an eighth shared, *most* a file."""
+def chunks(files: DataFrame, size: int = 8192, most: int | None = None) -> DataFrame:
+    """(path, chunk_id, start, text): overlapping stretches of *size* characters, an eighth shared, to the end of the text or *most* a file."""
     step = size - size // 8
     n = F.char_length("body")
-    starts = F.sequence(F.lit(0), F.greatest(F.least(F.ceil((n - size) / step).cast("int"), F.lit(most - 1)), F.lit(0)))
+    end = F.ceil((n - size) / step).cast("int")
+    if most is not None:
+        end = F.least(end, F.lit(most - 1))
+    starts = F.sequence(F.lit(0), F.greatest(end, F.lit(0)))
     rows = files.where(n > 0).select("path", "body", F.explode(starts).alias("chunk_id"))
     return rows.select("path", "chunk_id", (F.col("chunk_id") * step).alias("start"), F.substring(F.col("body"), F.col("chunk_id") * step + 1, F.lit(size)).alias("text"))

@@ -164,3 +164,11 @@ def test_debounce_keeps_latest(spark):
     events = spark.createDataFrame(rows, "path string, t string, op string").selectExpr("path", "to_timestamp_ntz(t) ts", "op")
     got = sorted((r.path, r.op, r.events) for r in watch.debounce(events).collect())
     assert got == [("a", "write", 1), ("a", "write", 2), ("b", "create", 1)]
+
+
+def test_chunks_reach_the_end_of_a_long_text(spark):
+    text = "".join(chr(97 + i % 26) for i in range(70_001))
+    rows = sorted(lines.chunks(spark.createDataFrame([("a", text)], "path string, body string"), 1000).collect(), key=lambda r: r.chunk_id)
+    assert [r.start for r in rows] == [875 * k for k in range(len(rows))]
+    assert rows[0].text + "".join(r.text[125:] for r in rows[1:]) == text
+    assert lines.chunks(spark.createDataFrame([("a", text)], "path string, body string"), 1000, 64).count() == 64
