@@ -116,16 +116,18 @@ def churn_owners(files: DataFrame, min_files: int = 1) -> DataFrame:
     return out.select("dir", "files", "authors", F.coalesce("top.author", F.lit("")).alias("top_author"), share.alias("share"), "commits").orderBy("authors", F.col("commits").desc(), "dir")
 
 
-def chat_summary(turns: DataFrame, cap: int = 10_000) -> DataFrame:
-    """Per conversation: message_count, participants (sorted), body of the first *cap* turns as role, tab, text lines.
+def chat_summary(turns: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per conversation: message_count, participants (sorted), body of all turns, or those below *cap*, as role, tab, text lines.
 
-    *turns* has conv_id, turn, role and text.  A conversation of any length is
-    counted in parts; only its first *cap* turns are put together.
+    *turns* has conv_id, turn, role and text.  Turns without a number come last.
+    A conversation of any length is counted in parts; its body is one string, so
+    one task puts it together.
     """
     counted = turns.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("participants"))
-    first = turns.where(F.col("turn") < cap).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    told = turns if cap is None else turns.where(F.col("turn") < cap)
+    first = told.groupBy(F.col("conv_id").alias("__c")).agg(F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("unnumbered"), "turn", "role", "text"))).alias("t"))
     body = F.array_join(F.transform("t", lambda x: F.concat_ws("\t", x["role"], x["text"])), "\n")
-    return counted.join(first.select("conv_id", body.alias("body")), "conv_id", "left")
+    return counted.join(first.select("__c", body.alias("body")), F.col("conv_id").eqNullSafe(F.col("__c")), "left").drop("__c")
 
 
 def nearest_project(files: DataFrame, projects: DataFrame) -> DataFrame:

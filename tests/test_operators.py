@@ -172,3 +172,9 @@ def test_chunks_reach_the_end_of_a_long_text(spark):
     assert [r.start for r in rows] == [875 * k for k in range(len(rows))]
     assert rows[0].text + "".join(r.text[125:] for r in rows[1:]) == text
     assert lines.chunks(spark.createDataFrame([("a", text)], "path string, body string"), 1000, 64).count() == 64
+
+
+def test_chat_body_has_late_and_unnumbered_turns(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 10_000, "user", "late"), (1, None, "system", "none"), (2, None, "user", "b"), (3, 20_000, "user", "c"), (None, 1, "user", "d")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.message_count, r.body) for r in stats.chat_summary(turns).collect()}
+    assert got == {1: (3, "user\ta\nuser\tlate\nsystem\tnone"), 2: (1, "user\tb"), 3: (1, "user\tc"), None: (1, "user\td")}
