@@ -22,7 +22,7 @@ UNKNOWN = "und"
 #: Labelled documents that a model is fitted on, at most about.
 TRAIN_DOCS = 20_000
 #: Words kept for each language, the most frequent first.
-VOCABULARY = 20_000
+VOCABULARY = 40_000
 LONGEST = 5
 #: Words that count in full towards a document's score; further ones only sharpen it as their mean.
 EVIDENCE = 24
@@ -58,7 +58,7 @@ class LanguageModel:
         unique, of = np.unique(keys, return_inverse=True)
         total = np.zeros((len(unique), weight.shape[1]))
         np.add.at(total, of, np.repeat(weight, number, axis=0))
-        keep = (total.sum(1) > 4) | (size < 4)
+        keep = (total.sum(1) > 2) | (size < 4)
         return unique[keep], self._log(total[keep])
 
     def table(self, names: list[str]) -> np.ndarray:

@@ -119,3 +119,12 @@ def test_remainder(spark):
     got = spark.range(50).select("id", words.remainder("id", 3).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 3 for r in got)
     assert spark.createDataFrame([(None,)], "id long").select(F.coalesce(words.remainder("id", 3), F.lit(-1))).first()[0] == 0
+
+
+def test_language_vocabulary_and_grams_are_whole(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = [a + b + c + d for a in letters for b in letters for c in letters for d in "aei"][:30_000]
+    train = spark.createDataFrame([(i, " ".join(names[i * 100 : i * 100 + 100]), "en") for i in range(300)], "doc_id long, text string, lang string")
+    assert set(language_id.fit(train).index) == set(names)
+    rare = language_id.LanguageModel({"de": {"strasse": 5}})
+    assert len(rare.grams[3][0]) == 6 and len(rare.grams[4][0]) == 5
