@@ -46,7 +46,7 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     held_out = words.remainder("doc_id", 4) == 2
-    languages = language_id.fit(docs.where(~held_out), train_docs=5_000, vocabulary=10_000)
+    languages = language_id.fit(docs.where(~held_out))
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~held_out), languages=languages)
     found = toxicity.predict(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -128,3 +128,13 @@ def test_language_vocabulary_and_grams_are_whole(spark):
     assert set(language_id.fit(train).index) == set(names)
     rare = language_id.LanguageModel({"de": {"strasse": 5}})
     assert len(rare.grams[3][0]) == 6 and len(rare.grams[4][0]) == 5
+
+
+def test_toxicity_trains_eight_epochs_with_the_whole_language_model(monkeypatch, spark, sf):
+    texts, toxic = pa.array(["aa bb cc dd", "cc aa", "bb", "bb bb zz"] * 5), np.array([1, 0, 0, 1] * 5)
+    assert np.array_equal(toxicity.ToxicityModel().fit(texts, toxic).out, toxicity.ToxicityModel().fit(texts, toxic, epochs=8).out)
+    asked = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda docs, **options: asked.append(options) or fit(docs, **options))
+    queries.op6_toxicity(spark, sf)
+    assert asked == [{}]
