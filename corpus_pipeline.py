@@ -32,8 +32,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences; each stretch of the mix is packed for itself first."""
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    """The pieces of all documents and their places in sequences, which follow the order of the mix as the stage before stored it."""
+    return packing.pack_documents(mixing.read_order(docs), public_tokenizers.path(TOKENIZER), order=["mix_part", "mix_row"])
 
 
 STAGES = [

@@ -193,3 +193,9 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     """The rows of *docs* in the order of the mix: partitions are stretches of it, each sorted; the columns are those of *docs*."""
     mixed = mix(docs, **options)
     return mixed.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "mix.position").sortWithinPartitions("mix.position").drop("mix")
+
+
+def read_order(docs: DataFrame) -> DataFrame:
+    """*docs*, read from the Parquet files that in_order's rows were written to, with ``mix_part`` and ``mix_row``: sorted by both they are in the order of the mix."""
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
+    return docs.select("*", part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import chunk_tokens
-from quarry.runtime import stored
+from quarry.runtime import shuffle_partitions, stored
 
 #: Partitions whose open documents meet in one task of the next round.
 FAN_IN = 16
@@ -20,6 +20,8 @@ FAN_IN = 16
 SLACK = 64
 #: Documents that one repacking task takes on average at most; no further merging beyond it.
 REPACK_ROWS = 4_000_000
+#: Pieces that are packed together where the order of the documents counts, and how often one may wait for the next stretch.
+STRETCH, CARRY = 512, 4
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PLACED = f"{PIECES}, level int, part bigint, bin bigint, offset bigint, open boolean, pool bigint"
@@ -86,38 +88,72 @@ def _still_open(bins: np.ndarray, fill: np.ndarray, sizes: np.ndarray, capacity:
     return fill[bins] < capacity if gap else capacity - fill[bins] > capacity // SLACK
 
 
+def _pieces(path: str, capacity: int, closing: int, batches):
+    """(doc_id, piece, start, length, ids_crc32) arrays of the documents of *batches*, a slice of them at a time."""
+    for batch in batches:
+        texts = batch.column("text")
+        for a, b in chunk_tokens.slices(texts):
+            ids, ends = chunk_tokens.encode_texts(path, texts.slice(a, b - a), closing)
+            ids = ids.astype("<u4", copy=False)
+            begins = np.concatenate(([0], ends[:-1]))
+            n = -(-(ends - begins) // capacity)
+            row = np.repeat(np.arange(len(n)), n)
+            piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * capacity
+            length = np.minimum((ends - begins)[row] - start, capacity)
+            at = begins[row] + start
+            crc = np.fromiter((zlib.crc32(ids[p:q]) for p, q in zip(at.tolist(), (at + length).tolist())), np.int64, len(at))
+            yield batch.column("doc_id").slice(a, b - a).take(pa.array(row)), piece, start, length, crc
+
+
+def _rows(pieces: tuple, part: int, bins: np.ndarray, offsets: np.ndarray, more: np.ndarray) -> pa.Table:
+    """PLACED rows of level 0."""
+    arrays = [pieces[0], pa.array(pieces[1], pa.int32()), *pieces[2:5], pa.array(np.zeros(len(bins)), pa.int32()), np.full(len(bins), part), bins, offsets, more, np.full(len(bins), part // FAN_IN)]
+    names = [x.split()[0] for x in PLACED.split(", ")]
+    types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.int64()]
+    return pa.table([pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(arrays, types)], names=names)
+
+
+def _joined(several: list[tuple]) -> tuple:
+    return (pa.concat_arrays([x[0] for x in several]), *(np.concatenate(x) for x in list(zip(*several))[1:]))
+
+
 def _first_round(path: str, capacity: int, closing: int):
     def pack(batches):
         part = TaskContext.get().partitionId()
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
-        ids_of, missing = [], []
-        for batch in batches:
-            texts = batch.column("text")
-            for a, b in chunk_tokens.slices(texts):
-                ids, ends = chunk_tokens.encode_texts(path, texts.slice(a, b - a), closing)
-                ids = ids.astype("<u4", copy=False)
-                begins = np.concatenate(([0], ends[:-1]))
-                n = -(-(ends - begins) // capacity)
-                row = np.repeat(np.arange(len(n)), n)
-                piece = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                start = piece * capacity
-                length = np.minimum((ends - begins)[row] - start, capacity)
-                at = begins[row] + start
-                crc = np.fromiter((zlib.crc32(ids[p:q]) for p, q in zip(at.tolist(), (at + length).tolist())), np.int64, len(at))
-                ids_of.append(batch.column("doc_id").slice(a, b - a).take(pa.array(row)))
-                for to, x in zip(columns, (piece, start, length, crc)):
-                    to.append(x)
-        if not ids_of:
+        several = list(_pieces(path, capacity, closing, batches))
+        if not several:
             return
-        piece, start, length, crc = (np.concatenate(x) for x in columns[:4])
-        bins, offsets, fill = best_fit_decreasing(length, capacity)
-        more = _still_open(bins, fill, length, capacity)
-        doc = pa.concat_arrays(ids_of)
-        arrays = [doc, pa.array(piece, pa.int32()), start, length, crc, pa.array(np.zeros(len(bins)), pa.int32()), np.full(len(bins), part), bins, offsets, more, np.full(len(bins), part // FAN_IN)]
-        names = [x.split()[0] for x in PLACED.split(", ")]
-        types = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), *[pa.int64()] * 3, pa.bool_(), pa.int64()]
-        table = pa.table([pa.array(x, t) if isinstance(x, np.ndarray) else x for x, t in zip(arrays, types)], names=names)
-        yield from table.to_batches(max_chunksize=100_000)
+        pieces = _joined(several)
+        bins, offsets, fill = best_fit_decreasing(pieces[3], capacity)
+        yield from _rows(pieces, part, bins, offsets, _still_open(bins, fill, pieces[3], capacity)).to_batches(max_chunksize=100_000)
+
+    return pack
+
+
+def _stretches(path: str, capacity: int, closing: int, stretch: int):
+    """As _first_round, but *stretch* pieces at a time, in order; those of bins with room wait for the next, CARRY times at most."""
+
+    def pack(batches):
+        part, done, held = TaskContext.get().partitionId(), 0, None
+        for several in _pieces(path, capacity, closing, batches):
+            for a in range(0, len(several[1]), stretch):
+                new = (several[0].slice(a, stretch), *(x[a : a + stretch] for x in several[1:]))
+                new = (*new, np.zeros(len(new[1]), np.int64))
+                held = new if held is None else _joined([held, new])
+                bins, offsets, fill = best_fit_decreasing(held[3], capacity)
+                waited = np.zeros(len(fill), np.int64)
+                np.maximum.at(waited, bins, held[5])
+                close = (capacity - fill <= capacity // SLACK) | (waited >= CARRY)
+                go = close[bins]
+                some = tuple(x.filter(pa.array(go)) if isinstance(x, pa.Array) else x[go] for x in held)
+                yield from _rows(some, part, (done + np.cumsum(close) - 1)[bins[go]], offsets[go], np.zeros(int(go.sum()), bool)).to_batches()
+                done += int(close.sum())
+                held = tuple(x.filter(pa.array(~go)) if isinstance(x, pa.Array) else x[~go] for x in held)
+                held[5][:] += 1
+        if held is not None and len(held[1]):
+            bins, offsets, fill = best_fit_decreasing(held[3], capacity)
+            yield from _rows(held, part, done + bins, offsets, _still_open(bins, fill, held[3], capacity)).to_batches()
 
     return pack
 
@@ -139,7 +175,7 @@ def _repack(capacity: int, level: int):
     return again
 
 
-def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing: int = 0, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is the ids of its whole text and then *closing*; only a longer one
@@ -151,11 +187,21 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing:
     repeats until one task has seen all that is open.  Only ids and lengths
     travel, never texts.
 
+    With *order*, columns to sort by, each task packs a range of the documents,
+    STRETCH pieces at a time, and sequence_id rises with the order: pieces that
+    wait for a better fit come up to CARRY stretches later, and those that a task
+    has over at its end follow the FAN_IN (or a power of it) partitions they met in.
+
     A null text is empty (one id), a null doc_id stays null, repeated rows are
     packed each, an empty table gives no rows; other columns are not read.
     """
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    placed = stored(kept.mapInArrow(_first_round(path, capacity, closing), PLACED), "placed")
+    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(order or [])))
+    first = _first_round(path, capacity, closing)
+    if order:
+        by = [f"__{i}" for i in range(len(order))]
+        kept = kept.repartitionByRange(shuffle_partitions(docs.sparkSession), *by).sortWithinPartitions(*by).drop(*by)
+        first = _stretches(path, capacity, closing, STRETCH)
+    placed = stored(kept.mapInArrow(first, PLACED), "placed")
     parts = [placed.where(~F.col("open"))]
     waiting, level = placed.where("open"), 1
     pools, rows = waiting.agg(F.max("pool") + 1, F.count("*")).first()
@@ -170,4 +216,7 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing:
     for part in parts:
         whole = whole.unionByName(part)
     sequence = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("part"), 29) + F.col("bin")
+    if order:
+        last = (F.col("part") + 1) * F.pow(F.lit(FAN_IN), F.col("level")).cast("long") - 1
+        sequence = F.shiftleft(last, 32) + F.shiftleft(F.col("level").cast("long"), 28) + F.col("bin")
     return whole.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")

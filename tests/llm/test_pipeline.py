@@ -46,3 +46,30 @@ def test_stages_keep_columns(spark, sf):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, sf).columns == docs.columns
         assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """Sources of unlike lengths: each prefix of the sequences has every source's share to within 100 of 6,000 documents."""
+    from pyspark.sql import functions as F
+
+    from quarry.llm import packing
+    from quarry.runtime import stored
+
+    monkeypatch.setattr(packing, "STRETCH", 64)
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.repeat(F.lit("word "), (F.lit(20) + (F.col("id") % 3) * 150 + F.col("id") % 17).cast("int")).alias("text"))
+    mixed = stored(corpus_pipeline.mixed_sources(spark, docs, ""), "mixed")
+    rows = corpus_pipeline.packed_sequences(spark, mixed, "").collect()
+    assert sorted(r.doc_id for r in rows) == list(range(6000))
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for x in places.values():
+        x.sort()
+        assert all(a + n <= b for (a, n), (b, _) in zip(x, x[1:])) and sum(x[-1]) <= 2048
+    done = [0, 0, 0]
+    worst = 0
+    for t, r in enumerate(sorted(rows, key=lambda r: (r.sequence_id, r.offset))):
+        done[r.doc_id % 3] += 1
+        worst = max(worst, *(abs(n - (t + 1) / 3) for n in done))
+    total = sum(r.length for r in rows)
+    assert worst <= 100 and len(places) <= -(-total // 2048) * 1.02 + 4
