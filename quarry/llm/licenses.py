@@ -6,6 +6,8 @@ the identifiers found, in order, are then matched by ordered rules.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,15 +105,87 @@ RULES = [
     ("All-Rights-Reserved", ["AllRightsReserved"]),
 ]
 
+# Names that follow "licensed under", and their identifiers.
+_NAMES = {
+    "ApacheNamed": ["apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache 2 0 license", "apache 2 0"],
+    "MITNamed": ["mit license", "mit", "mit license mit"],
+    "BSDNamed": ["bsd license", "bsd"],
+    "BSD3Named": ["bsd 3 clause license", "bsd 3 clause", "3 clause bsd license", "new bsd license", "modified bsd license"],
+    "BSD2Named": ["bsd 2 clause license", "bsd 2 clause", "2 clause bsd license", "simplified bsd license"],
+    "MPL2Named": ["mozilla public license version 2 0", "mozilla public license v 2 0", "mozilla public license 2 0", "mpl 2 0"],
+    "ISCNamed": ["isc license", "isc"],
+    "Boost1Named": ["boost software license version 1 0", "boost software license 1 0", "boost software license", "bsl 1 0"],
+    "CC0Named": ["cc0 1 0", "cc0 1 0 universal", "cc0", "creative commons cc0 1 0 universal"],
+    "UnlicenseNamed": ["unlicense"],
+    "CCByNc4Named": ["cc by nc 4 0", "creative commons attribution noncommercial 4 0 international license"],
+    "CCByNcSa4Named": ["cc by nc sa 4 0", "creative commons attribution noncommercial sharealike 4 0 international license"],
+    "CCBySa4Named": ["cc by sa 4 0"],
+    "CCBy4Named": ["cc by 4 0"],
+}
+_SPDX = {"ISCNamed": "isc", "Boost1Named": "bsl 1 0", "MPL2Named": "mpl 2 0", "CC0Named": "cc0 1 0", "UnlicenseNamed": "unlicense", "CCBy4Named": "cc by 4 0", "CCBySa4Named": "cc by sa 4 0", "CCByNc4Named": "cc by nc 4 0", "CCByNcSa4Named": "cc by nc sa 4 0"}
+# Short name, words of the long one, versions as identifiers and as they are written.
+_GNU = [("GPL", "gnu general public license", {"2": ["2", "2 0"], "3": ["3", "3 0"]}), ("LGPL", "gnu lesser general public license", {"2": ["2", "2 0"], "21": ["2 1"], "3": ["3", "3 0"]}), ("LGPL", "gnu library general public license", {"2": ["2", "2 0"]}), ("AGPL", "gnu affero general public license", {"3": ["3", "3 0"]})]
+_TERMS = "you can redistribute it and or modify it under the terms of the "
+_FSF = " as published by the free software foundation"
+
+
+def _more_sentences() -> dict[str, str]:
+    found = {f"licensed under {name}": i for i, names in _NAMES.items() for name in names}
+    found |= {f"spdx license identifier {name}": i for i, name in _SPDX.items()}
+    found |= {
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+        "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "ISCGrant",
+        "isc license": "ISCTitle",
+        "boost software license version 1 0 august 17th 2003": "Boost1Title",
+        "boost software license version 1 0": "Boost1Title",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "Boost1Grant",
+    }
+    for short, long, versions in _GNU:
+        low = short.lower()
+        found[f"{_TERMS}{long}{_FSF}"] = f"{short}Terms"
+        for v, written in versions.items():
+            for w in written:
+                found[f"either version {w} of the license or at your option any later version"] = f"Either{v}"
+                found[f"{_TERMS}{long} version {w}{_FSF}"] = f"{short}{v}Named"
+                found[f"{_TERMS}{long}{_FSF} version {w} of the license"] = f"{short}{v}Named"
+                found[f"{_TERMS}{long}{_FSF} either version {w} of the license or at your option any later version"] = f"{short}{v}OrLater"
+                for name in (f"{long} version {w}", f"{long} v{w}", f"{long} {w}", f"{low} {w}", f"{low}v{w}", f"{low} v{w}", f"gnu {low} v{w}", f"gnu {low} {w}", f"gnu {low}v{w}", f"gnu {low} version {w}", f"{low} version {w}"):
+                    found |= {f"licensed under {name}": f"{short}{v}Named", f"licensed under {name} only": f"{short}{v}Named"}
+                    found |= {f"licensed under {name} {tail}": f"{short}{v}OrLater" for tail in ("or later", "or any later version", "or at your option any later version")}
+            full = written[-1]
+            found |= {f"spdx license identifier {low} {full}": f"{short}{v}Named", f"spdx license identifier {low} {full} only": f"{short}{v}Named", f"spdx license identifier {low} {full} or later": f"{short}{v}OrLater"}
+    return found
+
+
+SENTENCES |= {k: v for k, v in _more_sentences().items() if k not in SENTENCES}
+RULES += [
+    *((f"{short}-{v}-or-later", need) for short, v, i in (("GPL", "2.0", "2"), ("GPL", "3.0", "3"), ("LGPL", "2.0", "2"), ("LGPL", "2.1", "21"), ("LGPL", "3.0", "3"), ("AGPL", "3.0", "3")) for need in ([f"{short}Terms", f"Either{i}"], [f"{short}{i}OrLater"])),
+    ("LGPL-2.1", ["LGPL21Named"]),
+    ("LGPL-2.0", ["LGPL2Named"]),
+    ("ISC", ["ISCTitle", "ISCGrant"]),
+    ("ISC", ["ISCGrant"]),
+    ("ISC", ["ISCNamed"]),
+    ("ISC", ["ISCTitle"]),
+    ("BSL-1.0", ["Boost1Title", "Boost1Grant"]),
+    ("BSL-1.0", ["Boost1Grant"]),
+    ("BSL-1.0", ["Boost1Named"]),
+    ("BSL-1.0", ["Boost1Title"]),
+    ("Unlicense", ["UnlicenseNamed"]),
+]
+
 #: Each known sentence has one of these words: a text or sentence without them needs no lookup.
-TRIGGER = r"(?i)licen[cs]e|permission|copyright|redistribut|warrant|mpl|cc0|unencumbered|rights reserved|mozilla"
+TRIGGER = r"(?i)licen[cs]e|permission|copyright|redistribut|warrant|mpl|cc0|unencumbered|rights reserved|mozilla|gpl|under (?:the )?(?:isc|mit|bsd|apache|boost|cc by)"
+#: Any opening before a statement of licence, unless it denies it; and the ways to begin one.
+_OPENING = r"^.*\b(?:is|are)(?: also| dual)? (?=(?:licensed|released|distributed|published|provided|available|made available) under )|^.* (?=you can redistribute it and or modify it under the terms of the )"
+_UNDER = r"^(?:licensed|released|distributed|published|provided|available|made available) under (?:the terms of )?(?:the |an? )?"
 #: What a sentence may open with before the words of SENTENCES.
 _SUBJECT = r"^(?:copyright(?: c)?(?: [0-9]+)?(?: [a-z0-9]+){0,8}? (?=all rights reserved$))|^(?:this|the|these|our|your)?(?: ?source)? ?(?:code|work|software|file|files|program|project|library|package|document|documentation|text|content|module|site)? ?(?:is|are)(?: also)? "
 
 
 def _normal(sentence: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, _SUBJECT, "")
+    told = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\blicence", "license"), _OPENING, ""), _SUBJECT, "")
+    return F.regexp_replace(F.regexp_replace(told, _UNDER, "licensed under "), r"^(licensed under .*?) see .*$", "$1")
 
 
 def _sentences(text: Column) -> Column:
@@ -120,7 +194,7 @@ def _sentences(text: Column) -> Column:
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of *text* in order: first those of its paragraphs' sentences, then of single lines not found so."""
-    table = F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
+    table = F.create_map(*(F.lit(x) for pair in {re.sub(_UNDER, "licensed under ", k): v for k, v in SENTENCES.items()}.items() for x in pair))
     known = lambda parts: F.array_compact(F.transform(F.filter(parts, lambda s: s.rlike(TRIGGER)), lambda s: F.try_element_at(table, _normal(s))))
     unwrapped = F.regexp_replace(text, r"(?<=[^.!?;:\s])[ \t]*\r?\n(?![ \t]*\r?\n)[ \t#*/-]*", " ")
     both = F.transform(F.array(F.struct(known(_sentences(unwrapped)).alias("a"), known(_sentences(text)).alias("b"))), lambda x: F.concat(x["a"], F.filter(x["b"], lambda i: ~F.array_contains(x["a"], i))))

@@ -191,3 +191,26 @@ def test_schedule_longer_than_a_literal():
     found = list(mixing.phases(mixing.corpus_shares(blocks, 0.5), blocks))
     assert sum(f["length"] for f in found) == sum(blocks) and len({f["ended"] for f in found}) == 120
     assert sum(len(at) for f in found for at in f["at"].values()) > mixing.SCHEDULE_ROWS
+
+
+def test_plain_license_statements(spark):
+    gnu = "This library is free software{} you can redistribute it and/or\nmodify it under the terms of the GNU {}General Public License\nas published by the Free Software Foundation{} either\nversion {} of the License, or (at your option) any later version."
+    texts = {
+        "Foo is licensed under the MIT License.": ["MIT"],
+        "This dataset is licensed under the MIT License.": ["MIT"],
+        "Foo-bar 2 is not licensed under the MIT License.": [],
+        "Released under the Apache License, Version 2.0": ["Apache-2.0"],
+        "Distributed under the BSD 3-Clause License": ["BSD-3-Clause"],
+        "The Foo tools are released under the terms of the GNU Lesser General Public License, version 2.1 or later.": ["LGPL-2.1-or-later"],
+        gnu.format(";", "Lesser ", ";", "2.1"): ["LGPL-2.1-or-later"],
+        gnu.format(":", "Lesser ", ",", "3"): ["LGPL-3.0-or-later"],
+        gnu.format(":", "Affero ", ", ", "3"): ["AGPL-3.0-or-later"],
+        gnu.format(";", "", ";", "2"): ["GPL-2.0-or-later"],
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": ["ISC"],
+        "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)": ["BSL-1.0"],
+        "Foo is available under the ISC licence.": ["ISC"],
+        "SPDX-License-Identifier: LGPL-2.1-only": ["LGPL-2.1"],
+    }
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: list(r.licenses) for r in licenses.scan(docs).collect()}
+    assert got == {i: w for i, w in enumerate(texts.values())}
