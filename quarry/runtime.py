@@ -1,8 +1,9 @@
-"""Where intermediate tables go, and how sizes are checked before a broadcast."""
+"""Where intermediate tables go, how sizes are checked before a broadcast, and how hot keys are split."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,17 +11,30 @@ from pyspark.sql import functions as F
 
 #: Rows of (at most) a few longs that may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: A key with more than this part of all rows is hot; so there are fewer hot keys than this.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; set only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster it
+    is an error, as each machine has temporary folders of its own.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/checkpoints/quarry"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables; see clean()."""
+    return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """*df* written as Parquet to the shared folder and read again.
 
@@ -28,9 +42,30 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     whatever reads it more than once does not compute it again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    again._stored_at = path
+    return again
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes *path* where the shared folder is, local or remote."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored *tables* that nothing reads any more, such as the last round of a loop."""
+    for df in tables:
+        if getattr(df, "_stored_at", None):
+            delete(df.sparkSession, df._stored_at)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of this application; for when its results have been written or read."""
+    delete(spark, run_dir(spark))
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -42,6 +77,20 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def join_each(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """*rows* joined with *one*, which has one row a key and the number of the key's rows as ``__n``; ``__n`` is dropped.
+
+    Keys with more than a 1 / HOT part of all rows (*total*, counted if not given)
+    are fewer than HOT, so their rows of *one* are broadcast and the hot rows stay
+    where they are; all others meet by shuffle.
+    """
+    if total is None:
+        total = one.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(one.where(F.col("__n") * HOT > total).drop("__n"))
+    cool = one.where(F.col("__n") * HOT <= total).drop("__n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
