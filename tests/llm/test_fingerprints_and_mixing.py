@@ -1,55 +1,68 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import licenses, mixing, winnowing
 
 
-def brute_winnow(text, k=5, w=4):
-    words = [x for x in __import__("re").split(r"[ \t\n\x0b\f\r]+", text or "") if x]
-    if not words:
-        return []
+def signed64(text, seed=42):
+    h = xxhash.xxh64_intdigest(text.encode(), seed)
+    return h - (1 << 64) if h >> 63 else h
+
 
-    def chained(run):
-        h = 42
-        for x in run:
-            h = xxhash.xxh64_intdigest(x.encode(), h)
-        return h - (1 << 64) if h >> 63 else h
+def brute_tokens(text):
+    text = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}])", r" \1 ", text)
+    plain = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
+    return [t for x in plain for t in (x if len(x) > 32 else [x])]
 
-    runs = [chained(words[i : i + k]) >> 32 for i in range(max(len(words) - k + 1, 1))]
+
+def brute_winnow(text, k=5, w=4):
+    """(hash, position) of every kept run, each run hashed afresh by its polynomial."""
+    prime, base = (1 << 31) - 1, 1_103_515_245
+    tokens = brute_tokens(text or "")
+    if not tokens:
+        return []
+    nums = [signed64(x) % prime for x in tokens]
+    runs = []
+    for i in range(max(len(nums) - k + 1, 1)):
+        h = 0
+        for x in nums[i : i + k]:
+            h = (h * base + x) % prime
+        runs.append(h)
     kept = []
     for i in range(max(len(runs) - w + 1, 1)):
         window = runs[i : i + w]
         least = min(window)
         at = i + max(j for j, x in enumerate(window) if x == least)
-        if (least, at) not in kept:
+        if (least, at) not in kept[-w:]:
             kept.append((least, at))
+    if len(text) < 64:
+        # the hash of a second column takes that of the first as its seed
+        seed = xxhash.xxh64_intdigest(b"short", 42)
+        kept += [(signed64(text[i : i + 3], seed) % prime, -1 - i) for i in range(max(len(text) - 2, 1))]
     return kept
 
 
-def to_int(h):
-    return h
-
-
 def test_winnowing_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     got = {r.doc_id: r for r in winnowing.fingerprints(docs).collect()}
     for r in docs.collect():
         want = brute_winnow(r.text)
-        assert list(got[r.doc_id].hashes) == list(dict.fromkeys(h for h, _ in want))
+        assert list(got[r.doc_id].hashes) == [h for h, _ in want]
         assert list(got[r.doc_id].positions) == [p for _, p in want]
 
 
-@pytest.mark.parametrize("text", ["", None, " \n", "one", "a a a a a a a a a a a a", "a b c d e f g"])
+@pytest.mark.parametrize("text", ["", None, " \n", "one", "a a a a a a a a a a a a", "a b c d e f g", "x" * 33 + " " + "y" * 32, "日本語 の文章abc です" * 9, " ".join(map(str, range(67))), " ".join(map(str, range(68))), " ".join(map(str, range(69))), " ".join(map(str, range(70_000)))])
 def test_winnowing_edges(spark, text):
     docs = spark.createDataFrame([(1, text, "kept")], "doc_id long, text string, words string")
     row = winnowing.fingerprints(docs).first()
-    assert [(h, p) for h, p in zip(row.hashes, row.positions)][:1] == brute_winnow(text)[:1]
-    assert list(row.positions) == [p for _, p in brute_winnow(text)]
+    assert list(zip(row.hashes, row.positions)) == brute_winnow(text)
 
 
 def test_shared_runs_are_found(spark):
@@ -76,7 +89,8 @@ def test_edited_fingerprints(spark, sf):
         g = got[r.doc_id]
         own, changed, near = ({h for h, _ in brute_winnow(t)} for t in (r.text, edited, following))
         assert (g.n_chars, g.edited_sha256) == (len(r.text), hashlib.sha256(edited.encode()).hexdigest())
-        assert g.fingerprint.split() == [str(h) for h in dict.fromkeys(h for h, _ in brute_winnow(r.text))]
+        assert g.fingerprint.split() == [str(h) for h, _ in brute_winnow(r.text)] and g.positions.split() == [str(p) for _, p in brute_winnow(r.text)]
+        assert g.edited_positions.split() == [str(p) for _, p in brute_winnow(edited)]
         assert abs(g.near_edited - jaccard(own, changed)) < 1e-9 and abs(g.near_next - jaccard(own, near)) < 1e-9
 
 
@@ -86,12 +100,32 @@ def test_edited_edges(spark):
     assert len(got) == 5
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     assert got[9, 14].edited_sha256 == sha("nine nine ") and got[4, 4].edited_sha256 == sha("fou") and got[None, 9].edited_sha256 == sha("n one nin")
+    assert got[9, 14].near_edited > 0.3 and got[4, 4].near_edited == 0.25
     assert got[4, 0].near_edited == 1.0 and got[2, 0].near_next == 0.0
     assert winnowing.edited_fingerprints(docs.limit(0)).collect() == []
     alone = winnowing.edited_fingerprints(docs.where("doc_id = 9")).collect()
     assert [r.near_next for r in alone] == [1.0]
 
 
+def test_edited_texts_without_blanks(spark):
+    rng = random.Random(4)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(500)), "".join(rng.choice("あいうえおかきくけこ日本語") for _ in range(600)), "".join(rng.choice("abcdefghij") for _ in range(700))]
+    rows = winnowing.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(r.near_edited > 0.3 and r.near_next < 0.05 for r in rows)
+
+
+def test_neighbours_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(winnowing, "TASK_ROWS", 5)
+    docs = spark.range(300).select((F.col("id") * 7 % 1000).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows = {r.doc_id: r for r in winnowing.edited_fingerprints(docs).collect()}
+    ids = sorted(rows, reverse=True)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert len(ids) == 300
+    for i, d in enumerate(ids):
+        following, m = text[ids[(i + 1) % 300]], len(text[d]) // 3
+        assert rows[d].edited_sha256 == hashlib.sha256((text[d][: len(text[d]) - m] + following[:m]).encode()).hexdigest()
+
+
 @pytest.mark.parametrize("shares", [[1], [3, 5], [1, 1, 1, 7], [50, 30, 15, 4, 1], [333, 333, 334]])
 def test_period_is_fair(shares):
     slots, total = mixing.period(shares), sum(shares)
