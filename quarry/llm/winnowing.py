@@ -117,7 +117,7 @@ def _range_of(key: Column, cuts: list[int]) -> Column:
     coarse, fine = F.expr(_longs(b[-1] for b in blocks)), F.expr("array(" + ",".join(_longs(b) for b in blocks) + ")")
 
     def within(v: Column, b: Column) -> Column:
-        return b * step + F.coalesce(F.size(F.filter(F.get(fine, b), lambda c: c < v)), F.lit(0))
+        return F.least(b * step, F.lit(len(cuts))) + F.coalesce(F.size(F.filter(F.get(fine, b), lambda c: c < v)), F.lit(0))
 
     return F.transform(F.array(key), lambda v: F.transform(F.array(F.size(F.filter(coarse, lambda c: c < v))), lambda b: within(v, b))[0])[0]
 

@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 import regex
@@ -164,6 +166,8 @@ def test_mix_edges(spark):
     assert sorted(r.mix.position for r in got) == [0, 1, 2, 3, 4] and sorted(r.slot for r in got) == [3, 3, 4, 5, 6]
     assert mixing.mix(docs.limit(0)).collect() == []
     assert mixing.in_order(docs).columns == docs.columns and mixing.in_order(docs).count() == 5
+    named = docs.withColumnRenamed("slot", "mix")
+    assert mixing.in_order(named).columns == named.columns and sorted(r.mix for r in mixing.in_order(named).collect()) == [3, 3, 4, 5, 6]
 
 
 def test_licenses(spark):
@@ -219,11 +223,55 @@ def test_mix_of_several_hundred_sources(spark):
             assert all(abs(done[s] - (t + 1) * w) < 1 for s, w in weight.items())
 
 
+def brute_mix(counts, shares, block):
+    """{source: slots of its blocks in order}: slot by slot, the released block with the earliest deadline; weights start anew when a source runs out."""
+    left = {s: -(-n // block) for s, n in counts.items()}
+    slots, t = {s: [] for s in counts}, 0
+    while any(left.values()):
+        active = sorted((s for s in counts if left[s]), key=lambda s: (s is None, s or ""))
+        weight = {s: Fraction(shares[s], sum(shares[x] for x in active)) for s in active}
+        done, begin = dict.fromkeys(active, 0), t
+        while all(left[s] for s in active):
+            ready = [s for s in active if int(done[s] / weight[s]) <= t - begin]
+            s = min(ready, key=lambda s: (math.ceil((done[s] + 1) / weight[s]), active.index(s)))
+            slots[s].append(t)
+            done[s] += 1
+            left[s] -= 1
+            t += 1
+    return slots
+
+
+@pytest.mark.parametrize("shares", [None, {"src1": 5, "src2": 90}])
+def test_mix_against_brute_force(spark, sf, shares):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    rows = mixing.mix(docs, shares=shares, block=3).collect()
+    counts = Counter(r.source for r in rows)
+    names = sorted(counts)
+    own = dict(zip(names, mixing.corpus_shares([counts[s] for s in names], 0.5))) if shares is None else {s: shares.get(s, 1) for s in names}
+    want = brute_mix(counts, own, 3)
+    got = {s: {} for s in names}
+    for r in rows:
+        got[r.source][r.mix.block] = r.mix.slot
+    assert {s: [got[s][b] for b in sorted(got[s])] for s in names} == want
+    assert sorted(r.mix.position for r in rows) == list(range(len(rows)))
+
+
+def test_mix_of_two_thousand_sources(spark):
+    """Every source in its windows in each phase, positions without gaps, nothing lost."""
+    n = 2000
+    docs = spark.range(n * 12).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % n).alias("source")).where(f"doc_id < {n * 4} or doc_id % {n} < 500")
+    rows = mixing.mix(docs, block=1).collect()
+    assert sorted(r.mix.position for r in rows) == list(range(docs.count())) and len({r.doc_id for r in rows}) == len(rows)
+    assert all(r.mix.release <= r.mix.slot < r.mix.deadline for r in rows)
+    seen = Counter((r.source, r.mix.block) for r in rows)
+    assert max(seen.values()) == 1 and len({r.source for r in rows}) == n
+
+
 def test_schedule_longer_than_a_literal():
-    """120 near-equal sources with many blocks: over 200,000 slots, each source's blocks all placed."""
-    blocks = [20_000 + 90 * k for k in range(120)]
+    """300 near-equal sources with many blocks: over 200,000 slots, each source's blocks all placed."""
+    blocks = [20_000 + 90 * k for k in range(300)]
     found = list(mixing.phases(mixing.corpus_shares(blocks, 0.5), blocks))
-    assert sum(f["length"] for f in found) == sum(blocks) and len({f["ended"] for f in found}) == 120
+    assert sum(f["length"] for f in found) == sum(blocks) and len({f["ended"] for f in found}) == 300
     assert sum(len(at) for f in found for at in f["at"].values()) > mixing.SCHEDULE_ROWS
 
 
