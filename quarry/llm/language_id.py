@@ -3,51 +3,66 @@
 A word of the training vocabulary scores by its log frequency in each language.
 Any other word backs off: by the mean log frequency of its character n-grams of
 five letters, or if none is known of four, and so on down to single letters.
+Words are runs of letters in lower case, in training and in prediction alike.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quarry.llm import words
 
 UNKNOWN = "und"
-#: Labelled documents that a model is fitted on, at most about.
-TRAIN_DOCS = 20_000
-#: Words kept for each language, the most frequent first.
-VOCABULARY = 40_000
+#: Labelled documents that a model is fitted on, and their UTF-8 bytes, at most about; all their words are learned.
+TRAIN_DOCS, TRAIN_BYTES = 20_000, 64 << 20
 LONGEST = 5
 #: Words that count in full towards a document's score; further ones only sharpen it as their mean.
 EVIDENCE = 24
+_LETTERS = regex.compile(r"\p{L}+")
+
+
+def split(chunk: str) -> list[str]:
+    """The words of a chunk of text."""
+    low = chunk.lower()
+    return [low] if low.isalpha() else _LETTERS.findall(low)
 
 
 class LanguageModel:
     """Log frequencies of words and n-grams for each language, in arrays, so it can be sent to executors.
 
-    N-grams are kept by 64-bit keys in order, and looked up for all unknown words
-    of a pass at once.
+    Words and n-grams are kept by 64-bit keys in order, and looked up for all
+    words of a pass at once.
     """
 
-    def __init__(self, counts: dict[str, dict[str, int]]):
-        self.languages = sorted(counts)
-        names = sorted({w for c in counts.values() for w in c})
-        self.index = {w: i for i, w in enumerate(names)}
-        n = np.array([[counts[lang].get(w, 0) for lang in self.languages] for w in names], float).reshape(len(names), len(self.languages))
+    def __init__(self, languages: list[str], names: list[str], n: np.ndarray):
+        """*n*: how often each of *names* (distinct) was seen in each of *languages*."""
+        self.languages = list(languages)
+        keys = self._word_keys(names)
+        order = np.argsort(keys)
+        self.keys, self.words = keys[order], self._log(n)[order]
         weight = np.where(n > 0, 1 + np.log(np.maximum(n, 1)), 0)
-        self.words = self._log(n)
         self.grams = [self._level(names, weight, size) for size in range(1, LONGEST + 1)]
 
+    @classmethod
+    def of(cls, counts: dict[str, dict[str, int]]) -> LanguageModel:
+        """A model of {language: {word: count}}."""
+        names = sorted({w for c in counts.values() for w in c})
+        languages = sorted(counts)
+        return cls(languages, names, np.array([[counts[x].get(w, 0) for x in languages] for w in names], float).reshape(len(names), len(languages)))
+
     @staticmethod
     def _log(n: np.ndarray) -> np.ndarray:
         return np.log((n + 0.5) / (n.sum(0) + 0.5 * len(n) + 1e-9)).astype(np.float32)
 
+    @staticmethod
+    def _word_keys(names: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), np.uint64, len(names))
+
     @staticmethod
     def _keys(names: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the n-grams of words between marks for their ends; the marks alone are none."""
@@ -56,19 +71,21 @@ class LanguageModel:
     def _level(self, names: list[str], weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         keys, number = self._keys(names, size)
         unique, of = np.unique(keys, return_inverse=True)
-        total = np.zeros((len(unique), weight.shape[1]))
-        np.add.at(total, of, np.repeat(weight, number, axis=0))
-        keep = (total.sum(1) > 2) | (size < 4)
-        return unique[keep], self._log(total[keep])
+        total = np.empty((len(unique), weight.shape[1]))
+        for k in range(weight.shape[1]):
+            total[:, k] = np.bincount(of, np.repeat(weight[:, k], number), len(unique))
+        return unique, self._log(total)
 
     def table(self, names: list[str]) -> np.ndarray:
         """Each word's score for each language, 0 for the best of each, all 0 for a word of unknown letters."""
-        at = np.fromiter((self.index.get(w, -1) for w in names), np.int64, len(names))
         out = np.zeros((len(names), len(self.languages)), np.float32)
-        if not self.languages:
+        if not len(self.keys) or not names:
             return out
-        out[at >= 0] = self.words[at[at >= 0]]
-        left = np.flatnonzero(at < 0)
+        keys = self._word_keys(names)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = self.keys[at] == keys
+        out[known] = self.words[at[known]]
+        left = np.flatnonzero(~known)
         for size in range(LONGEST, 0, -1):
             level, scores = self.grams[size - 1]
             if not len(left) or not len(level):
@@ -92,11 +109,16 @@ class LanguageModel:
         labels: list[str] = []
         shares = []
         for _, _, names, index, bounds in words.batches_of_words(texts):
-            plain = [(x if x.isalpha() else "".join(filter(str.isalpha, x))).lower() for x in names]
-            some = np.fromiter(map(bool, plain), bool, len(plain))
-            table = np.zeros((len(names), len(self.languages) + 1), np.float32)
-            table[some, :-1] = self.table([x for x in plain if x])
-            table[some, -1] = 1
+            found: dict[str, int] = {}
+            parts = [[found.setdefault(w, len(found)) for w in split(x)] for x in names]
+            number = np.fromiter(map(len, parts), np.int64, len(parts))
+            each = self.table(list(found))[np.fromiter((i for x in parts for i in x), np.int64, int(number.sum()))]
+            # a chunk's words added up, and how many they are
+            table = np.zeros((len(names), len(self.languages) + 1))
+            some = number > 0
+            if some.any():
+                table[some, :-1] = np.add.reduceat(each, (np.cumsum(number) - number)[some], axis=0)
+            table[:, -1] = number
             total = words.sums(table, index, bounds)
             n, scores = total[:, -1], total[:, :-1]
             if not self.languages:
@@ -112,22 +134,23 @@ class LanguageModel:
         return labels, np.concatenate(shares) if shares else np.zeros(0)
 
 
-def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> LanguageModel:
+def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> LanguageModel:
     """A model of all languages in *docs*; rows with a null text or language teach nothing.
 
-    Fitted on at most about *train_docs* documents; their words are counted where
-    they are, and the driver gets *vocabulary* words of each language.  Without
-    rows the model knows no language.
+    Fitted on at most about *train_docs* documents of *train_bytes* bytes; their
+    words are counted where they are, and the driver gets each distinct one.
+    Without rows the model knows no language.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = words.sample(known, train_docs, "id")
+    rows = words.sample(known, train_docs, "id", train_bytes, "text")
     each = rows.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    counted = each.groupBy("lang", "word").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))).where(F.col("rank") <= vocabulary)
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in ranked.select("lang", "word", "n").toLocalIterator():
-        counts[r.lang][r.word] = r.n
-    return LanguageModel(counts)
+    counted = each.groupBy("lang", "word").agg(F.count("*").alias("n")).toArrow().sort_by([("word", "ascending"), ("lang", "ascending")])
+    languages = sorted(counted["lang"].unique().to_pylist())
+    of = {x: k for k, x in enumerate(languages)}
+    word = counted["word"].combine_chunks().dictionary_encode() if len(counted) else pa.array([], pa.string()).dictionary_encode()
+    n = np.zeros((len(word.dictionary), len(languages)))
+    n[np.asarray(word.indices), np.fromiter((of[x] for x in counted["lang"].to_pylist()), np.int64, len(counted))] = np.asarray(counted["n"], float)
+    return LanguageModel(languages, word.dictionary.to_pylist(), n)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,9 +178,9 @@ def keep_known(docs: DataFrame, model: LanguageModel, *, least: float = 0.5, tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        labels, shares = shared.value.score(pa.array(text.to_numpy(object), pa.string(), from_pandas=True))
-        return pd.Series(np.array([x != UNKNOWN for x in labels], bool) & (shares >= least))
+    @F.arrow_udf("boolean")
+    def known(text: pa.Array) -> pa.Array:
+        labels, shares = shared.value.score(text)
+        return pa.array(np.array([x != UNKNOWN for x in labels], bool) & (shares >= least))
 
     return docs.where(known(F.col(f"`{text_col}`").cast("string")))

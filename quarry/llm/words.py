@@ -22,12 +22,14 @@ def remainder(id_col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def sample(labelled: DataFrame, rows: int, key: str) -> DataFrame:
-    """About *rows* rows of *labelled*, the same at each run: those whose hash of *key* is low enough; all if there are no more."""
-    total = labelled.count()
-    if total <= rows:
+def sample(labelled: DataFrame, rows: int, key: str, size: int | None = None, text: str | None = None) -> DataFrame:
+    """About *rows* rows of *labelled*, with about *size* bytes in *text* if given, the same at each run: those whose hash of *key* is low enough; all if there are no more."""
+    nbytes = F.sum(F.octet_length(text).cast("long")) if size is not None else F.lit(0)
+    total, whole = labelled.agg(F.count("*"), F.coalesce(nbytes, F.lit(0))).first()
+    share = min(rows / max(total, 1), size / max(whole, 1) if size is not None else 1)
+    if share >= 1:
         return labelled
-    return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
 def batches_of_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:

@@ -1,6 +1,10 @@
+import math
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from quarry.llm import language_id, queries, quality, toxicity, words
@@ -39,11 +43,69 @@ def test_language_edges(spark):
 
 
 def test_unknown_words_back_off():
-    model = language_id.LanguageModel({"de": {"strasse": 5, "haus": 3}, "es": {"calle": 4, "casa": 2}})
+    model = language_id.LanguageModel.of({"de": {"strasse": 5, "haus": 3}, "es": {"calle": 4, "casa": 2}})
     assert model.word("strassen")[0] > model.word("strassen")[1] and model.word("casas")[1] > model.word("casas")[0]
     assert (model.word("日本") == 0).all()
 
 
+def brute_language(counts, text):
+    """(language, probability) by plain dictionaries."""
+    letters = regex.compile(r"\p{L}+")
+    langs = sorted(counts)
+    vocabulary = sorted({w for c in counts.values() for w in c})
+    log = lambda n, total, many: math.log((n + 0.5) / (total + 0.5 * many + 1e-9))
+    totals = {x: sum(counts[x].values()) for x in langs}
+    grams = [{x: Counter() for x in langs} for _ in range(5)]
+    cut = lambda w, k: [w[i : i + 1] for i in range(len(w))] if k == 1 else [f"^{w}$"[i : i + k] for i in range(len(w) + 3 - k)]
+    for x in langs:
+        for w, n in counts[x].items():
+            for k in range(1, 6):
+                for g in cut(w, k):
+                    grams[k - 1][x][g] += 1 + math.log(n)
+    known = [set().union(*(level[x] for x in langs)) for level in grams]
+
+    def word(w):
+        if w in vocabulary:
+            raw = [log(counts[x].get(w, 0), totals[x], len(vocabulary)) for x in langs]
+        else:
+            raw = [0.0] * len(langs)
+            for k in range(5, 0, -1):
+                hits = [g for g in cut(w, k) if g in known[k - 1]]
+                if hits:
+                    raw = [sum(log(grams[k - 1][x][g], sum(grams[k - 1][x].values()), len(known[k - 1])) for g in hits) / len(hits) for x in langs]
+                    break
+        return [v - max(raw) for v in raw]
+
+    found = [word(w) for w in letters.findall(text.lower())]
+    if not found:
+        return "und", 0.0
+    total = [sum(v) * min(len(found), language_id.EVIDENCE) / len(found) for v in zip(*found)]
+    odds = [math.exp(v - max(total)) for v in total]
+    return langs[odds.index(max(odds))], max(odds) / sum(odds)
+
+
+def test_language_against_brute_force():
+    counts = {"fr": {"homme": 9, "le": 40, "l": 20, "chat": 3, "été": 2}, "de": {"der": 30, "mann": 4, "straße": 2, "l": 1}, "es": {"el": 33, "hombre": 5, "gato": 2}}
+    texts = ["l'homme", "Der Mann-der", "hombres gatos", "chats 12 ÉTÉ!!", "qqq", "12", "", "el,el;le", "straßen der katze", "日本 le", " ".join(["le el"] * 200), "x" * 3000]
+    model = language_id.LanguageModel.of(counts)
+    labels, shares = model.score(pa.array(texts))
+    for text, label, share in zip(texts, labels, shares):
+        want = brute_language(counts, text)
+        assert abs(share - want[1]) < 1e-4 and (label == want[0] or abs(share - 1 / 3) < 1e-6), text
+
+
+def test_one_splitter():
+    """Words inside marks are those that training counted."""
+    model = language_id.LanguageModel.of({"fr": {"homme": 5, "l": 9}, "es": {"homme": 1, "l": 1, "lhomme": 50}})
+    assert model.score(pa.array(["l'homme"]))[0] == ["fr"] and language_id.split("L’Homme-été 3x") == ["l", "homme", "été", "x"]
+
+
+def test_language_ties(spark):
+    train = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "same words"), (1, "same words")], "doc_id long, text string")
+    assert {(r.lang_pred, round(r.score, 6)) for r in language_id.predict(docs, language_id.fit(train)).collect()} == {("a", 0.5)}
+
+
 def test_ordinal_grades():
     rng = np.random.default_rng(0)
     kinds = ["bad", "poor", "fine", "good"]
@@ -125,8 +187,9 @@ def test_language_vocabulary_and_grams_are_whole(spark):
     letters = "abcdefghijklmnopqrstuvwxyz"
     names = [a + b + c + d for a in letters for b in letters for c in letters for d in "aei"][:30_000]
     train = spark.createDataFrame([(i, " ".join(names[i * 100 : i * 100 + 100]), "en") for i in range(300)], "doc_id long, text string, lang string")
-    assert set(language_id.fit(train).index) == set(names)
-    rare = language_id.LanguageModel({"de": {"strasse": 5}})
+    model = language_id.fit(train)
+    assert len(model.keys) == len(names) and (model.table(names) == 0).all() and set(model.keys.tolist()) == set(model._word_keys(names).tolist())
+    rare = language_id.LanguageModel.of({"de": {"strasse": 5}})
     assert len(rare.grams[3][0]) == 6 and len(rare.grams[4][0]) == 5
 
 
