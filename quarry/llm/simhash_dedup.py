@@ -4,9 +4,14 @@ A 64-bit fingerprint becomes 32 bit counts, one for each two-bit segment.  The
 Manhattan distance of two such vectors is a lower bound of the Hamming distance
 of the fingerprints, also on any part of the segments.  With d differing bits
 allowed, the segments are dealt into d // 2 + 1 parts: in one of them at least
-two linked vectors are at most 1 apart.  So each part is a lattice whose cells
-are its count vectors, and a range join of radius 1 meets each cell with its
-upper neighbours; candidates are then verified on the bits.
+two linked fingerprints are at most 1 apart.  So each part is a lattice whose
+cells are its count vectors, and a range join of radius 1 meets each cell with
+its upper neighbours.  Segments of count 1 have one of two bits set; two
+fingerprints at most 1 apart have the same one wherever both counts are 1, so
+that bit is a second key of the cell.  Candidates are then verified on all bits.
+
+With both keys n random fingerprints give about 8e-9 n^2 candidates for d = 3
+(with counts alone 3e-6 n^2), and each is probed 17 times a part on average.
 """
 
 from __future__ import annotations
@@ -18,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
-from quarry.runtime import bounded, stored
+from quarry.runtime import bounded, join_each, stored
 
 SEGMENTS = 32
 SHINGLE = 3
@@ -65,8 +70,8 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return kept.mapInArrow(_fingerprints, "doc_id bigint, print bigint")
 
 
-def _segment(k: int):
-    return F.bit_count(F.shiftrightunsigned("print", 2 * k).bitwiseAND(F.lit(3)))
+def _bits(k: int):
+    return F.shiftrightunsigned("print", 2 * k).bitwiseAND(F.lit(3).cast("long"))
 
 
 def links(prints: DataFrame, distance: int = 3) -> DataFrame:
@@ -75,17 +80,25 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     A pair is there once for each part in which its cells touch.
     """
     parts = distance // 2 + 1
+    zero = F.lit(0).cast("long")
     rows = []
     for part in range(parts):
-        own = range(part, SEGMENTS, parts)
-        cell = sum((_segment(k).cast("long") * 3**i for i, k in enumerate(own)), F.lit(0).cast("long"))
-        above = [F.when(_segment(k) < 2, F.lit(3**i).cast("long")) for i, k in enumerate(own)]
-        rows.append(F.struct(F.lit(part).alias("part"), cell.alias("cell"), F.array_compact(F.array(F.lit(0).cast("long"), *above)).alias("steps")))
+        own = list(enumerate(range(part, SEGMENTS, parts)))
+        count = {i: F.bit_count(_bits(k)) for i, k in own}
+        cell = sum((count[i].cast("long") * 3**i for i, _ in own), zero)
+        low = lambda i, k: F.when(count[i] == 1, F.shiftleft(_bits(k).bitwiseAND(F.lit(1).cast("long")), i)).otherwise(zero)
+        turn = sum((low(i, k) for i, k in own), zero)
+        # from count 0 up to 1 with either bit, from 1 up to 2
+        step = lambda i, flip, test: F.when(test, F.struct(F.lit(3**i).cast("long").alias("step"), flip.alias("flip")))
+        above = [x for i, k in own for x in (step(i, low(i, k), count[i] < 2), step(i, F.lit(1 << i).cast("long"), count[i] == 0))]
+        steps = F.array_compact(F.array(F.struct(zero.alias("step"), zero.alias("flip")), *above))
+        rows.append(F.struct(F.lit(part).alias("part"), cell.alias("cell"), turn.alias("turn"), steps.alias("steps")))
     cells = prints.select("print", F.explode(F.array(*rows)).alias("c")).select("print", "c.*")
-    base = cells.select("part", "cell", F.col("print").alias("a"))
-    probes = cells.select("part", "cell", F.col("print").alias("b"), F.explode("steps").alias("step")).select("part", (F.col("cell") + F.col("step")).alias("cell"), "b", "step")
+    base = cells.select("part", "cell", "turn", F.col("print").alias("a"))
+    probes = cells.select("part", "cell", "turn", F.col("print").alias("b"), F.explode("steps").alias("s"))
+    probes = probes.select("part", (F.col("cell") + F.col("s.step")).alias("cell"), F.col("turn").bitwiseXOR(F.col("s.flip")).alias("turn"), "b", F.col("s.step").alias("step"))
     # two prints of one cell meet in both orders; those of neighbours only once
-    meet = base.join(probes, ["part", "cell"]).where((F.col("step") > 0) | (F.col("a") < F.col("b")))
+    meet = base.join(probes, ["part", "cell", "turn"]).where((F.col("step") > 0) | (F.col("a") < F.col("b")))
     return meet.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
 
@@ -108,10 +121,10 @@ def near_duplicates(docs: DataFrame, *, distance: int = 3, id_col: str = "doc_id
     pairs = stored(links(classes.select("print"), distance).distinct(), "links")
     parts = connected_components(pairs, "a", "b")
     linked = stored(parts.join(classes, parts["node"] == classes["print"]).select("node", "component", "class_id"), "linked")
-    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    least = linked.groupBy("component").agg(F.min("class_id").alias("component_id"), F.count("*").alias("__n"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
-    found = linked.join(least, "component").join(degree, "node").select(F.col("node").alias("print"), "component_id", "links")
+    found = join_each(linked, least, "component").join(degree, "node").select(F.col("node").alias("print"), "component_id", "links")
     known = classes.join(found, "print", "left").select("print", F.coalesce("component_id", "class_id").alias("component_id"), "class_id", "class_size", F.coalesce("links", F.lit(0)).alias("links"))
     # stored, so that the join below stands alone and Spark can split a hot fingerprint's rows
     known = stored(known, "known")
@@ -124,5 +137,8 @@ def deduplicate(docs: DataFrame, *, distance: int = 3, id_col: str = "doc_id", t
     The ids that go are broadcast if few; else rows and ids meet by shuffle.
     """
     found = near_duplicates(docs, distance=distance, id_col=id_col, text_col=text_col)
-    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone_id")).distinct(), "gone")
-    return docs.join(bounded(gone), F.col(f"`{id_col}`") == F.col("__gone_id"), "left_anti")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    gone = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    return docs.join(bounded(gone), F.col(f"`{id_col}`").cast("long") == F.col(f"`{name}`"), "left_anti")
