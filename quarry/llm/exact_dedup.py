@@ -10,20 +10,21 @@ are settled exactly.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.runtime import stored
+from quarry.runtime import bounded, delete, run_dir, shuffle_partitions, stored
 
 #: Slots a row; with three probes about one unique row in 150 is tested again by shuffle.
 SLOTS_PER_ROW = 16
 PROBES = 3
-#: A filter has at most so many slots (32 MB); more rows are filtered in rounds, one part of the hash space each.
-MAX_SLOTS = 1 << 28
+#: A filter has at most so many slots (16 MB); more hashes are dealt into parts of the hash space, with one filter each.
+MAX_SLOTS = 1 << 27
 #: Tasks that build a filter at once at most, each with one filter in memory.
 BUILDERS = 64
 #: A filter travels in pieces of so many slots.
@@ -79,37 +80,53 @@ def _tester(shared, slots: int):
     return test
 
 
-def repeated_filter(hashes: DataFrame, rows: int):
-    """A function (Column of hashes -> boolean Column) that is true for every hash that occurs twice in *hashes*.
+def filter_parts(rows: int) -> tuple[int, int]:
+    """How many filters *rows* hashes take, and the slots of each."""
+    parts = max(1, math.ceil(rows * SLOTS_PER_ROW / MAX_SLOTS))
+    return parts, max(SEGMENT, 1 << math.ceil(math.log2(max(2, rows / parts * SLOTS_PER_ROW))))
+
 
-    *hashes* has one bigint column ``hash`` and *rows* rows.  True for few others
-    (see SLOTS_PER_ROW).  What is broadcast is at most MAX_SLOTS / 8 bytes at a
-    time: beyond that many rows, parts of the hash space have a filter of their
-    own, each kept as its own broadcast file.
+def repeated_filter(hashes: DataFrame, slots: int):
+    """The broadcast filter of *hashes* (one bigint column ``hash``), and a function (Column -> boolean Column).
+
+    The function is true for every hash that occurs twice, and for few others (see SLOTS_PER_ROW).
     """
-    parts = max(1, math.ceil(rows * SLOTS_PER_ROW / MAX_SLOTS))
-    slots = max(SEGMENT, 1 << math.ceil(math.log2(max(2, rows / parts * SLOTS_PER_ROW))))
-    spark, tests = hashes.sparkSession, []
+    built = hashes.coalesce(BUILDERS).mapInArrow(_build(slots), "segment int, seen binary, again binary")
+    bits = np.zeros(slots // 8, np.uint8)
+    merged = built.groupBy("segment").applyInPandas(_merge, "segment int, seen binary, again binary")
+    for r in merged.select("segment", "again").toLocalIterator():
+        at = r.segment * SEGMENT // 8
+        bits[at : at + len(r.again)] = np.frombuffer(r.again, np.uint8)
+    shared = hashes.sparkSession.sparkContext.broadcast(bits.tobytes())
+    return shared, _tester(shared, slots)
+
+
+def flagged(rows: DataFrame, n: int) -> DataFrame:
+    """*rows* (narrow, stored, *n* of them, with a bigint ``hash``) with a boolean ``twice``: true for each hash that repeats, and few others.
+
+    One filter does for MAX_SLOTS / SLOTS_PER_ROW rows, and no row moves.  More
+    rows are dealt into parts by hash, once; each part is then built, tested and
+    written by itself, with its own filter only, which goes before the next one
+    comes: what a worker holds does not grow with the rows.
+    """
+    parts, slots = filter_parts(n)
+    if parts == 1:
+        return rows.withColumn("twice", repeated_filter(rows.select("hash"), slots)[1](F.col("hash")))
+    spark = rows.sparkSession
+    path = f"{run_dir(spark)}/parts-{uuid.uuid4().hex}"
+    rows.withColumn("part", F.pmod("hash", F.lit(parts))).repartition(max(parts, shuffle_partitions(spark)), "part", F.col("hash") % 1009).write.partitionBy("part").parquet(f"{path}/in")
     for part in range(parts):
-        own = hashes.where(F.pmod("hash", F.lit(parts)) == part) if parts > 1 else hashes
-        built = own.coalesce(BUILDERS).mapInArrow(_build(slots), "segment int, seen binary, again binary")
-        bits = np.zeros(slots // 8, np.uint8)
-        merged = built.groupBy("segment").applyInPandas(_merge, "segment int, seen binary, again binary")
-        for r in merged.select("segment", "again").toLocalIterator():
-            at = r.segment * SEGMENT // 8
-            bits[at : at + len(r.again)] = np.frombuffer(r.again, np.uint8)
-        shared = spark.sparkContext.broadcast(bits.tobytes())
-        tests.append(_tester(spark.sparkContext.broadcast(bits.tobytes()), slots))
-
-    def check(h: Column) -> Column:
-        if parts == 1:
-            return tests[0](h)
-        found = F.lit(False)
-        for part, test in enumerate(tests):
-            found = F.when(F.pmod(h, F.lit(parts)) == part, test(h)).otherwise(found)
-        return found
-
-    return check
+        own = _part(spark, rows, f"{path}/in", part)
+        shared, test = repeated_filter(own.select("hash"), slots)
+        own.withColumn("twice", test(F.col("hash"))).write.mode("append").parquet(f"{path}/out")
+        shared.destroy()
+    delete(spark, f"{path}/in")
+    return spark.read.schema(rows.withColumn("twice", F.lit(True)).schema).parquet(f"{path}/out")
+
+
+def _part(spark: SparkSession, rows: DataFrame, path: str, part: int) -> DataFrame:
+    """One part of the rows that flagged() dealt; empty where no hash fell into it."""
+    return spark.read.schema(rows.withColumn("part", F.lit(0)).schema).parquet(path).where(F.col("part") == part).drop("part")
 
 
 def _text(text_col: str) -> Column:
@@ -125,9 +142,7 @@ def exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     *docs* are not read.
     """
     digests = stored(docs.select(F.col(id_col).alias("doc_id"), F.sha2(_text(text_col).cast("binary"), 256).alias("text_sha256")).withColumn("row", F.monotonically_increasing_id()), "digests")
-    hashed = digests.withColumn("hash", F.xxhash64("text_sha256"))
-    check = repeated_filter(hashed.select("hash"), digests.count())
-    tested = stored(hashed.withColumn("twice", check(F.col("hash"))).drop("hash"), "tested")
+    tested = stored(flagged(digests.withColumn("hash", F.xxhash64("text_sha256")), digests.count()).drop("hash"), "tested")
     straight = tested.where(~F.col("twice")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.where("twice")
     # stored, so that the join below stands alone and Spark can split a hot digest's rows
@@ -140,14 +155,21 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of *docs* that stay (see exact_duplicates), with all their columns.
 
     A row whose hash passes the filter moves nowhere; of the others whole rows
-    are put together within a task before they shuffle.  Columns may have any
+    are put together within a task before they shuffle.  Where hashes take
+    several filters, those that do repeat are settled first, and rows meet them
+    by broadcast up to BROADCAST_ROWS, else by shuffle.  Columns may have any
     names.
     """
-    hash_of = F.xxhash64(F.sha2(_text(text_col).cast("binary"), 256))
-    hashes = stored(docs.select(hash_of.alias("hash")), "hashes")
-    check = repeated_filter(hashes, hashes.count())
-    whole, key = F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.sha2(_text(text_col).cast("binary"), 256)
-    tested = docs.select(whole.alias("whole"), key.alias("key"), F.col(id_col).alias("id")).withColumn("twice", check(F.xxhash64("key")))
-    straight = tested.where(~F.col("twice")).select("whole.*")
-    best = tested.where("twice").groupBy("key").agg(F.max_by("whole", F.struct("id")).alias("whole"))
-    return straight.union(best.select("whole.*"))
+    text, whole = _text(text_col), F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    hashes = stored(docs.select(F.xxhash64(text).alias("hash")), "hashes")
+    n = hashes.count()
+    rows = docs.select(whole.alias("whole"), text.alias("text"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("hash"))
+    parts, slots = filter_parts(n)
+    if parts == 1:
+        twice = repeated_filter(hashes, slots)[1](F.col("hash"))
+        straight, maybe = rows.where(~twice), rows.where(twice)
+    else:
+        repeats = stored(flagged(hashes, n).where("twice").groupBy("hash").count().where("count > 1").select("hash"), "repeats")
+        straight, maybe = rows.join(bounded(repeats), "hash", "left_anti"), rows.join(bounded(repeats), "hash", "left_semi")
+    best = maybe.groupBy(F.sha2(F.col("text").cast("binary"), 256).alias("key")).agg(F.max_by("whole", F.struct("id")).alias("whole"))
+    return straight.select("whole.*").union(best.select("whole.*"))

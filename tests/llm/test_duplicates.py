@@ -33,20 +33,36 @@ def test_exact_duplicates(spark):
         assert run(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("parts", [1, 9])
 def test_filter_misses_no_repeat(spark, monkeypatch, parts):
+    """Each row is tested once, by the one filter of its part; filters are of one size however many rows there are."""
     if parts > 1:
-        monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 1 << 15)
+        monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 6000)
+        monkeypatch.setattr(exact_dedup, "SEGMENT", 1 << 10)
+    assert exact_dedup.filter_parts(3250)[0] == parts
     rng = random.Random(4)
     values = [rng.getrandbits(63) for _ in range(3000)]
     values += values[:200] + values[:50]
     rng.shuffle(values)
-    hashes = spark.createDataFrame([(v,) for v in values], "hash long").repartition(7)
-    check = exact_dedup.repeated_filter(hashes, len(values))
-    found = [r.hash for r in hashes.where(check(F.col("hash"))).collect()]
+    built, build = [], exact_dedup.repeated_filter
+    monkeypatch.setattr(exact_dedup, "repeated_filter", lambda own, slots: built.append((own.count(), slots)) or build(own, slots))
+    rows = spark.createDataFrame([(v, str(v)) for v in values], "hash long, name string").repartition(7)
+    got = exact_dedup.flagged(rows, len(values)).collect()
+    found = [r.hash for r in got if r.twice]
     repeated = [v for v in values if values.count(v) > 1]
+    assert sorted((r.hash, r.name) for r in got) == sorted((v, str(v)) for v in values)
     assert sorted(v for v in found if values.count(v) > 1) == sorted(repeated)
     assert len(found) < len(repeated) + 300
+    assert len(built) == parts and sum(n for n, _ in built) == len(values) and len({s for _, s in built}) == 1 and built[0][1] <= max(1 << 13, exact_dedup.SEGMENT)
+
+
+def test_exact_duplicates_in_parts(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole = [sorted(map(tuple, run(docs).collect())) for run in (exact_dedup.exact_duplicates, exact_dedup.deduplicate)]
+    monkeypatch.setattr(exact_dedup, "MAX_SLOTS", 1024)
+    monkeypatch.setattr(exact_dedup, "SEGMENT", 1 << 10)
+    assert exact_dedup.filter_parts(docs.count())[0] > 3
+    assert [sorted(map(tuple, run(docs).collect())) for run in (exact_dedup.exact_duplicates, exact_dedup.deduplicate)] == whole
 
 
 def brute_print(text):
@@ -110,3 +126,13 @@ def test_near_duplicate_edges(spark):
     assert got == sorted([(5, 3, 3), (3, 3, 3), (None, 3, 3), (8, 2, 3), (2, 2, 3), (2, 2, 3), (9, 9, 1)], key=str)
     assert sorted(r.doc_id or 0 for r in simhash_dedup.deduplicate(docs).collect()) == [0, 2, 2, 3, 9]
     assert simhash_dedup.near_duplicates(docs.limit(0)).collect() == []
+    named = docs.withColumnRenamed("print", "gone")
+    assert sorted(r.doc_id or 0 for r in simhash_dedup.deduplicate(named).collect()) == [0, 2, 2, 3, 9]
+
+
+def test_candidates_are_few(spark):
+    """Random fingerprints hardly meet: a cell has both the counts and the bits of its part."""
+    rng = random.Random(3)
+    prints = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(20_000)], "print long")
+    plan = simhash_dedup.links(prints)
+    assert plan.count() == 0
