@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quarry.llm import words
 
 BUCKETS = 1 << 16
-#: Labelled documents that a model is fitted on, at most about.
-TRAIN_DOCS = 6_000
+#: Labelled documents that a model is fitted on, and their UTF-8 bytes, at most about.
+TRAIN_DOCS, TRAIN_BYTES = 6_000, 32 << 20
 SHAPES = 9
 EPOCHS = 40
 
@@ -116,17 +116,18 @@ def _one(texts: pa.Array):
     return names.to_pylist(), index, bounds
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, grade_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS) -> OrdinalModel:
-    """A model of the graded ids in *labels*, fitted on at most about *train_docs* of them.
+def fit(docs: DataFrame, labels: DataFrame, *, grade_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> OrdinalModel:
+    """A model of the graded ids in *labels*, fitted on at most about *train_docs* of them with *train_bytes* bytes of text.
 
     Null grades and ids teach nothing, a null text counts as empty.  Of one grade only, or none, the
     model gives that grade (0 without any) with probability 1.
     """
     graded = words.sample(labels.where(F.col(grade_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(grade_col).cast("double").alias("grade")), train_docs, "id")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(graded), "id").toArrow()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = words.collected(texts.join(F.broadcast(graded), "id"), train_bytes)
     grade = np.asarray(rows["grade"], float)
     model = OrdinalModel(np.unique(grade) if len(grade) else np.zeros(1))
-    return model.fit(rows["text"].combine_chunks(), grade) if len(grade) else model
+    return model.fit(words.one_array(rows, "text"), grade) if len(grade) else model
 
 
 def predict(docs: DataFrame, model: OrdinalModel, *, grade: float = 1, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

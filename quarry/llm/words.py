@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import chunk_tokens
+from quarry.runtime import forget, stored
 
 
 #: Texts of one pass of a model take at most so many UTF-8 bytes (or are one text): values per word are held for a pass.
@@ -32,6 +33,30 @@ def sample(labelled: DataFrame, rows: int, key: str, size: int | None = None, te
     return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def collected(rows: DataFrame, size: int) -> pa.Table:
+    """The sampled *rows* (id, text and more) on the driver, in an order of their own that is the same at each run.
+
+    Only as many as take *size* UTF-8 bytes in all: whole texts, by a hash of the
+    id; the driver sees one number a row before it gets a text.
+    """
+    rows = stored(rows.withColumn("place", F.xxhash64("id", F.lit("place"))), "sample")
+    total, last = 0, None
+    for place, n in sorted((r.place, r.n) for r in rows.select("place", F.octet_length("text").alias("n")).collect()):
+        total += n
+        if total > size:
+            break
+        last = place
+    chosen = rows.where(F.col("place") <= last) if last is not None else rows.limit(0)
+    table = chosen.orderBy("place", F.xxhash64("text"), *(c for c in rows.columns if c not in ("id", "text", "place"))).toArrow()
+    forget(rows)
+    return table
+
+
+def one_array(table: pa.Table, column: str) -> pa.Array:
+    found = table[column].combine_chunks()
+    return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) and found.num_chunks else found
+
+
 def batches_of_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
     """(first row, end row, distinct chunks, chunk number of each word, where each text's words begin and end) in passes of bounded size."""
     for a, b in chunk_tokens.slices(texts, PASS_BYTES):
@@ -48,6 +73,18 @@ def sums(values: np.ndarray, index: np.ndarray, bounds: np.ndarray) -> np.ndarra
     return out
 
 
+def prefix_keys(shown: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the first *size* characters of each word that is longer, and which words those are."""
+    length = np.fromiter(map(len, shown), np.int64, len(shown))
+    longer = np.flatnonzero(length > size)
+    codes = np.frombuffer("".join(shown).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts = (np.cumsum(length) - length)[longer]
+    h = np.full(len(longer), size, np.uint64)
+    for k in range(size):
+        h = (h ^ (h >> np.uint64(29))) * _MIX + codes[starts + k]
+    return h * _MIX, longer
+
+
 def hash32(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
