@@ -1,4 +1,6 @@
 import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -159,6 +161,102 @@ def test_toxicity_scores_all_words_in_blocks(monkeypatch):
     assert np.allclose(whole, model._all(texts), atol=1e-5)
 
 
+def brute_toxicity(model, text):
+    """The raw answer, word by word in plain Python."""
+    mix, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def poly(s, h):
+        for c in s:
+            h = ((h ^ (h >> 29)) * mix + ord(c)) & mask
+        return h * mix & mask
+
+    embedded = []
+    for chunk in [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w] or [""]:  # a text without words has an empty one
+        w = ("".join(c for c in chunk if c.isalnum()) or chunk).lower()
+        keys = [zlib.crc32(w.encode()) << 32]
+        keys += [poly(w[:n], n) for n in toxicity.PREFIXES if len(w) > n]
+        keys += [poly(f"^{w}$"[i : i + toxicity.PART], 0) ^ (1 << 63) for i in range(len(w) + 3 - toxicity.PART)]
+        embedded.append(sum(model.rows[(k >> 32) % toxicity.BUCKETS].astype(float) for k in keys) / math.sqrt(len(keys)))
+    out = model.base
+    for k, f in enumerate(model.filters):
+        for j in range(toxicity.FILTERS):
+            answers = [sum(embedded[i + o] @ f[o][:, j] for o in range(len(f))) for i in range(len(embedded) - len(f) + 1)]
+            # a text shorter than the filter is filled up with words of nothing
+            answers += [sum(embedded[i + o] @ f[o][:, j] for o in range(len(embedded) - i)) for i in range(max(len(embedded) - len(f) + 1, 0), len(embedded))]
+            n = k * toxicity.FILTERS + j
+            out += model.out[n] * max(max(answers, default=0.0) + model.bias[n], 0.0)
+    return out
+
+
+def test_toxicity_against_brute_force():
+    texts = ["you zorgling trash", "Fine words, here; and there", "", "one", "!! ?? zorgl", "été strasse zorglonger", " ".join(["calm words"] * 40 + ["zorglist"]), "x" * 5000]
+    model = toxicity.ToxicityModel().fit(pa.array(texts * 3), np.array([1, 0, 0, 0, 1, 1, 1, 0] * 3))
+    assert np.allclose(model._all(pa.array(texts)), [brute_toxicity(model, t) for t in texts], atol=1e-3)
+
+
+def test_toxicity_of_documents(spark, larger):
+    """Held-out labels of a small table: two toxic texts of German are all there is to learn from."""
+    found = queries.op6_toxicity(spark, larger).join(spark.read.parquet(f"{larger}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert auc(found.toxic.to_numpy(), found.score.to_numpy()) > 0.9
+    assert found.predicted[found.toxic == 0].mean() < 0.05 and found.predicted[found.toxic == 1].mean() > 0.7
+
+
+def test_training_adds_to_the_log_odds():
+    """Two words are toxic only side by side, so that word counts tell nothing."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(600):
+        text = list(rng.choice([f"w{j}" for j in range(40)], 12))
+        toxic = int(i % 2)
+        at = int(rng.integers(0, 5))
+        text[at], text[at + 1 if toxic else at + 6] = "alpha", "omega"
+        rows.append((" ".join(text), toxic))
+    texts, y = pa.array([t for t, _ in rows]), np.array([k for _, k in rows])
+    score = lambda epochs: auc(y[400:], toxicity.ToxicityModel().fit(texts.slice(0, 400), y[:400], epochs=epochs)._all(texts.slice(400)))
+    assert score(0) < 0.75 and score(30) > 0.95
+
+
+def test_toxicity_ties_and_long_texts(spark):
+    assert toxicity.best_threshold(np.array([1.0, 1.0, 1.0, 0.0]), np.array([1, 0, 1, 0])) == 0.5
+    docs = spark.createDataFrame([(i, "calm words here " * 3 + ("zorgl" if i % 2 else "quiet")) for i in range(20)] + [(50, "calm words " * 60_000 + "zorgl"), (51, "calm words " * 60_000), (52, "same"), (52, "same")], "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"))
+    got = {}
+    for r in toxicity.predict(docs, model).collect():
+        assert got.setdefault(r.doc_id, r) == r
+    assert got[50].predicted == 1 and got[51].predicted == 0
+    assert toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int"), train_bytes=10).threshold == 1e9
+
+
+def brute_quality(model, text, grade):
+    words_ = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w] or [""]
+    n = max(len(words_), 1)
+    mean = lambda f: sum(map(f, words_)) / n
+    x = [mean(lambda w: not any(c.isalnum() for c in w)), mean(lambda w: w[-1:] in ".!?"), mean(lambda w: any(c.isdigit() for c in w)), mean(lambda w: w[:1].isupper()), mean(lambda w: min(len(w), 40) / 10)]
+    x += [sum(a == b for a, b in zip(words_, words_[1:])) / n, len(set(words_)) / n, math.log1p(len(words_)) / 10, float(not words_)]
+    latent = sum(model.hashed[zlib.crc32(w.lower().encode()) % quality.BUCKETS] for w in words_) / math.sqrt(n) + ((np.array(x) - model.mean) / model.spread) @ model.shape
+    below = [0.0, *(1 / (1 + math.exp(latent - t)) for t in model.thresholds), 1.0]
+    p = [b - a for a, b in zip(below, below[1:])]
+    return sum(q * g for q, g in zip(p, model.grades)), sum(q for q, g in zip(p, model.grades) if g >= grade)
+
+
+def test_quality_against_brute_force():
+    texts = ["Good words here. All fine!", "bad bad bad bad", "", "?? !! ..", "One 2 three", "x" * 9000, "tie tie", "tie tie"]
+    model = quality.OrdinalModel(np.array([0.0, 1.0, 3.0])).fit(pa.array(texts * 4), np.array([3, 0, 0, 0, 1, 1, 1, 1] * 4, float))
+    expected, tail = model.score(pa.array(texts), 1)
+    for t, e, p in zip(texts, expected, tail):
+        assert np.allclose((e, p), brute_quality(model, t, 1), atol=1e-4)
+    assert expected[-1] == expected[-2]
+
+
+def test_quality_long_texts_and_bytes(spark):
+    docs = spark.createDataFrame([(1, "good words. " * 50_000), (2, "bad bad " * 50_000), (3, "good words."), (4, "bad bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
+    got = {r.doc_id: r.selected for r in quality.predict(docs, quality.fit(docs, labels)).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False}
+    short = quality.fit(docs, labels, train_bytes=100)
+    assert len(short.grades) <= 2 and len(quality.predict(docs, short).collect()) == 4
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(1, "a b", 1), (2, None, 2), (3, "", 3), (3, "", 3)], "doc_id long, text string, score int")
     for labels in ([], [(1, 0), (2, 0)], [(1, 1), (2, 0), (3, None)]):
