@@ -18,8 +18,8 @@ from quarry.runtime import shuffle_partitions, stored
 FAN_IN = 16
 #: A bin with more free space than this part of it is open even where its partition meets the bound.
 SLACK = 64
-#: Documents that one repacking task takes on average at most; no further merging beyond it.
-REPACK_ROWS = 4_000_000
+#: Documents that one repacking task takes, about: a pool with more is dealt to several tasks, by bins.
+REPACK_ROWS = 1_000_000
 #: Pieces that are packed together where the order of the documents counts, and how often one may wait for the next stretch.
 STRETCH, CARRY = 512, 4
 
@@ -160,17 +160,17 @@ def _stretches(path: str, capacity: int, closing: int, stretch: int):
 
 def _repack(capacity: int, level: int):
     def again(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        group = int(key[0])
+        pool, deal, deals = (int(x) for x in key)
         pdf = pdf.sort_values(["level", "part", "bin", "offset"], kind="stable")
         sizes = pdf["length"].to_numpy()
-        old = pdf[["level", "part", "bin"]].drop_duplicates().shape[0]
-        bins, offsets, fill = best_fit_decreasing(sizes, capacity)
-        if len(fill) < old:
-            pdf = pdf.assign(level=np.int32(level), part=group, bin=bins, offset=offsets)
-        else:
-            bins = pdf.groupby(["level", "part", "bin"], sort=False).ngroup().to_numpy()
-            fill = np.bincount(bins, sizes).astype(np.int64)
-        return pdf.assign(open=_still_open(bins, fill, sizes, capacity), pool=group // FAN_IN)
+        bins = pdf.groupby(["level", "part", "bin"], sort=False).ngroup().to_numpy()
+        offsets, fill = pdf["offset"].to_numpy(), np.bincount(bins, sizes).astype(np.int64)
+        found = best_fit_decreasing(sizes, capacity)
+        saved = len(fill) - len(found[2])
+        if saved > 0:
+            bins, offsets, fill = found
+        # bins of a pool's tasks are numbered in turn
+        return pdf.assign(level=np.int32(level), part=pool, bin=bins * deals + deal, offset=offsets, open=_still_open(bins, fill, sizes, capacity), pool=pool // FAN_IN, saved=np.int64(max(saved, 0)))
 
     return again
 
@@ -184,8 +184,11 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing:
     functions.  Partitions above their bound send the documents of bins with
     room, and the others those of bins with more than a little, to a common task
     of FAN_IN partitions, which packs them anew and keeps the better packing; that
-    repeats until one task has seen all that is open.  Only ids and lengths
-    travel, never texts.
+    repeats until one pool has seen all that is open.  Only ids and lengths
+    travel, never texts.  A pool of more than REPACK_ROWS documents is dealt to
+    several tasks, by bins; when the last pool is, it is dealt anew each round
+    until a round saves less than a bin a task, so a task's memory is bounded at every
+    size and no case stops the exchange early.
 
     With *order*, columns to sort by, each task packs a range of the documents,
     STRETCH pieces at a time, and sequence_id rises with the order: pieces that
@@ -203,20 +206,31 @@ def pack_documents(docs: DataFrame, path: str, *, capacity: int = 2048, closing:
         first = _stretches(path, capacity, closing, STRETCH)
     placed = stored(kept.mapInArrow(first, PLACED), "placed")
     parts = [placed.where(~F.col("open"))]
-    waiting, level = placed.where("open"), 1
-    pools, rows = waiting.agg(F.max("pool") + 1, F.count("*")).first()
-    while rows and rows <= REPACK_ROWS * pools:
-        out = stored(waiting.groupBy("pool").applyInPandas(_repack(capacity, level), PLACED), "repacked")
-        parts.append(out.where(~F.col("open")))
-        waiting, level = out.where("open"), level + 1
-        if pools == 1:
+    waiting, level = placed.where("open"), 0
+    while True:
+        sizes = {r.pool: r["count"] for r in waiting.groupBy("pool").count().collect()}
+        if not sizes:
             break
-        pools, rows = waiting.agg(F.max("pool") + 1, F.count("*")).first()
+        level += 1
+        deals = {pool: -(-n // REPACK_ROWS) for pool, n in sizes.items()}
+        many = F.lit(1)
+        if max(deals.values()) > 1:
+            many = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pool, k in deals.items() if k > 1 for x in (pool, k))), F.col("pool")), F.lit(1))
+        dealt = waiting.withColumn("deals", many.cast("long")).withColumn("deal", F.pmod(F.xxhash64("level", "part", "bin", F.lit(level)), F.col("deals")))
+        out = dealt.groupBy("pool", "deal", "deals").applyInPandas(_repack(capacity, level), f"{PLACED}, deals bigint, deal bigint, saved bigint")
+        out = stored(out, "repacked")
+        parts.append(out.where(~F.col("open")).drop("deals", "deal", "saved"))
+        waiting = out.where("open").drop("deals", "deal", "saved")
+        if len(sizes) == 1 and 0 in sizes:
+            tasks = deals[0]
+            saved = out.groupBy("deal").agg(F.first("saved").alias("s")).agg(F.coalesce(F.sum("s"), F.lit(0))).first()[0]
+            if tasks == 1 or saved < tasks:
+                break
     whole = waiting
     for part in parts:
         whole = whole.unionByName(part)
-    sequence = F.shiftleft(F.col("level").cast("long"), 58) + F.shiftleft(F.col("part"), 29) + F.col("bin")
+    sequence = F.shiftleft(F.col("level").cast("long"), 57) + F.shiftleft(F.col("part"), 33) + F.col("bin")
     if order:
-        last = (F.col("part") + 1) * F.pow(F.lit(FAN_IN), F.col("level")).cast("long") - 1
-        sequence = F.shiftleft(last, 32) + F.shiftleft(F.col("level").cast("long"), 28) + F.col("bin")
+        last = (F.col("part") + 1) * F.pow(F.lit(FAN_IN), F.least(F.col("level"), F.lit(6))).cast("long") - 1
+        sequence = F.shiftleft(last, 39) + F.shiftleft(F.col("level").cast("long"), 33) + F.col("bin")
     return whole.select("doc_id", "piece", "start", "length", "ids_crc32", sequence.alias("sequence_id"), "offset")

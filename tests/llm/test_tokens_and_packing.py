@@ -115,6 +115,18 @@ def test_packing_of_documents(spark, sf):
     assert n <= -(-total // 2048) + 2
 
 
+def test_large_pools_are_dealt_to_several_tasks(spark, sf, monkeypatch):
+    """No task takes many more than REPACK_ROWS documents, and the packing is as tight as in one task."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(40)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    monkeypatch.setattr(packing, "REPACK_ROWS", 30)
+    n = check_packing(packing.pack_documents(docs, PATH, capacity=1000).collect(), texts, 1000)
+    total = sum(n for _, n, _ in brute(texts, 1000).values())
+    assert n <= -(-total // 1000) * 1.03 + 2
+    over_half = spark.createDataFrame([(i, "the " * (600 + i)) for i in range(90)], "doc_id long, text string").repartition(20)
+    check_packing(packing.pack_documents(over_half, PATH, capacity=1000).collect(), [(r.doc_id, r.text) for r in over_half.collect()], 1000)
+
+
 def test_packing_edges(spark):
     texts = [(1, None), (2, ""), (3, "a b"), (None, "c"), (5, "word " * 50)]
     docs = spark.createDataFrame([(i, t, 7) for i, t in texts], "doc_id long, text string, offset int")
