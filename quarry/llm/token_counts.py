@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import chunk_tokens
-from quarry.runtime import bounded, shared_dir, stored
+from quarry.runtime import bounded, delete, shared_dir, stored
 
 CACHE_SCHEMA = "content string, tokenizer string, n_tokens bigint"
 
@@ -68,7 +68,7 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
 
     Texts that miss the cache move once, by digest, after copies within a task
     are put together; a count of the missing digests decides whether they are
-    first singled out by a broadcast.
+    first singled out by a broadcast.  A run without misses writes nothing.
     """
     spark = docs.sparkSession
     cache_dir = cache_dir or f"{shared_dir(spark)}/token-cache"
@@ -77,13 +77,27 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     known = read_cache(spark, cache_dir).where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     digests = stored(docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), content_digest(text).alias("content")), "digests")
     missing = stored(digests.select("content").distinct().join(known, "content", "left_anti"), "missing")
+    join_back = lambda counts: digests.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
+    old = known.withColumn("cached", F.lit(True))
+    if missing.isEmpty():
+        return join_back(old)
     texts = docs.select(content_digest(text).alias("content"), text.alias("text"))
     distinct_misses = texts.dropDuplicates(["content"])
     if not known.isEmpty():
         distinct_misses = texts.join(bounded(missing), "content", "left_semi").dropDuplicates(["content"])
-    fresh = distinct_misses.mapInArrow(_counts(path), "content string, n_tokens bigint")
     batch = f"{cache_dir}/batch-{uuid.uuid4().hex}"
-    fresh.select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.parquet(batch)
+    distinct_misses.mapInArrow(_counts(path), "content string, n_tokens bigint").select("content", F.lit(version).alias("tokenizer"), "n_tokens").write.parquet(batch)
     fresh = spark.read.schema(CACHE_SCHEMA).parquet(batch).select("content", "n_tokens", F.lit(False).alias("cached"))
-    counts = known.join(missing, "content", "left_anti").withColumn("cached", F.lit(True)).unionByName(fresh)
-    return digests.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "cached")
+    return join_back(old.join(missing, "content", "left_anti").unionByName(fresh))
+
+
+def compact(spark, cache_dir: str) -> int:
+    """Writes all batches of a cache as one, each key once, then deletes them; the number of keys.  For times when nothing else uses the cache."""
+    old = sorted({f.rsplit("/", 2)[0] + "/" + f.rsplit("/", 2)[1] for f in read_cache(spark, cache_dir).inputFiles()})
+    if not old:
+        return 0
+    batch = f"{cache_dir}/batch-{uuid.uuid4().hex}"
+    read_cache(spark, cache_dir).groupBy("content", "tokenizer").agg(F.max("n_tokens").alias("n_tokens")).write.parquet(batch)
+    for folder in old:
+        delete(spark, folder)
+    return spark.read.schema(CACHE_SCHEMA).parquet(batch).count()

@@ -149,3 +149,10 @@ def test_token_counts_and_cache(spark, tmp_path):
     second = token_counts.token_counts(more, PATH, cache_dir=cache).collect()
     assert [r.doc_id for r in second if not r.cached] == [99] and len(second) == len(texts) + 1
     assert token_counts.token_counts(docs.limit(0), PATH, cache_dir=cache).collect() == []
+    n = stored.count()
+    batches = len(list((tmp_path / "cache").iterdir()))
+    third = token_counts.token_counts(more, PATH, cache_dir=cache).collect()
+    assert all(r.cached for r in third) and len(list((tmp_path / "cache").iterdir())) == batches == 2
+    assert token_counts.compact(spark, cache) == n + 1 and len(list((tmp_path / "cache").iterdir())) == 1
+    assert sorted(token_counts.token_counts(more, PATH, cache_dir=cache).collect()) == sorted(third)
+    assert token_counts.compact(spark, str(tmp_path / "none")) == 0
