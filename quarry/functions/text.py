@@ -36,7 +36,7 @@ def html_title(html: Column) -> Column:
 
 
 def html_lang(html: Column) -> Column:
-    return F.regexp_extract(html, r"(?i)<html[^>]*\slang=[\"']?([A-Za-z0-9-]+)", 1)
+    return F.regexp_extract(html, r"(?i)<html[^>]*\slang\s*=\s*[\"']?([A-Za-z0-9-]+)", 1)
 
 
 def html_text(html: Column) -> Column:

@@ -26,6 +26,8 @@ COMMENTS = {
     "pascal": ("//", "{", "}"),
     "html xml markdown": ("", "<!--", "-->"),
 }
+#: Lines that are folded at a time.
+_STRETCH = 256
 MARKS = {language: marks for languages, marks in COMMENTS.items() for language in languages.split()}
 
 
@@ -33,7 +35,7 @@ def _roles(lines: Column, language: str) -> Column:
     """'comment', 'code' or 'blank' for each line, by what it begins with; an open block goes on over lines."""
     line_mark, begin, end = MARKS.get(language, ("", "", ""))
 
-    def step(state: Column, line: Column) -> Column:
+    def role_of(state: Column, line: Column) -> tuple[Column, Column]:
         bare = F.trim(line)
         opens = bare.startswith(begin) if begin else F.lit(False)
         closes = bare.contains(end) if end else F.lit(False)
@@ -41,20 +43,40 @@ def _roles(lines: Column, language: str) -> Column:
         comment = state["open"] | opens | (bare.startswith(line_mark) if line_mark else F.lit(False))
         still = F.when(state["open"], ~closes).otherwise(opens & ~closes_after)
         role = F.when((bare == "") & ~state["open"], "blank").when(comment, "comment").otherwise("code")
+        return still, role
+
+    if not end:
+        return F.transform(lines, lambda x: role_of(F.struct(F.lit(False).alias("open")), x)[1])
+
+    # lines are folded in stretches, so that no array grows line by line over the whole file
+    def one(state: Column, line: Column) -> Column:
+        still, role = role_of(state, line)
         return F.struct(still.alias("open"), F.array_append(state["roles"], role).alias("roles"))
 
-    start = F.struct(F.lit(False).alias("open"), F.array().cast("array<string>").alias("roles"))
-    return F.aggregate(lines, start, step, lambda s: s["roles"])
+    none = F.array().cast("array<string>")
+
+    def stretch(state: Column, part: Column) -> Column:
+        done = F.aggregate(part, F.struct(state["open"].alias("open"), none.alias("roles")), one)
+        return F.transform(F.array(done), lambda d: F.struct(d["open"].alias("open"), F.concat(state["roles"], d["roles"]).alias("roles")))[0]
+
+    at = F.sequence(F.lit(0), F.greatest(F.size(lines) - 1, F.lit(0)), F.lit(_STRETCH))
+    parts = F.transform(at, lambda i: F.slice(lines, i + 1, F.lit(_STRETCH)))
+    return F.aggregate(parts, F.struct(F.lit(False).alias("open"), none.alias("roles")), stretch, lambda s: s["roles"])
 
 
 def roles(lines: Column, language: Column) -> Column:
     """Line roles by language; of a language without comment marks all lines are code."""
-    out = None
-    for languages, _ in COMMENTS.items():
-        test = F.lower(language).isin(languages.split())
-        own = _roles(lines, languages.split()[0])
-        out = F.when(test, own) if out is None else out.when(test, own)
-    return out.otherwise(F.transform(lines, lambda x: F.when(F.trim(x) == "", "blank").otherwise("code")))
+
+
+    def of(lines: Column) -> Column:
+        out = None
+        for languages, _ in COMMENTS.items():
+            test = F.lower(language).isin(languages.split())
+            own = _roles(lines, languages.split()[0])
+            out = F.when(test, own) if out is None else out.when(test, own)
+        return out.otherwise(F.transform(lines, lambda x: F.when(F.trim(x) == "", "blank").otherwise("code")))
+
+    return F.transform(F.array(lines), of)[0]
 
 
 def loc(files: DataFrame) -> DataFrame:
@@ -67,30 +89,26 @@ def loc(files: DataFrame) -> DataFrame:
 def find_matches(files: DataFrame, pattern: str, *, before: int = 0, after: int = 0, per_file: int | None = None, role: str = "any") -> DataFrame:
     """(path, line, text, before, after) of every line that matches, in the order of path and line.
 
-    A file's lines stay together in one array, so context is a slice of it: there
-    is no window over lines and no shuffle but the final order.  *per_file* caps
+    A file's lines stay together in one array while its hits take their context
+    from it: there is no window over lines and no shuffle but the final order.  *per_file* caps
     the hits of a file; *role* keeps comments or code only.
     """
-    tests = re2(pattern)
-    rows = files.select("path", text.lines(F.col("body")).alias("lines"), *([F.col("language")] if "language" in files.columns else []))
-    hit = F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(tests)), i))
-    if role != "any":
-        wanted = {"comments": "comment", "code": "code"}[role]
-        rows = rows.withColumn("roles", roles(F.col("lines"), F.col("language") if "language" in files.columns else F.lit("")))
-        hit = F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(tests)) & (F.get("roles", i) == wanted), i))
-    hits = F.array_compact(hit)
-    if per_file is not None:
-        hits = F.slice(hits, 1, per_file)
-    rows = rows.withColumn("hits", hits).where(F.size("hits") > 0)
-    one = rows.select("path", "lines", F.explode("hits").alias("at"))
-    low = F.greatest(F.col("at") - before, F.lit(0))
-    return one.select(
-        "path",
-        (F.col("at") + 1).alias("line"),
-        F.get("lines", "at").alias("text"),
-        F.slice("lines", low + 1, F.col("at") - low).alias("before"),
-        F.slice("lines", F.col("at") + 2, F.lit(after)).alias("after"),
-    ).orderBy("path", "line")
+    tests = F.lit(re2(pattern))
+    language = F.col("language") if "language" in files.columns else F.lit("")
+
+    def hits(ls: Column, kinds: Column | None) -> Column:
+        """Each hit with its context: what is exploded holds a few lines, never the file's."""
+        wanted = None if kinds is None else {"comments": "comment", "code": "code"}[role]
+        at = F.array_compact(F.transform(ls, lambda x, i: F.when(F.rlike(x, tests) if kinds is None else F.rlike(x, tests) & (F.get(kinds, i) == wanted), i)))
+        if per_file is not None:
+            at = F.slice(at, 1, per_file)
+        low = lambda i: F.greatest(i - before, F.lit(0))
+        return F.transform(at, lambda i: F.struct((i + 1).alias("line"), F.get(ls, i).alias("text"), F.slice(ls, low(i) + 1, i - low(i)).alias("before"), F.slice(ls, i + 2, F.lit(after)).alias("after")))
+
+    # lines are bound to a name, so that they are split once a file
+    with_roles = lambda ls: F.transform(F.array(roles(ls, language)), lambda kinds: hits(ls, kinds))[0]
+    found = F.transform(F.array(text.lines(F.col("body"))), (lambda ls: hits(ls, None)) if role == "any" else with_roles)[0]
+    return files.select("path", F.inline(found)).orderBy("path", "line")
 
 
 def read_lines(files: DataFrame, start: int = 1, end: int | None = None, most: int = 1000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quarry.functions import text
+from quarry.runtime import stored
 
 K1, B, RRF_K = 1.2, 0.75, 60
 
@@ -26,13 +27,19 @@ def _is(word: str, x: Column) -> Column:
 def bm25(files: DataFrame, query: str, k1: float = K1, b: float = B, key: str = "path") -> DataFrame:
     """(key, bm25) of every file; frequencies and lengths are those of *files* as they are, after any filter.
 
-    One pass counts the query's terms in each text; the corpus numbers are one row
-    (one document frequency a term), joined to all.
+    One pass counts the query's terms in each text; the counts, a few numbers a
+    file, are stored, so texts are read once.  The corpus numbers are one row (one
+    document frequency a term), joined to all.
     """
     terms = query_terms(query)
-    tokens = text.tokens(F.coalesce("body", F.lit("")))
-    times = [F.size(F.filter("t", functools.partial(_is, w))) for w in terms]
-    counted = files.select(F.col(key), tokens.alias("t")).select(key, F.size("t").alias("length"), F.array(*times).cast("array<int>").alias("tf"))
+
+    def counts(t: Column) -> Column:
+        times = [F.size(F.filter(t, functools.partial(_is, w))) for w in terms]
+        return F.struct(F.size(t).alias("length"), F.array(*times).cast("array<int>").alias("tf"))
+
+    # the tokens are bound to a name, so that they are made once a text
+    own = F.transform(F.array(text.tokens(F.coalesce("body", F.lit("")))), counts)[0]
+    counted = stored(files.select(F.col(key), own.alias("c")).select(key, "c.*"), "counts")
     numbers = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.array(*(F.sum((F.get("tf", F.lit(i)) > 0).cast("int")) for i in range(len(terms)))).cast("array<bigint>").alias("df"))
     met = counted.crossJoin(F.broadcast(numbers))
     score = F.lit(0.0)
@@ -88,8 +95,9 @@ def positions(scored: DataFrame, score: str, key: str = "path") -> DataFrame:
 
 
 def fuse(a: DataFrame, b: DataFrame, score_a: str, score_b: str, key: str = "path", k: int = RRF_K) -> DataFrame:
-    """(key, rrf): reciprocal ranks in two full rankings, added up."""
-    x = positions(a.select(key, score_a), score_a, key).select(key, F.col("position").alias("pa"))
-    y = positions(b.select(key, score_b), score_b, key).select(key, F.col("position").alias("pb"))
+    """(key, rrf): reciprocal ranks in two full rankings, added up; the scores are stored, as ranking reads them several times."""
+    a, b = (stored(df.select(key, score), "scores") for df, score in ((a, score_a), (b, score_b)))
+    x = positions(a, score_a, key).select(key, F.col("position").alias("pa"))
+    y = positions(b, score_b, key).select(key, F.col("position").alias("pb"))
     part = lambda c: F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0))
     return x.join(y, key, "full_outer").select(key, (part("pa") + part("pb")).alias("rrf"))

@@ -8,7 +8,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import relevance
 from quarry.plans import cel
+from quarry.runtime import stored
 from quarry.sources.tables import variables
 
 #: Columns a projection always keeps.
@@ -31,13 +33,52 @@ def sort_columns(key: str, order: str, tie: str = "path") -> list:
     return [first, F.col(tie).asc()]
 
 
-def search(files: DataFrame, expression: str = "", *, sort: str | None = None, order: str = "asc", rank: str | None = None, limit: int | None = None, fields: list[str] | None = None) -> DataFrame:
-    """Filter, then rank, sort and cut.  A rank without a sort key sorts by rank, falling; an unknown key sorts nothing."""
+def above(expression: str, threshold: float = 0.5) -> str:
+    """*expression* and a similarity of *threshold* or more."""
+    test = f"similarity >= double({float(threshold)!r})"
+    return f"({expression}) && {test}" if expression.strip() else test
+
+
+def search(
+    files: DataFrame,
+    expression: str = "",
+    *,
+    sort: str | None = None,
+    order: str = "asc",
+    rank: str | None = None,
+    limit: int | None = None,
+    fields: list[str] | None = None,
+    keywords: str | None = None,
+    threshold: float | None = None,
+    hybrid: bool = False,
+) -> DataFrame:
+    """Filter, then rank, sort and cut.  A rank without a sort key sorts by rank, falling; an unknown key sorts nothing.
+
+    *keywords* gives the files that pass the filter a bm25 column, over just
+    these files.  They are then ranked by *rank*, which may use bm25; with
+    *hybrid* by the reciprocal ranks of bm25 and similarity added up; else by
+    bm25.  *threshold* keeps files of that similarity or more (0 is a threshold
+    too) and, without another order, sorts by similarity, falling.
+    """
+    if threshold is not None:
+        expression = above(expression, threshold)
+        if sort is None and rank is None and keywords is None:
+            sort, order = "similarity", "desc"
     found = where(files, expression)
-    if rank is not None:
+    if hybrid and (keywords is None or "similarity" not in found.columns):
+        raise ValueError("a hybrid search takes keywords and files with a similarity")
+    if keywords is not None:
+        scores = relevance.bm25(found, keywords)
+        if hybrid:
+            scored = stored(scores.join(found.select("path", F.coalesce("similarity", F.lit(0.0)).alias("similarity")), "path"), "hybrid")
+            scores = scores.join(relevance.fuse(scored, scored, "bm25", "similarity").withColumnRenamed("rrf", "rank"), "path")
+        found = found.drop("bm25").join(scores, "path")
+        if not hybrid and rank is None:
+            found = found.withColumn("rank", F.col("bm25"))
+    if rank is not None and not hybrid:
         found = ranked(found, rank)
-        if sort is None:
-            sort, order = "rank", order if order == "asc" and sort else "desc"
+    if sort is None and (rank is not None or keywords is not None):
+        sort, order = "rank", "desc"
     sortable = sort is not None and sort in found.columns and not dict(found.dtypes)[sort].startswith(("array", "map", "struct"))
     if sortable:
         found = found.orderBy(*sort_columns(sort, order))
@@ -88,6 +129,40 @@ def page(files: DataFrame, key: str, order: str, limit: int, token: str | None =
     return here, last.join(more, F.col("more")).select(F.base64(body.cast("binary")).alias("cursor"))
 
 
+def tuple_page(rows: DataFrame, keys: list[str], orders: list[str], limit: int, *, scope: str = "", token: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the page, the next page's token as a one-row table ``cursor``, empty at the end) of any *rows*, ordered by *keys*, each rising or falling by *orders*.
+
+    The keys together tell rows apart; nulls come first where a key rises and last
+    where it falls.  A token made for another *scope* or order is an error.
+    """
+    orders = ["desc" if o == "desc" else "asc" for o in orders]
+    kinds, after = dict(rows.dtypes), rows
+    if token is not None:
+        at = json.loads(base64.urlsafe_b64decode(token))
+        if at["scope"] != scope:
+            raise ValueError(f"the cursor is for {at['scope']!r}, not {scope!r}")
+        if at["orders"] != orders:
+            raise ValueError("the cursor is for another order")
+        later, same = F.lit(False), F.lit(True)
+        for key, order, value in zip(keys, orders, at["key"]):
+            column, held = F.col(key), F.lit(value).cast(kinds[key])
+            if order == "desc":
+                beyond = F.lit(False) if value is None else column.isNull() | (column < held)
+            else:
+                beyond = column.isNotNull() if value is None else column > held
+            later = later | (same & F.coalesce(beyond, F.lit(False)))
+            same = same & column.eqNullSafe(held)
+        after = rows.where(later)
+    up = [F.col(k).asc_nulls_first() if o == "asc" else F.col(k).desc_nulls_last() for k, o in zip(keys, orders)]
+    down = [F.col(k).desc_nulls_last() if o == "asc" else F.col(k).asc_nulls_first() for k, o in zip(keys, orders)]
+    ahead = after.orderBy(*up).limit(limit + 1)
+    here = ahead.orderBy(*up).limit(limit)
+    more = ahead.agg((F.count("*") > limit).alias("more"))
+    body = F.to_json(F.struct(F.lit(scope).alias("scope"), F.array(*map(F.lit, orders)).alias("orders"), F.array(*(F.col(k).cast("string") for k in keys)).alias("key")), {"ignoreNullFields": "false"})
+    last = here.orderBy(*down).limit(1)
+    return here, last.join(more, F.col("more")).select(F.base64(body.cast("binary")).alias("cursor"))
+
+
 # The named queries.  {since} stands for an instant.
 PRESETS = {
     "recent_changes": {"expression": 'mod_time > timestamp("{since}")', "sort": "mod_time", "order": "desc", "limit": 50},

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.runtime import join_each, stored
+
 # What a file can be grouped by.
 STRING_KEYS = ("content_type", "ext", "language", "camera_make", "camera_model", "author", "artist", "album", "genre", "dir", "project_type", "source", "video_codec", "audio_codec")
 TIME_KEYS = ("mod_time", "created_at", "taken_at", "date", "sent_at", "git_last_commit_time")
@@ -37,16 +39,30 @@ def totals(files: DataFrame, group_by: str = "content_type") -> DataFrame:
     return keyed.rollup("bucket").agg(F.count("*").alias("count"), F.sum("size").alias("total_size"))
 
 
-def duplicates(files: DataFrame, min_size: int = 1) -> DataFrame:
+def _hashed_twins(files: DataFrame, min_size: int) -> DataFrame:
+    """(path, size, sha256) of the files whose size occurs twice."""
+    sized = files.where((F.col("size") > 0) & (F.col("size") >= min_size))
+    twice = sized.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
+    return sized.join(twice, "size", "left_semi").select("path", "size", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
+
+
+def duplicate_members(files: DataFrame, min_size: int = 1) -> DataFrame:
+    """(sha256, path, size, count) of every file whose body occurs twice or more: a row each, so groups of any size are spread."""
+    hashed = stored(_hashed_twins(files, min_size), "hashed")
+    groups = hashed.groupBy("sha256").agg(F.count("*").alias("count")).where("count > 1")
+    return join_each(hashed, groups.withColumn("__n", F.col("count")), "sha256").select("sha256", "path", "size", "count")
+
+
+def duplicates(files: DataFrame, min_size: int = 1, paths: bool = True) -> DataFrame:
     """Groups of equal bodies: sha256, size, count, wasted, paths (sorted); most wasted first, then by hash.
 
-    Only sizes that occur twice are hashed; paths of one group are a list, as the
-    result asks for.
+    Only sizes that occur twice are hashed.  The paths of a group are one list and
+    so in one task: for groups without bound leave them out and take
+    duplicate_members().
     """
-    sized = files.where((F.col("size") > 0) & (F.col("size") >= min_size))
-    twice = sized.groupBy("size").agg(F.count("*").alias("n")).where("n > 1").select("size")
-    hashed = sized.join(twice, "size", "left_semi").select("path", "size", F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
-    groups = hashed.groupBy("sha256").agg(F.min("size").alias("size"), F.count("*").alias("count"), F.array_sort(F.collect_list("path")).alias("paths")).where("count > 1")
+    hashed = _hashed_twins(files, min_size)
+    listed = [F.array_sort(F.collect_list("path")).alias("paths")] if paths else []
+    groups = hashed.groupBy("sha256").agg(F.min("size").alias("size"), F.count("*").alias("count"), *listed).where("count > 1")
     return groups.withColumn("wasted", (F.col("count") - 1) * F.col("size")).orderBy(F.col("wasted").desc(), "sha256")
 
 
@@ -74,26 +90,26 @@ def diff(a: DataFrame, b: DataFrame, op: str) -> DataFrame:
     *a* and *b* have path (relative), size and body; empty files do not count.
     The minus operations give every path; intersect and union one row a content,
     with its least path on either side; mismatch pairs equal paths of different
-    content.  Columns: path_a, path_b, sha256, sha256_b, status.
+    content.  Columns: path_a, path_b, sha256, sha256_b, status, ordered by the first three.
     """
     side = lambda t, x: t.where("size > 0").select(F.col("path").alias(f"path_{x}"), F.sha2(F.col("body").cast("binary"), 256).alias("sha256"))
     left, right = side(a, "a"), side(b, "b")
     none = F.lit(None).cast("string")
     if op == "a-minus-b":
-        return left.join(right, "sha256", "left_anti").select("path_a", none.alias("path_b"), "sha256", none.alias("sha256_b"), F.lit("only_a").alias("status"))
+        return left.join(right, "sha256", "left_anti").select("path_a", none.alias("path_b"), "sha256", none.alias("sha256_b"), F.lit("only_a").alias("status")).orderBy("path_a", "path_b", "sha256")
     if op == "b-minus-a":
-        return right.join(left, "sha256", "left_anti").select(none.alias("path_a"), "path_b", "sha256", none.alias("sha256_b"), F.lit("only_b").alias("status"))
+        return right.join(left, "sha256", "left_anti").select(none.alias("path_a"), "path_b", "sha256", none.alias("sha256_b"), F.lit("only_b").alias("status")).orderBy("path_a", "path_b", "sha256")
     if op == "mismatch":
         other = right.withColumnRenamed("sha256", "sha256_b")
         met = left.join(other, (F.col("path_a") == F.col("path_b")) & (F.col("sha256") != F.col("sha256_b")))
-        return met.select("path_a", "path_b", "sha256", "sha256_b", F.lit("mismatch").alias("status"))
+        return met.select("path_a", "path_b", "sha256", "sha256_b", F.lit("mismatch").alias("status")).orderBy("path_a", "path_b", "sha256")
     first_a = left.groupBy("sha256").agg(F.min("path_a").alias("path_a"))
     first_b = right.groupBy("sha256").agg(F.min("path_b").alias("path_b"))
     if op not in ("intersect", "union"):
         raise ValueError(f"unknown operation {op!r}")
     met = first_a.join(first_b, "sha256", "inner" if op == "intersect" else "full_outer")
     status = F.when(F.col("path_b").isNull(), "only_a").when(F.col("path_a").isNull(), "only_b").otherwise("both")
-    return met.select("path_a", "path_b", "sha256", none.alias("sha256_b"), status.alias("status"))
+    return met.select("path_a", "path_b", "sha256", none.alias("sha256_b"), status.alias("status")).orderBy("path_a", "path_b", "sha256")
 
 
 def api_diff(before: DataFrame, after: DataFrame) -> DataFrame:

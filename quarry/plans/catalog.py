@@ -167,12 +167,19 @@ def word_line_count(spark, d):
     return docs(spark, d).select("path", text.line_count(F.col("body")).alias("line_count"), text.word_count(F.col("body")).alias("word_count"))
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^\n]*?)</title>', 1)) AS title, regexp_extract(html, '(?i)<html[^>]*\slang=["'']?([A-Za-z0-9-]+)', 1) AS lang FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_extract(html, '(?i)<title[^>]*>([^\n]*?)</title>', 1)) AS title, regexp_extract(html, '(?i)<html[^>]*\slang\s*=\s*["'']?([A-Za-z0-9-]+)', 1) AS lang FROM pages""")
 def html_title_lang(spark, d):
     return tables.page_files(tables.table(spark, d, "pages")).select("page_id", "title", F.col("language").alias("lang"))
 
 
-@query()
+_TAGS = "p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote"
+
+
+@query(rf"""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(t, '(?i)</(?:{_TAGS})\s*>|<br\s*/?>', chr(10), 'g') AS t FROM a),
+    c AS (SELECT page_id, regexp_replace(t, '(?s)<!--.*?-->|<[^>]*>', '', 'g') AS t FROM b),
+    d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&nbsp;', ' '), '&amp;', '&') AS t FROM c)
+    SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g')) AS text FROM d""")
 def html_text(spark, d):
     return tables.page_files(tables.table(spark, d, "pages")).select("page_id", text.html_text(F.col("body")).alias("text"))
 
@@ -211,9 +218,14 @@ def ngram_similarity_parts(spark, d):
     return tables.table(spark, d, "part").select("p_partkey", F.round(scalars.ngram_similarity(F.col("p_name"), F.col("p_type"), F.lit(3)), 6).alias("likeness"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, upper(regexp_extract(text, '[A-Za-z]+', 0)) AS w FROM documents),
+    c AS (SELECT doc_id, w, translate(w[1] || replace(replace(w[2:], 'H', ''), 'W', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01230120022455012623010202') AS s FROM w),
+    r AS (SELECT doc_id, w, {"regexp_replace(" * 6}s{"".join(f", '{i}+', '{i}', 'g')" for i in range(1, 7))} AS s FROM c)
+    SELECT doc_id, CASE WHEN w = '' THEN '0000' ELSE rpad(left(w[1] || replace(s[2:], '0', ''), 4), 4, '0') END AS code FROM r""")
 def soundex_names(spark, d):
-    return tables.table(spark, d, "customer").select("c_custkey", scalars.soundex(F.col("c_name")).alias("code"))
+    """The code of each document's first word of ASCII letters."""
+    word = F.regexp_extract("text", "[A-Za-z]+", 0)
+    return tables.table(spark, d, "documents").select("doc_id", scalars.soundex(word).alias("code"))
 
 
 @query("""WITH p AS (SELECT c_custkey, (c_custkey * 7919 % 1000) / 100.0 AS lat, (c_custkey * 104729 % 1000) / 100.0 AS lon FROM customer)
@@ -344,11 +356,11 @@ def graph_imported_by(spark, d):
     return graph.imported_by(_imports(spark, d), "/th", "prefix")
 
 
-@query(f"WITH {LINKS} SELECT url AS symbol, 'page' AS kind, page_id::VARCHAR AS path FROM pages WHERE url NOT IN (SELECT target FROM links)")
+@query(f"WITH {LINKS} SELECT page_id::VARCHAR AS path, url AS symbol, 'page' AS kind FROM pages WHERE url NOT IN (SELECT target FROM links)")
 def graph_dead_code(spark, d):
-    defs = tables.table(spark, d, "pages").select(F.col("url").alias("symbol"), F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("path"))
+    defs = tables.table(spark, d, "pages").select(F.col("url").alias("symbol"), F.lit("page").alias("kind"), F.col("page_id").cast("string").alias("path"), F.lit("html").alias("language"), F.lit("").alias("owner"), F.lit(True).alias("exported"))
     refs = _links(spark, d).select(F.col("target").alias("symbol"))
-    return graph.dead_code(defs, refs)
+    return graph.dead_code(defs, refs, ["html"]).select("path", "symbol", "kind")
 
 
 def _site_edges(spark, d):
@@ -403,20 +415,24 @@ def graph_cycles(spark, d):
 
 
 @query("""WITH u AS (SELECT l_partkey AS symbol, count(DISTINCT (l_partkey + l_linenumber // 7) % 5) AS n, min((l_partkey + l_linenumber // 7) % 5) AS f FROM lineitem GROUP BY 1)
-    SELECT p_partkey::VARCHAR AS symbol, 'part' AS kind, 'd' || (p_partkey % 5) || '/x' AS path FROM part LEFT JOIN u ON symbol = p_partkey WHERE n IS NULL OR (n = 1 AND f = p_partkey % 5)""")
+    SELECT p_partkey::VARCHAR AS symbol, 'function' AS kind, 'd' || (p_partkey % 5) || '/x' AS path, 'd' || (p_partkey % 5) AS package FROM part JOIN u ON symbol = p_partkey WHERE n = 1 AND f = p_partkey % 5""")
 def graph_unused_exports(spark, d):
     folder = lambda c: F.concat(F.lit("d"), F.expr(c) % 5, F.lit("/x"))
-    defs = tables.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.lit("part").alias("kind"), folder("p_partkey").alias("path"), F.lit(True).alias("exported"))
-    refs = tables.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), folder("l_partkey + l_linenumber div 7").alias("path"))
+    defs = tables.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("symbol"), F.lit("function").alias("kind"), folder("p_partkey").alias("path"), F.lit("go").alias("language"), F.lit(True).alias("exported"))
+    refs = tables.table(spark, d, "lineitem").select(F.col("l_partkey").cast("string").alias("symbol"), folder("l_partkey + l_linenumber div 7").alias("path"), F.lit("go").alias("language"))
     return graph.unused_exports(defs, refs)
 
 
-@query("""WITH t AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 23 = 0), o AS (SELECT 'p' || (p_partkey % 50) AS path, l_partkey IS NULL AS gap FROM part LEFT JOIN t ON p_partkey = l_partkey)
-    SELECT path, count(*) AS total, count(*) FILTER (WHERE gap) AS untested FROM o GROUP BY 1 HAVING count(*) FILTER (WHERE gap) > 0""")
+@query("""WITH t AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 23 = 0), v AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey % 29 = 0),
+    o AS (SELECT 'p' || (p_partkey % 50) AS path, p_partkey, p_partkey NOT IN (SELECT l_partkey FROM t) AS gap FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM v))
+    SELECT path, count(*) AS total, count(*) FILTER (WHERE gap) AS untested, array_to_string(list_sort(list('f' || p_partkey) FILTER (WHERE gap)), ',') AS untested_functions FROM o GROUP BY 1 HAVING count(*) FILTER (WHERE gap) > 0""")
 def graph_test_gaps(spark, d):
-    defs = tables.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 50).alias("path"), F.col("p_partkey").alias("symbol"))
-    refs = tables.table(spark, d, "lineitem").select(F.col("l_partkey").alias("symbol"), F.when(F.col("l_orderkey") % 23 == 0, "test/a").otherwise("b").alias("path"))
-    return graph.test_gaps(defs, refs, F.col("path").startswith("test/"))
+    name = lambda c: F.concat(F.lit("f"), F.col(c))
+    defs = tables.table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey") % 50).alias("path"), name("p_partkey").alias("symbol"), F.lit("function").alias("kind"), F.lit("go").alias("language"))
+    items = tables.table(spark, d, "lineitem")
+    refs = items.select(name("l_partkey").alias("symbol"), F.when(F.col("l_orderkey") % 23 == 0, "test/a").otherwise("b").alias("path"))
+    passed_on = items.where("l_orderkey % 29 = 0").select(F.lit("value").alias("kind"), name("l_partkey").alias("symbol"))
+    return graph.test_gaps(defs, refs, F.col("path").startswith("test/"), passed_on).withColumn("untested_functions", F.array_join("untested_functions", ","))
 
 
 @query("""WITH a AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_size <= 30), b AS (SELECT DISTINCT p_brand AS name, p_size::VARCHAR AS kind FROM part WHERE p_size > 20)
@@ -441,23 +457,40 @@ def watch_debounce(spark, d):
     return watch.debounce(events, "user_id", "6 hours").select("user_id", "events", "op")
 
 
-@query(f"""WITH {FILES}, c AS (SELECT path, body, unnest(range(0, greatest(least(ceil((length(body) - 1000) / 875.0)::INT, 63), 0) + 1)) AS chunk_id FROM files WHERE length(body) > 0)
+@query(f"""WITH {FILES}, c AS (SELECT path, body, unnest(range(0, greatest(ceil((length(body) - 1000) / 875.0)::INT, 0) + 1)) AS chunk_id FROM files WHERE length(body) > 0)
     SELECT path, chunk_id::INT AS chunk_id, (chunk_id * 875)::INT AS start, substring(body, (chunk_id * 875 + 1)::INT, 1000) AS text FROM c""")
 def overlapping_chunks(spark, d):
     return lines.chunks(docs(spark, d), 1000)
 
 
-@query()
+_U64 = "18446744073709551616"
+#: The fingerprints of near_duplicates in SQL: FNV-1a over bytes by a fold, then a vote for each bit.
+PRINTS = rf"""w AS (SELECT path, size, list_filter(string_split_regex(lower(body), '[^\p{{L}}\p{{N}}]+'), lambda x: length(x) >= 2) AS w FROM files),
+    g AS (SELECT path, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+    u AS (SELECT s, list_reduce(list_transform(range(1, strlen(s) * 2, 2), lambda i: ('0x' || hex(encode(s))[i:i + 1])::UBIGINT),
+        lambda h, b: ((xor(h, b)::UHUGEINT * 1099511628211) % {_U64})::UBIGINT, 14695981039346656037::UBIGINT) AS h FROM (SELECT DISTINCT s FROM g)),
+    v AS (SELECT path, ({" + ".join(f"(CASE WHEN sum((h >> {i}) & 1) * 2 > count(*) THEN {1 << i}::UHUGEINT ELSE 0 END)" for i in range(64))}) AS p FROM g JOIN u USING (s) GROUP BY path),
+    prints AS (SELECT path, size, p::UBIGINT AS p FROM v JOIN w USING (path) WHERE p <> 0)"""
+
+
+@query(f"""WITH RECURSIVE {FILES}, {PRINTS}, c AS (SELECT p, count(*) AS n FROM prints GROUP BY p),
+    e AS (SELECT x.p AS a, y.p AS b FROM c x JOIN c y ON bit_count(xor(x.p, y.p)) <= 9),
+    r AS (SELECT p AS a, p AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+    k AS (SELECT a AS p, min(b) AS root FROM r GROUP BY 1), m AS (SELECT path, size, p, root FROM prints JOIN k USING (p)),
+    t AS (SELECT root, count(*) AS members, arg_min(path, (-size, path)) AS top, arg_min(p, (-size, path)) AS tp FROM m GROUP BY root HAVING count(*) > 1)
+    SELECT top AS "group", path, size, 1 - bit_count(xor(p, tp)) / 64.0::DOUBLE AS similarity, path = top AS is_representative, members FROM m JOIN t USING (root)""")
 def near_duplicate_files(spark, d):
     return near_duplicates.near_duplicates(docs(spark, d))
 
 
-@query()
+@query(f"""WITH {FILES}, {PRINTS} SELECT path, size, (CASE WHEN p >= 9223372036854775808 THEN p::HUGEINT - {_U64} ELSE p::HUGEINT END)::BIGINT AS print FROM prints""")
 def simhash_fingerprints(spark, d):
     return near_duplicates.fingerprints(docs(spark, d))
 
 
-@query()
+@query(f"""WITH {FILES}, l AS (SELECT doc_id, {LINES} AS ls FROM files)
+    SELECT doc_id, len(list_filter(ls, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#')))::BIGINT AS loc,
+    len(list_filter(ls, lambda x: starts_with(trim(x), '#')))::BIGINT AS comment_loc, len(list_filter(ls, lambda x: trim(x) = ''))::BIGINT AS blank_loc FROM l""")
 def line_roles(spark, d):
     return lines.loc(docs(spark, d).withColumn("language", F.lit("python"))).select("doc_id", "loc", "comment_loc", "blank_loc")
 
@@ -468,3 +501,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from quarry.plans import file_catalog  # noqa: E402, F401  registers the queries over file rows here

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import functools
 import io
 import os
 import re
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from quarry import schema
 from quarry.functions import scalars, text
 from quarry.operators import lines
-from quarry.runtime import shuffle_partitions, stored
+from quarry.runtime import delete, shuffle_partitions, stored
 from quarry.sources import detect, parsers
 
-#: Bytes of a text body that attributes and searches see; and of an archive entry.
-BODY_BYTES = 1 << 20
-ENTRY_BYTES = 8 << 20
+#: Bytes of a file that detection sees.
+HEAD_BYTES = 1 << 16
+#: Lines of a source file in which a generator says so.
+GENERATED_LINES = 20
 
 
 LISTED = "path string, name string, root string, size bigint, modified double, is_dir boolean, is_symlink boolean, target_path string, is_broken_symlink boolean"
@@ -66,6 +68,17 @@ def _read(paths: pd.Series) -> pd.Series:
     return pd.Series([one(p) for p in paths], dtype=object)
 
 
+def _read_head(paths: pd.Series) -> pd.Series:
+    def one(path: str) -> bytes | None:
+        try:
+            with open(path, "rb") as f:
+                return f.read(HEAD_BYTES)
+        except OSError:
+            return None
+
+    return pd.Series([one(p) for p in paths], dtype=object)
+
+
 def _glob_test(patterns: list[str], git_dir: bool) -> str:
     """One expression for all globs over a name; .git is one unless *git_dir*."""
     globs = [*patterns, *([] if git_dir else [".git"])]
@@ -73,7 +86,7 @@ def _glob_test(patterns: list[str], git_dir: bool) -> str:
 
 
 def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False) -> DataFrame:
-    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, content (read only if used).
+    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, head and content (each read only if used).
 
     Hidden and empty files count.  Folders are listed by the executors, one level
     a round, so an excluded folder is never entered; they must be mounted where
@@ -89,7 +102,7 @@ def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_di
         front = level.where("is_dir").select("path", "root").repartition(shuffle_partitions(spark))
         if level.where("is_dir").isEmpty():
             break
-    content = F.pandas_udf(_read, "binary")
+    content, head = F.pandas_udf(_read, "binary"), F.pandas_udf(_read_head, "binary")
     return found.select(
         "path",
         "name",
@@ -101,6 +114,7 @@ def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_di
         "is_symlink",
         "target_path",
         "is_broken_symlink",
+        head("path").alias("head"),
         content("path").alias("content"),
     )
 
@@ -161,26 +175,38 @@ def without_artefacts(files: DataFrame) -> DataFrame:
 
 def detected(files: DataFrame) -> DataFrame:
     """*files* with content_type, magic_content_type, extension_content_type and is_disguised."""
-    named, magic = F.coalesce(detect.by_name(F.col("name")), F.lit("")), F.coalesce(detect.by_magic(F.substring("content", 1, 512)), F.lit(""))
-    out = files.withColumns({"content_type": detect.content_type(F.col("name"), F.col("content")), "extension_content_type": named, "magic_content_type": magic})
-    return out.withColumn("is_disguised", (F.col("magic_content_type") != "") & (F.col("extension_content_type") != "") & (F.col("magic_content_type") != F.col("extension_content_type")))
+    head = F.col("head" if "head" in files.columns else "content")
+    named, magic = F.coalesce(detect.by_name(F.col("name")), F.lit("")), F.coalesce(detect.by_magic(F.substring(head, 1, 512)), F.lit(""))
+    out = files.withColumns({"content_type": detect.content_type(F.col("name"), head), "extension_content_type": named, "magic_content_type": magic})
+    return out.drop("head").withColumn("is_disguised", (F.col("magic_content_type") != "") & (F.col("extension_content_type") != "") & (F.col("magic_content_type") != F.col("extension_content_type")))
+
 
+# Content types that a profile does not parse (it still detects them).
+PROFILES = {"code": ("image/", "audio/", "video/", "binary/", "bytecode/", "install/", "disk-image/", "archive/", "office/", "epub", "email/", "science/", "database/", "font/", "3d/", "chat/", "browser/", "bookmark/")}
 
 _TEXTS = ("text", "markdown", "csv", "json", "yaml", "toml", "xml", "html", "manifest/", "repo/", "ignore/", "build/", "source/", "platform/", "notebook/", "email/", "chat/", "image/svg")
 
 
-def attributes(files: DataFrame) -> DataFrame:
+def attributes(files: DataFrame, *, body_bytes: int | None = None, profile: str | None = None) -> DataFrame:
     """*files* (detected) with body and the attributes of their families.
 
     Text attributes are columns; other families go through one Arrow parser per
-    batch.  What cannot be parsed keeps its row, with attributes missing.
+    batch.  What cannot be parsed keeps its row, with attributes missing.  Bodies
+    and counts are those of whole files; with *body_bytes* text bodies end there
+    and is_body_truncated tells of which.  Files of the types of a *profile* (see
+    PROFILES) are not read.
     """
+    if profile is not None:
+        skipped = F.lit(False)
+        for prefix in PROFILES[profile]:
+            skipped = skipped | F.col("content_type").startswith(prefix)
+        files = files.withColumn("content", F.when(~skipped, F.col("content")))
     ct = F.col("content_type")
     is_text = F.lit(False)
     for t in _TEXTS:
         is_text = is_text | ct.startswith(t)
     parsed = files.mapInPandas(_parse, _schema(files))
-    body = F.coalesce("p_body", F.when(is_text, F.make_valid_utf8(F.substring("content", 1, BODY_BYTES).cast("string"))))
+    body = F.coalesce("p_body", F.when(is_text, F.make_valid_utf8((F.col("content") if body_bytes is None else F.substring("content", 1, body_bytes)).cast("string"))))
     out = parsed.withColumn("body", F.when(F.length(F.coalesce(body, F.lit(""))) > 0, body)).drop("p_body")
     code = ct.startswith("source/")
     language = F.when(code, F.substring(ct, 8, 64))
@@ -196,7 +222,8 @@ def attributes(files: DataFrame) -> DataFrame:
             "root_element": F.when(ct == "xml", text.xml_root(F.col("body"))),
             "license_id": F.when(ct == "repo/license", scalars.license_id(F.col("body"))),
             "is_test_file": F.when(code, test_file(F.col("name"), F.col("path"))),
-            "is_generated_code": F.when(code, generated(F.col("body"))),
+            "is_generated_code": F.when(code, generated(F.col("body"), language)),
+            **({} if body_bytes is None else {"is_body_truncated": F.coalesce(is_text & (F.length("content") > body_bytes), F.lit(False))}),
         }
     )
     counted = out.withColumn("__r", F.when(code & has, lines.roles(text.lines(F.col("body")), F.col("language"))))
@@ -209,9 +236,35 @@ def test_file(name: Column, path: Column) -> Column:
     return name.rlike(r"(?:_test\.go|_test\.py|^test_.*\.py|\.(?:test|spec)\.[cm]?[jt]sx?|Tests?\.(?:java|kt|cs|swift)|_spec\.rb|_test\.(?:rb|exs|rs))$") | path.rlike(r"/(?:tests?|__tests__|spec)/")
 
 
-def generated(body: Column) -> Column:
-    """Whether the first lines say that the code is generated."""
-    return F.coalesce(F.substring(body, 1, 4096).rlike(r"(?im)^\W*(?:code generated .* do not edit|@generated|autogenerated|auto-generated|this file (?:is|was) (?:auto(?:matically)?[- ])?generated)"), F.lit(False))
+# What a generator writes into a file of a language, in lower case.
+GENERATED = {
+    "go": ["// code generated "],
+    "python": ["# generated by", "# generated automatically", "# autogenerated", "# this file is autogenerated", "# do not edit", "# @generated"],
+    "java": ["// generated by", "@javax.annotation.generated", "@generated", "// do not edit"],
+    "kotlin": ["// generated by", "@generated", "// do not edit"],
+    "scala": ["// generated by", "// do not edit", "@generated"],
+    "csharp": ["// <auto-generated", "<auto-generated>", "// generated by", "// do not edit"],
+    "javascript": ["// @generated", "// this file is auto-generated", "// do not edit", "// generated by"],
+    "typescript": ["// @generated", "// this file is auto-generated", "// do not edit", "// generated by"],
+    "rust": ["// @generated", "// auto-generated", "// generated by", "// do not edit"],
+    "ruby": ["# @generated", "# generated by", "# do not edit"],
+    "swift": ["// generated by", "// do not edit", "// @generated"],
+    "perl": ["# generated by", "# do not edit"],
+    "shell": ["# generated by", "# do not edit", "# @generated"],
+    "php": ["// @generated", "// generated by", "// do not edit", "# generated by"],
+}
+
+
+def generated(body: Column, language: Column) -> Column:
+    """Whether one of the first GENERATED_LINES lines holds a mark of the language's generators."""
+    head = F.lower(F.substring_index(body, "\n", GENERATED_LINES))
+    out = F.lit(False)
+    for name, marks in GENERATED.items():
+        held = F.lit(False)
+        for mark in marks:
+            held = held | head.contains(mark)
+        out = F.when(language == name, held).otherwise(out)
+    return F.coalesce(out, F.lit(False))
 
 
 def _schema(files: DataFrame) -> str:
@@ -227,25 +280,27 @@ def _parse(batches):
         yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in found.items()})], axis=1)
 
 
-def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "") -> DataFrame:
+def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "", prune_artefacts: bool = False, body_bytes: int | None = None, profile: str | None = None) -> DataFrame:
     """The whole source: listing, excludes, detection and attributes, ready for any search."""
     files = walk(spark, *roots, exclude_globs=list(exclude_globs))
     if ignore_rules:
         files = gitignore(files, ignore_rules)
-    return attributes(detected(files)).drop("rel")
+    if prune_artefacts:
+        files = without_artefacts(files)
+    return attributes(detected(files), body_bytes=body_bytes, profile=profile).drop("rel")
 
 
-def _entries(batches):
+def _entries(most: int | None, batches):
     for pdf in batches:
         for path, name, content in zip(pdf["path"], pdf["name"], pdf["content"]):
             found = []
             try:
                 if zipfile.is_zipfile(io.BytesIO(content)):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        found = [(i.filename, i.file_size, z.read(i) if i.file_size <= ENTRY_BYTES else None) for i in z.infolist() if not i.is_dir()]
+                        found = [(i.filename, i.file_size, z.read(i) if most is None or i.file_size <= most else None) for i in z.infolist() if not i.is_dir()]
                 else:
                     with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                        found = [(m.name, m.size, t.extractfile(m).read() if m.size <= ENTRY_BYTES else None) for m in t if m.isfile()]
+                        found = [(m.name, m.size, t.extractfile(m).read() if most is None or m.size <= most else None) for m in t if m.isfile()]
             except (tarfile.TarError, zipfile.BadZipFile, OSError, EOFError, RuntimeError):
                 found = []
             rows = [(f"{path}#{n}", n.rsplit("/", 1)[-1], path, n, s, c) for n, s, c in found]
@@ -253,17 +308,18 @@ def _entries(batches):
                 yield pd.DataFrame(rows, columns=["path", "name", "archive", "entry", "size", "content"])
 
 
-def archive_entries(files: DataFrame) -> DataFrame:
-    """The files inside archives as rows: path archive#entry, name, dir, ext, size, rel, content (null over ENTRY_BYTES)."""
+def archive_entries(files: DataFrame, entry_bytes: int | None = None) -> DataFrame:
+    """The files inside archives as rows: path archive#entry, name, dir, ext, size, rel, content (null over *entry_bytes*, if given)."""
     held = files.where(F.col("content_type").startswith("archive/") | F.col("name").rlike(r"(?i)\.(zip|jar|tar|tgz|tar\.gz)$")).select("path", "name", "content")
-    out = held.mapInPandas(_entries, "path string, name string, archive string, entry string, size bigint, content binary")
+    out = held.mapInPandas(functools.partial(_entries, entry_bytes), "path string, name string, archive string, entry string, size bigint, content binary")
     return out.select("path", "name", F.col("archive").alias("dir"), F.lower(F.regexp_extract("name", r"(\.[^.]*)$", 1)).alias("ext"), "size", F.lit(None).cast("timestamp_ntz").alias("mod_time"), F.col("entry").alias("rel"), "content")
 
 
-def read_entry(files: DataFrame, archive: str, entry: str, most: int = BODY_BYTES) -> DataFrame:
-    """(path, content) of one entry, its first *most* bytes."""
+def read_entry(files: DataFrame, archive: str, entry: str, most: int | None = None) -> DataFrame:
+    """(path, content, is_truncated) of one entry: all of it, or its first *most* bytes."""
     one = archive_entries(files.where(F.col("path") == archive)).where(F.col("rel") == entry)
-    return one.select("path", F.substring("content", 1, most).alias("content"))
+    cut = F.col("content") if most is None else F.substring("content", 1, most)
+    return one.select("path", cut.alias("content"), (F.length("content") > F.length(cut)).alias("is_truncated"))
 
 
 def cached(files: DataFrame, folder: str) -> DataFrame:
@@ -282,6 +338,29 @@ def cached(files: DataFrame, folder: str) -> DataFrame:
     return cache.join(files.select(*keys), keys, "left_semi")
 
 
+def cache_list(spark: SparkSession, folder: str, prefix: str = "") -> DataFrame:
+    """(path, content_type, size, mod_time) of the cache's entries below *prefix*, by path."""
+    known = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    return known.where(F.col("path").startswith(prefix)).select("path", "content_type", "size", "mod_time").orderBy("path")
+
+
+def cache_evict(spark: SparkSession, folder: str, prefix: str = "", older_than=None) -> int:
+    """Drops the entries below *prefix* (all if blank) whose files changed before *older_than* (any time if none); how many went.
+
+    What stays is written as a new batch before the old ones are deleted.
+    """
+    known = spark.read.option("recursiveFileLookup", True).parquet(folder)
+    test = F.col("path").startswith(prefix)
+    if older_than is not None:
+        test = test & (F.col("mod_time") < F.lit(older_than))
+    before, old = known.count(), [f.rsplit("/", 1) for f in known.inputFiles()]
+    kept = stored(known.where(~F.coalesce(test, F.lit(False))), "kept")
+    kept.write.mode("append").parquet(folder)
+    for parent, name in old:
+        delete(spark, f"{parent}/{name}")
+    return before - kept.count()
+
+
 def cache_stats(spark: SparkSession, folder: str) -> DataFrame:
     """(content_type, entries, bytes) of the cache."""
-    return spark.read.parquet(folder).groupBy("content_type").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))
+    return spark.read.option("recursiveFileLookup", True).parquet(folder).groupBy("content_type").agg(F.count("*").alias("entries"), F.sum("size").alias("bytes"))

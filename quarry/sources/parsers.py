@@ -26,6 +26,8 @@ from datetime import datetime, timezone
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+from quarry.sources import symbols
+
 # The attributes that parsers can find.
 ATTRIBUTES = """
 title author language tags categories draft date frontmatter frontmatter_format word_count csv_columns column_count
@@ -266,47 +268,14 @@ def notebook(name: str, data: bytes):
     return "\n\n".join(source(c) for c in cells), attrs
 
 
-_BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.comprehension, ast.Assert, ast.match_case)
-
-
-def spans(source: str) -> list[dict]:
-    """Functions of Python source: name, start_line, end_line, complexity (branches and boolean operators, plus one)."""
-    out = []
-    for f in ast.walk(ast.parse(source)):
-        if isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            n = 1 + sum(isinstance(x, _BRANCHES) + (len(x.values) - 1 if isinstance(x, ast.BoolOp) else 0) for x in ast.walk(f))
-            out.append({"function": f.name, "start_line": f.lineno, "end_line": f.end_lineno, "complexity": n})
-    return out
-
-
-#: How functions, types and imports begin in languages without a parser here.
-_DEFINES = {
-    "go": (r"^func\s+(?:\([^)]*\)\s*)?(\w+)", r"^type\s+(\w+)", r"^\s*(?:import\s+)?(?:\w+\s+)?\"([\w./-]+)\"\s*$"),
-    "rust": (r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", r"^\s*(?:pub\s+)?(?:struct|enum|trait)\s+(\w+)", r"^\s*use\s+([\w:]+)"),
-    "javascript": (r"(?:^|\s)function\s*\*?\s+(\w+)|^\s*(?:export\s+)?const\s+(\w+)\s*=\s*(?:async\s*)?\(", r"(?:^|\s)class\s+(\w+)", r"(?:from|require\()\s*['\"]([^'\"]+)"),
-    "java": (r"^\s*(?:public|private|protected|static|final|\s)+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*$", r"\b(?:class|interface|enum|record)\s+(\w+)", r"^\s*import\s+(?:static\s+)?([\w.*]+)"),
-    "ruby": (r"^\s*def\s+(?:self\.)?(\w+[?!]?)", r"^\s*(?:class|module)\s+(\w+)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)"),
-    "c": (r"^[A-Za-z_][\w\s*]*?\b(\w+)\s*\([^;{]*\)\s*\{", r"\b(?:struct|enum|union)\s+(\w+)\s*\{", r"^\s*#include\s*[<\"]([^>\"]+)"),
-    "shell": (r"^\s*(?:function\s+)?(\w+)\s*\(\)", r"(?!)", r"^\s*(?:source|\.)\s+(\S+)"),
-    "php": (r"\bfunction\s+(\w+)", r"^\s*(?:abstract\s+|final\s+)?(?:class|interface|trait)\s+(\w+)", r"^\s*use\s+([\w\\]+)"),
-}
-_LIKE = {"typescript": "javascript", "cpp": "c", "csharp": "java", "kotlin": "java", "scala": "java", "swift": "rust", "zig": "rust"}
-
-
 def source(name: str, data: bytes, language: str):
     text, attrs = _text(data), {}
+    found = symbols.extract(text, language)
     if language == "python":
-        tree = ast.parse(text)
-        walk = list(ast.walk(tree))
-        attrs["functions"] = [x.name for x in walk if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef))]
-        attrs["type_names"] = [x.name for x in walk if isinstance(x, ast.ClassDef)]
-        attrs["imports"] = [a.name for x in walk if isinstance(x, ast.Import) for a in x.names] + [x.module or "." for x in walk if isinstance(x, ast.ImportFrom)]
-        attrs["references"] = sorted({x.id for x in walk if isinstance(x, ast.Name)} | {x.attr for x in walk if isinstance(x, ast.Attribute)})
-        attrs["max_complexity"] = max((s["complexity"] for s in spans(text)), default=0)
-    elif rules := _DEFINES.get(_LIKE.get(language, language)):
-        pick = lambda rule: [next(g for g in m.groups() if g) for m in re.finditer(rule, text, re.M)]
-        attrs["functions"], attrs["type_names"], attrs["imports"] = map(pick, rules)
-        attrs["references"] = sorted(set(re.findall(r"\b[A-Za-z_]\w*(?=\s*[(.{])", re.sub(rules[0], "", text, flags=re.M))))
+        ast.parse(text)  # a file that does not parse has no attributes
+    attrs = {k: found[k] for k in ("functions", "type_names", "imports")}
+    attrs["references"] = sorted({u["symbol"] for u in found["uses"]})
+    attrs["max_complexity"] = max((s["complexity"] for s in found["spans"]), default=0)
     return text, attrs
 
 

@@ -92,7 +92,8 @@ def test_simhash_definition():
         h = (h ^ b) * 1099511628211 % (1 << 64)
     assert near_duplicates.simhash("One, two; SIX a") == h
     assert near_duplicates.simhash("one two") == 0
-    assert int(near_duplicates.fnv1a([b"", b"a"])[0]) == 14695981039346656037
+    data = np.frombuffer(b"ab", np.uint8)
+    assert [int(x) for x in near_duplicates.fnv1a(data, np.array([0, 0, 1]), np.array([0, 1, 2]))] == [14695981039346656037, *((14695981039346656037 ^ b) * 1099511628211 % (1 << 64) for b in b"ab")]
 
 
 def test_positions(spark):
