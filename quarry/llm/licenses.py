@@ -6,6 +6,7 @@ the identifiers found, in order, are then matched by ordered rules.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -85,7 +86,7 @@ RULES = [
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary"]),
     ("BSD-3-Clause", ["BSD3Named"]),
     ("BSD-2-Clause", ["BSD2Named"]),
-    ("BSD", ["BSDNamed"]),
+    ("LicenseRef-BSD", ["BSDNamed"]),
     ("AGPL-3.0", ["AGPL3Named"]),
     ("LGPL-3.0", ["LGPL3Named"]),
     ("GPL-3.0-or-later", ["GPL3OrLater", "GPLNoWarranty"]),
@@ -157,6 +158,58 @@ def _more_sentences() -> dict[str, str]:
     return found
 
 
+#: Each known sentence has one of these words: a text or sentence without them needs no lookup.
+TRIGGER = r"(?i)licen[cs]e|permission|copyright|redistribut|warrant|mpl|cc0|unencumbered|rights reserved|mozilla|gpl|under (?:the )?(?:isc|mit|bsd|apache|boost|cc by)"
+#: Any opening before a statement of licence, unless it denies it; and the ways to begin one.
+_OPENING = r"^.*\b(?:is|are)(?: also| dual)? (?=(?:licensed|released|distributed|published|provided|available|made available) under )|^.* (?=you can redistribute it and or modify it under the terms of the )"
+_UNDER = r"^(?:licensed|released|distributed|published|provided|available|made available) under (?:the terms of )?(?:the |an? )?"
+#: What a sentence may open with before the words of SENTENCES.
+_SUBJECT = r"^(?:copyright(?: c)?(?: [0-9]+)?(?: [a-z0-9]+){0,8}? (?=all rights reserved$))|^(?:this|the|these|our|your)?(?: ?source)? ?(?:code|work|software|file|files|program|project|library|package|document|documentation|text|content|module|site)? ?(?:is|are)(?: also)? "
+
+
+_BREAK, _WRAP = r"([.!?;]|(?<![Ii]dentifier):)\s+", r"(?<=[^.!?;:\s])[ \t]*\r?\n(?![ \t]*\r?\n)[ \t#*/-]*"
+
+
+def normal(sentence: str) -> str:
+    """A sentence as the table has it: lower case, letters and digits, without what it opens with; see _normal."""
+    plain = re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
+    told = re.sub(_SUBJECT, "", re.sub(_OPENING, "", re.sub(r"\blicence", "license", plain)))
+    return re.sub(r"^(licensed under .*?) see .*$", r"\1", re.sub(_UNDER, "licensed under ", told))
+
+
+def _texts() -> dict[str, list[list[str]]]:
+    """The licences of license_texts.txt: the normal sentences of each of their lines; those without a trigger word tell nothing and are left out."""
+    found: dict[str, list[list[str]]] = {}
+    with open(os.path.join(os.path.dirname(__file__), "license_texts.txt"), encoding="utf-8") as f:
+        for line in f.read().splitlines():
+            if line.startswith("== "):
+                own = found.setdefault(line[3:], [])
+            elif line and not line.startswith("#"):
+                parts = re.split(r"\s*\n\s*", re.sub(_BREAK, r"\1\n", line))
+                own.append([normal(x) for x in parts if re.search(TRIGGER, x) and normal(x)])
+    return found
+
+
+def _learn() -> dict[str, str]:
+    """Adds the sentences of the licence texts, their titles as names, and a rule for each whole text; identifiers that one licence alone has."""
+    homes: dict[str, set[str]] = {}
+    whole = []
+    for name, lines in _texts().items():
+        ids, short = [], re.sub("[^A-Za-z0-9]", "_", name)
+        known = [normal(name.replace("-", " ")), *(lines[0] if lines else [])]
+        for form in [f"licensed under {x}" for x in known] + [f"spdx license identifier {known[0]}"]:
+            homes.setdefault(SENTENCES.setdefault(re.sub(_UNDER, "licensed under ", form), f"{short}Named"), set()).add(name)
+        for sentence in (x for line in lines for x in line):
+            i = SENTENCES.setdefault(sentence, f"{short}_{len(ids) + 1}")
+            homes.setdefault(i, set()).add(name)
+            ids += [i] if i not in ids else []
+        if len(ids) > 1:
+            whole.append((name, ids))
+    RULES[:0] = sorted(whole, key=lambda x: -len(x[1]))
+    ruled = {i for _, ids in RULES[len(whole) :] for i in ids}
+    return {i: next(iter(names)) for i, names in homes.items() if len(names) == 1 and i not in ruled}
+
+
 SENTENCES |= {k: v for k, v in _more_sentences().items() if k not in SENTENCES}
 RULES += [
     *((f"{short}-{v}-or-later", need) for short, v, i in (("GPL", "2.0", "2"), ("GPL", "3.0", "3"), ("LGPL", "2.0", "2"), ("LGPL", "2.1", "21"), ("LGPL", "3.0", "3"), ("AGPL", "3.0", "3")) for need in ([f"{short}Terms", f"Either{i}"], [f"{short}{i}OrLater"])),
@@ -173,13 +226,8 @@ RULES += [
     ("Unlicense", ["UnlicenseNamed"]),
 ]
 
-#: Each known sentence has one of these words: a text or sentence without them needs no lookup.
-TRIGGER = r"(?i)licen[cs]e|permission|copyright|redistribut|warrant|mpl|cc0|unencumbered|rights reserved|mozilla|gpl|under (?:the )?(?:isc|mit|bsd|apache|boost|cc by)"
-#: Any opening before a statement of licence, unless it denies it; and the ways to begin one.
-_OPENING = r"^.*\b(?:is|are)(?: also| dual)? (?=(?:licensed|released|distributed|published|provided|available|made available) under )|^.* (?=you can redistribute it and or modify it under the terms of the )"
-_UNDER = r"^(?:licensed|released|distributed|published|provided|available|made available) under (?:the terms of )?(?:the |an? )?"
-#: What a sentence may open with before the words of SENTENCES.
-_SUBJECT = r"^(?:copyright(?: c)?(?: [0-9]+)?(?: [a-z0-9]+){0,8}? (?=all rights reserved$))|^(?:this|the|these|our|your)?(?: ?source)? ?(?:code|work|software|file|files|program|project|library|package|document|documentation|text|content|module|site)? ?(?:is|are)(?: also)? "
+#: What an identifier that no rule took tells by itself.
+TELLING = _learn()
 
 
 def _normal(sentence: Column) -> Column:
@@ -189,29 +237,47 @@ def _normal(sentence: Column) -> Column:
 
 
 def _sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.!?;]|(?<![Ii]dentifier):)\s+", "$1\n"), r"\s*\n\s*")
+    return F.split(F.regexp_replace(text, _BREAK, "$1\n"), r"\s*\n\s*")
+
+
+def _map(table: dict[str, str]) -> Column:
+    return F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
 
 
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of *text* in order: first those of its paragraphs' sentences, then of single lines not found so."""
-    table = F.create_map(*(F.lit(x) for pair in {re.sub(_UNDER, "licensed under ", k): v for k, v in SENTENCES.items()}.items() for x in pair))
+    table = _map({re.sub(_UNDER, "licensed under ", k): v for k, v in SENTENCES.items()})
     known = lambda parts: F.array_compact(F.transform(F.filter(parts, lambda s: s.rlike(TRIGGER)), lambda s: F.try_element_at(table, _normal(s))))
-    unwrapped = F.regexp_replace(text, r"(?<=[^.!?;:\s])[ \t]*\r?\n(?![ \t]*\r?\n)[ \t#*/-]*", " ")
+    unwrapped = F.regexp_replace(text, _WRAP, " ")
     both = F.transform(F.array(F.struct(known(_sentences(unwrapped)).alias("a"), known(_sentences(text)).alias("b"))), lambda x: F.concat(x["a"], F.filter(x["b"], lambda i: ~F.array_contains(x["a"], i))))
     return F.when(text.rlike(TRIGGER), both[0]).otherwise(F.array().cast("array<string>"))
 
 
+def _rule(ids: list[str]) -> tuple[str, str]:
+    """A pattern for *ids* in this order, others between them, and what replaces it: the others.
+
+    Each gap ends at the first place of the next identifier and never gives way,
+    so a sequence of any length is read once; \\G goes on behind the last match.
+    """
+    return r"\G" + "".join(rf"((?:(?!{i} )\S+ )*+){i} " for i in ids), "".join(f"${n}" for n in range(1, len(ids) + 1))
+
+
 def licences(ids: Column) -> Column:
-    """The licences of an identifier sequence, each once, in the order of the rules."""
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit("(?<= )" + "((?:[^ ]+ )*?)".join(f"{i} " for i in need)).alias("need"), F.lit("".join(f"${n}" for n in range(1, len(need)))).alias("rest")) for name, need in RULES))
-    start = F.struct(F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("found"))
+    """The licences of an identifier sequence, each once, in the order of the rules; then what is told by single identifiers that are left."""
+    made = [(name, *_rule(need)) for name, need in RULES]
+    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(need).alias("need"), F.lit(rest).alias("rest")) for name, need, rest in made))
+    none = F.array().cast("array<string>")
+    start = F.struct(F.concat(F.array_join(ids, " "), F.lit(" ")).alias("left"), none.alias("found"))
+    telling = _map(TELLING)
 
-    def apply(state, rule):
+    def apply(state: Column, rule: Column) -> Column:
         hit = F.rlike(state["left"], rule["need"])
         return F.struct(F.when(hit, F.regexp_replace(state["left"], rule["need"], rule["rest"])).otherwise(state["left"]).alias("left"), F.when(hit, F.array_append(state["found"], rule["name"])).otherwise(state["found"]).alias("found"))
 
-    none = F.array().cast("array<string>")
-    return F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(rules, start, apply, lambda s: s["found"]))).otherwise(none)
+    def end(state: Column) -> Column:
+        return F.concat(state["found"], F.array_compact(F.transform(F.split(state["left"], " "), lambda i: F.try_element_at(telling, i))))
+
+    return F.when(F.size(ids) > 0, F.array_distinct(F.aggregate(rules, start, apply, end))).otherwise(none)
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

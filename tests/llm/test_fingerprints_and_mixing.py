@@ -197,6 +197,85 @@ def test_every_known_sentence_has_a_trigger_and_is_normal():
     assert needed <= set(licenses.SENTENCES.values())
 
 
+def brute_licences(text):
+    """Identifiers and licences by plain loops over sentences and lists."""
+    table = {re.sub(licenses._UNDER, "licensed under ", k): v for k, v in licenses.SENTENCES.items()}
+
+    def ids(text):
+        parts, now = [], ""
+        for k, c in enumerate(text + "\n"):
+            ends = c in ".!?;" or (c == ":" and now[-10:].lower() != "identifier")
+            now += c
+            if c == "\n" or (ends and text[k + 1 : k + 2].isspace()):
+                parts.append(now)
+                now = ""
+        return [table[licenses.normal(x)] for x in parts if re.search(licenses.TRIGGER, x) and licenses.normal(x) in table]
+
+    first = ids(re.sub(licenses._WRAP, " ", text))
+    left = first + [i for i in ids(text) if i not in first]
+    sequence, found = list(left), []
+    for name, need in licenses.RULES:
+        while True:
+            at, places = 0, []
+            for i in need:
+                at = left.index(i, at) if i in left[at:] else -1
+                if at < 0:
+                    break
+                places.append(at)
+                at += 1
+            if at < 0:
+                break
+            found.append(name)
+            left = [x for k, x in enumerate(left) if k not in places]
+    found += [licenses.TELLING[i] for i in left if i in licenses.TELLING]
+    return sequence, list(dict.fromkeys(found))
+
+
+def _license_texts():
+    import os
+
+    out, name = {}, None
+    with open(os.path.join(os.path.dirname(licenses.__file__), "license_texts.txt")) as f:
+        for line in f.read().splitlines():
+            if line.startswith("== "):
+                name = line[3:]
+                out[name] = []
+            elif name:
+                out[name].append(line)
+    return out
+
+
+def test_whole_licence_texts_are_known_by_name(spark):
+    import textwrap
+
+    texts = {n: "\n".join(lines) for n, lines in _license_texts().items()}
+    texts |= {f"wrapped {n}": "\n\n".join(textwrap.fill(x, 72) for x in lines) for n, lines in _license_texts().items()}
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts.values())], "doc_id long, text string")
+    got = {r.doc_id: list(r.licenses) for r in licenses.scan(docs).collect()}
+    for i, n in enumerate(texts):
+        assert got[i][:1] == [n.removeprefix("wrapped ")], (n, got[i])
+
+
+def test_licences_against_brute_force(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").collect()]
+    whole = ["\n".join(x) for x in _license_texts().values()]
+    rng = random.Random(8)
+    for k in range(120):
+        lines = [rng.choice(rng.choice(whole).split("\n")) for _ in range(rng.randrange(1, 14))]
+        rows.append((-1 - k, "\n\n".join(lines)))
+    rows += [(-1000, "\n".join(whole)), (-1001, whole[4] * 3 + "\n" + whole[5]), (-1002, "Licensed under the Apache License, Version 2.0.\n" * 3000 + "you may not use this file except in compliance with the License.\n" * 3000)]
+    got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        assert got[i] == brute_licences(text), i
+
+
+def test_the_tables_agree_with_the_columns(spark):
+    lines = sorted({x for own in _license_texts().values() for x in own} | set(licenses.SENTENCES))
+    rows = spark.createDataFrame([(x,) for x in lines], "s string").select("s", licenses._normal(F.col("s")).alias("n")).collect()
+    assert all(r.n == licenses.normal(r.s) for r in rows) and len(licenses.SENTENCES) > 500
+    assert len({n for n, _ in licenses.RULES}) > 40
+
+
 def test_license_lines_of_documents(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
