@@ -31,7 +31,7 @@ GENERATED_LINES = 20
 LISTED = "path string, name string, root string, size bigint, modified double, is_dir boolean, is_symlink boolean, target_path string, is_broken_symlink boolean"
 
 
-def _list(skip: str, follow: bool):
+def _list(skip: str, follow: bool, artefacts: dict[str, list[str]]):
     def run(batches):
         for pdf in batches:
             rows = []
@@ -40,7 +40,10 @@ def _list(skip: str, follow: bool):
                     entries = sorted(os.scandir(folder), key=lambda e: e.name)
                 except OSError:
                     continue
+                built = {x for e in entries for x in artefacts.get(e.name, ())}
                 for e in entries:
+                    if e.name in built and e.is_dir(follow_symlinks=False):
+                        continue
                     if skip and re.match(skip, e.name):
                         continue
                     link = e.is_symlink()
@@ -85,18 +88,19 @@ def _glob_test(patterns: list[str], git_dir: bool) -> str:
     return "|".join(f"(?:{fnmatch.translate(g)})" for g in globs)
 
 
-def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False) -> DataFrame:
+def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False, prune_artefacts: bool = False) -> DataFrame:
     """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, head and content (each read only if used).
 
     Hidden and empty files count.  Folders are listed by the executors, one level
-    a round, so an excluded folder is never entered; they must be mounted where
+    a round, so an excluded folder is never entered, nor with *prune_artefacts*
+    one that a project beside it builds (see ARTEFACTS); they must be mounted where
     executors run.  Links stay rows of their own unless *follow_symlinks*.
     """
     test = _glob_test(list(exclude_globs), git_dir)
     front = spark.createDataFrame([(r.rstrip("/") or "/", r.rstrip("/") or "/") for r in roots], "path string, root string")
     found = None
     while True:
-        level = stored(front.mapInPandas(_list(test, follow_symlinks), LISTED), "listing")
+        level = stored(front.mapInPandas(_list(test, follow_symlinks, ARTEFACTS if prune_artefacts else {}), LISTED), "listing")
         here = level.where(~F.col("is_dir"))
         found = here if found is None else found.unionByName(here)
         front = level.where("is_dir").select("path", "root").repartition(shuffle_partitions(spark))
@@ -136,8 +140,11 @@ def exclude(files: DataFrame, patterns: list[str], git_dir: bool = False) -> Dat
     return files.where(~F.exists(F.split("rel", "/"), lambda p: p.rlike(f"^(?:{test})$"))) if test else files
 
 
+_IGNORE = {"**/": "(?:.*/)?", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+
+
 def gitignore(files: DataFrame, rules: str) -> DataFrame:
-    """Without what the root ignore file's *rules* ignore: ** and ! are known, the last rule that matches counts."""
+    """Without what the root ignore file's *rules* ignore: **, ! and [classes] are known, the last rule that matches counts."""
     verdict: Column = F.lit(False)
     for line in rules.splitlines():
         rule = line.rstrip()
@@ -147,7 +154,8 @@ def gitignore(files: DataFrame, rules: str) -> DataFrame:
         rule = rule.lstrip("!")
         anchored = "/" in rule.rstrip("/")
         folder = rule.endswith("/")
-        body = re.escape(rule.strip("/")).replace(r"\*\*/", "(?:.*/)?").replace(r"/\*\*", "/.*").replace(r"\*\*", ".*").replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+        body = "".join(_IGNORE.get(x, x if x[0] == "[" and len(x) > 1 else re.escape(x)) for x in re.findall(r"\*\*/|/\*\*|\*\*|\[!?\]?[^\]]*\]|.", rule.strip("/")))
+        body = re.sub(r"(?<!\\)\[!", "[^", body)
         pattern = ("^" if anchored else "(?:^|/)") + body + ("/.*$" if folder else "(?:/.*)?$")
         verdict = F.when(F.col("rel").rlike(pattern), F.lit(not keep)).otherwise(verdict)
     return files.where(~verdict)
@@ -282,11 +290,9 @@ def _parse(batches):
 
 def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "", prune_artefacts: bool = False, body_bytes: int | None = None, profile: str | None = None) -> DataFrame:
     """The whole source: listing, excludes, detection and attributes, ready for any search."""
-    files = walk(spark, *roots, exclude_globs=list(exclude_globs))
+    files = walk(spark, *roots, exclude_globs=list(exclude_globs), prune_artefacts=prune_artefacts)
     if ignore_rules:
         files = gitignore(files, ignore_rules)
-    if prune_artefacts:
-        files = without_artefacts(files)
     return attributes(detected(files), body_bytes=body_bytes, profile=profile).drop("rel")
 
 

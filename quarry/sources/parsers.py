@@ -35,7 +35,7 @@ yaml_kind yaml_document_count email_message_id email_in_reply_to email_to email_
 page_count entry_count uncompressed_size top_level_entries has_root_dir kernel cell_count code_cell_count
 markdown_cell_count functions type_names imports references max_complexity module go_version base_image package_name
 package_version img_width img_height sample_rate channels bit_depth duration binary_format bitness architectures
-entry_point section_count is_dynamically_linked class_name runtime_version bytecode_format wasm_version python_version
+entry_point video_width video_height video_codec audio_codec frame_rate section_count is_dynamically_linked class_name runtime_version bytecode_format wasm_version python_version
 plist_format plist_root_kind plist_bundle_identifier plist_bundle_name plist_bundle_version plist_label plist_program
 database_format sqlite_page_size sqlite_page_count sqlite_text_encoding sqlite_user_version sqlite_application_id
 sqlite_table_count sqlite_view_count sqlite_index_count sqlite_trigger_count sqlite_table_names bitpix naxis naxis1
@@ -336,6 +336,57 @@ def audio(name: str, data: bytes):
     return None, {}
 
 
+def _boxes(data: bytes, at: int, end: int):
+    """(kind, begin, end) of the boxes of an MP4 or QuickTime file."""
+    while at + 8 <= end:
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        head = 8
+        if size == 1:
+            size, head = struct.unpack(">Q", data[at + 8 : at + 16])[0], 16
+        size = size or end - at
+        if size < head:
+            return
+        yield kind, at + head, min(at + size, end)
+        at += size
+
+
+def _mp4(data: bytes) -> dict:
+    attrs: dict = {}
+
+    def walk(at: int, end: int, track: dict) -> None:
+        for kind, a, b in _boxes(data, at, end):
+            if kind in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+                own = {} if kind == b"trak" else track
+                walk(a, b, own)
+                if kind == b"trak" and own.get("kind") == b"vide":
+                    attrs.setdefault("video_width", own.get("width"))
+                    attrs.setdefault("video_height", own.get("height"))
+                    attrs.setdefault("video_codec", own.get("codec"))
+                elif kind == b"trak" and own.get("kind") == b"soun":
+                    attrs.setdefault("audio_codec", own.get("codec"))
+            elif kind == b"mvhd":
+                scale, length = struct.unpack(">II", data[a + 12 : a + 20]) if data[a] == 0 else struct.unpack(">IQ", data[a + 20 : a + 32])
+                attrs["duration"] = length / scale if scale else 0.0
+            elif kind == b"tkhd":
+                track["width"], track["height"] = (x >> 16 for x in struct.unpack(">II", data[b - 8 : b]))
+            elif kind == b"hdlr":
+                track["kind"] = data[a + 8 : a + 12]
+            elif kind == b"stsd":
+                track["codec"] = data[a + 12 : a + 16].decode("latin-1").strip()
+
+    walk(0, len(data), {})
+    return attrs
+
+
+def video(name: str, data: bytes):
+    if data[:4] == b"RIFF" and data[8:12] == b"AVI ":
+        at = data.find(b"avih")
+        micros, frames, width, height = (struct.unpack("<I", data[at + 8 + k : at + 12 + k])[0] for k in (0, 16, 32, 36))
+        code = data[s + 12 : s + 16].decode("latin-1").strip() if (s := data.find(b"strh")) > 0 else ""
+        return None, {"video_width": width, "video_height": height, "duration": micros * frames / 1e6, "frame_rate": 1e6 / micros if micros else 0.0, "video_codec": code}
+    return None, _mp4(data) if data[4:8] in (b"ftyp", b"moov", b"mdat", b"wide", b"free") else {}
+
+
 def binary(name: str, data: bytes):
     if data[:4] == b"\x7fELF":
         wide, little = data[4] == 2, "<" if data[5] == 1 else ">"
@@ -476,7 +527,7 @@ def disk(name: str, data: bytes):
 
 
 _EXACT = {"markdown": markdown, "csv": table, "yaml": yaml, "email/rfc822": mail, "email/mbox": mbox, "epub": epub, "pdf": pdf, "system/plist": plist, "database/sqlite": sqlite, "build/dockerfile": build}
-_FAMILIES = {"office": office, "archive": archive, "notebook": notebook, "manifest": manifest, "image": image, "audio": audio, "binary": binary, "bytecode": bytecode, "science": science, "model3d": model, "font": font, "chat": chat, "browser": bookmarks, "install": package, "disk-image": disk}
+_FAMILIES = {"office": office, "archive": archive, "notebook": notebook, "manifest": manifest, "image": image, "audio": audio, "video": video, "binary": binary, "bytecode": bytecode, "science": science, "model3d": model, "font": font, "chat": chat, "browser": bookmarks, "install": package, "disk-image": disk}
 
 
 def parse(content_type: str, name: str, data: bytes) -> tuple[str | None, dict]:

@@ -121,3 +121,70 @@ def test_cache_parses_once(spark, tree, tmp_path):
 def test_malformed_files_keep_their_row(kind, data):
     body, attrs = parsers.parse(kind, "x.bin", data)
     assert isinstance(attrs, dict) and set(attrs) <= set(parsers.ATTRIBUTES)
+
+
+def test_ignore_classes_and_pruned_walk(spark, tmp_path):
+    for name in ("a1.txt", "a2.txt", "ab.txt", "p/package.json", "p/node_modules/x/y.js", "p/dist/z.js", "q/dist/z.js"):
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text("{}")
+    walked = files.walk(spark, str(tmp_path))
+    assert names(files.gitignore(walked, "a[0-9].txt\n*.js\n")) == ["ab.txt", "package.json"]
+    assert names(files.gitignore(walked, "a[!0-9].txt\n*.js*\n")) == ["a1.txt", "a2.txt"]
+    assert [r.path[len(str(tmp_path)) :] for r in files.walk(spark, str(tmp_path), prune_artefacts=True).where("name like '%.js'").collect()] == ["/q/dist/z.js"]
+
+
+def box(kind, *parts):
+    body = b"".join(parts)
+    return (len(body) + 8).to_bytes(4, "big") + kind + body
+
+
+def test_video_headers():
+    word = lambda *x: b"".join(n.to_bytes(4, "big") for n in x)
+    track = lambda handler, codec, w, h: box(b"trak", box(b"tkhd", b"\0" * 76, word(w << 16, h << 16)), box(b"mdia", box(b"hdlr", b"\0" * 8, handler, b"\0" * 12), box(b"minf", box(b"stbl", box(b"stsd", word(0, 1, 16), codec)))))
+    data = box(b"ftyp", b"isom") + box(b"moov", box(b"mvhd", word(0, 0, 0, 1000, 2500)), track(b"vide", b"avc1", 640, 480), track(b"soun", b"mp4a", 0, 0))
+    assert parsers.parse("video/mp4", "a.mp4", data)[1] == {"duration": 2.5, "video_width": 640, "video_height": 480, "video_codec": "avc1", "audio_codec": "mp4a"}
+    assert parsers.parse("video/mp4", "a.mp4", data[:60])[1] is not None
+
+
+def png(pixels):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    h, w = pixels.shape[:2]
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows, above = [], np.zeros((w, 3), np.int64)
+    for y in range(h):
+        line = pixels[y].astype(np.int64)
+        left, corner = np.vstack([np.zeros((1, 3), np.int64), line[:-1]]), np.vstack([np.zeros((1, 3), np.int64), above[:-1]])
+        guess = left + above - corner
+        by = np.stack([abs(guess - left), abs(guess - above), abs(guess - corner)])
+        paeth = np.take_along_axis(np.stack([left, above, corner]), by.argmin(0)[None], 0)[0]
+        sub = {0: 0, 1: left, 2: above, 3: (left + above) // 2, 4: paeth}[y % 5]
+        rows.append(bytes([y % 5]) + ((line - sub) % 256).astype(np.uint8).tobytes())
+        above = line
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(rows))) + chunk(b"IEND", b"")
+
+
+def test_perceptual_hashes(spark):
+    import numpy as np
+
+    from quarry.sources import images
+
+    rng = np.random.default_rng(1)
+    field = lambda: np.stack([np.kron(rng.integers(0, 256, (9, 12)), np.ones((10, 10)))] * 3, 2).astype(np.uint8)
+    scene, other = field(), field()
+    assert np.array_equal(images.grey(png(scene)), scene @ np.array([0.299, 0.587, 0.114]))
+    noisy = (scene.astype(int) + rng.integers(-8, 9, scene.shape)).clip(0, 255).astype(np.uint8)
+    bits = lambda d: int(images.phash(d), 16)
+    apart = lambda a, b: (bits(a) ^ bits(b)).bit_count()
+    ppm = lambda p: b"P6\n%d %d\n255\n" % (p.shape[1], p.shape[0]) + p.tobytes()
+    assert bits(png(scene)) == bits(ppm(scene)) and apart(png(scene), png(noisy)) <= 6 and apart(png(scene), ppm(scene[::2, ::2])) <= 6 and apart(png(scene), png(other)) > 12
+    assert images.phash(b"") is None and images.phash(png(scene)[:80]) is None and images.phash(ppm(scene[:1, :1])) is not None
+    rows = spark.createDataFrame([("a.png", bytearray(png(scene))), ("b.txt", bytearray(b"x")), ("c.png", bytearray(b"\x89PNG\r\n\x1a\nbroken"))], "name string, content binary")
+    got = {r.name: r.phash for r in images.with_phash(files.detected(rows)).collect()}
+    assert got["a.png"] == images.phash(png(scene)) and got["b.txt"] is None and got["c.png"] is None
+    near = search.where(images.with_phash(files.detected(rows)), f'image_similar_to("{got["a.png"]}", 0.9)')
+    assert names(near) == ["a.png"]
