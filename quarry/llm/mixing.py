@@ -213,7 +213,10 @@ def in_order(docs: DataFrame, **options) -> DataFrame:
     return mixed.repartitionByRange(shuffle_partitions(docs.sparkSession), at).sortWithinPartitions(at).drop(into)
 
 
-def read_order(docs: DataFrame) -> DataFrame:
-    """*docs*, read from the Parquet files that in_order's rows were written to, with ``mix_part`` and ``mix_row``: sorted by both they are in the order of the mix."""
+def read_order(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """*columns* of *docs*, read from the Parquet files that in_order's rows were written to, with ``mix_part`` and ``mix_row``: sorted by both they are in the order of the mix.
+
+    Only *columns* are read, so others may have any names.
+    """
     part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).try_cast("long")
-    return docs.select("*", part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    return docs.select(*(F.col(f"`{c}`") for c in columns), part.alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))

@@ -48,6 +48,35 @@ def test_stages_keep_columns(spark, sf):
         assert stage(spark, docs.limit(0), sf).count() == 0
 
 
+CLASHING = ("mix", "mix_part", "mix_row", "gone", "whole", "hash", "twice", "print", "row", "id", "key", "shard", "number", "made", "position", "open", "length")
+
+
+def test_stages_with_nulls_ties_and_clashing_names(spark):
+    """Each stage: nulls in any column, empty and long texts, repeated rows, extra columns of any name; what is kept keeps all its columns."""
+    from pyspark.sql import functions as F
+
+    from quarry.runtime import stored
+
+    en, de = "the cat and the dog are here", "der hund und die katze sind hier"
+    rows = [(1, en, "en", "a", 1), (2, de, "de", None, None), (None, en + " too", "en", "a", 3), (4, None, "en", "b", 4), (5, "", None, None, 5), (6, "12 !!", "en", "a", 6), (7, en, "en", "a", 7), (7, en, "en", "a", 7), (8, (en + " ") * 9000, "en", "b", 8), (None, None, None, None, None), (9, "katze hund " * 30, "de", "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = stored(docs.withColumns({c: F.lit(c) for c in CLASHING}), "clashing")
+    kept = None
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stored(stage(spark, docs, ""), name)
+        assert docs.columns == before.columns and docs.exceptAll(before).isEmpty()
+        assert all(docs.select(*CLASHING).distinct().first()[c] == c for c in CLASHING)
+        kept = sorted(str(r.doc_id) for r in docs.collect())
+        if name == "language":
+            assert kept == ["1", "2", "7", "7", "8", "9", "None"]
+        elif name == "exact_dedup":
+            assert kept == ["2", "7", "8", "9", "None"]
+    packed = corpus_pipeline.packed_sequences(spark, docs, "").collect()
+    assert sorted({str(r.doc_id) for r in packed}) == kept and all(r.offset + r.length <= 2048 for r in packed)
+    alone = stored(before.limit(0), "none")
+    assert corpus_pipeline.packed_sequences(spark, alone, "").collect() == []
+
+
 def test_sequences_follow_the_mix(spark, monkeypatch):
     """Sources of unlike lengths: each prefix of the sequences has every source's share to within 100 of 6,000 documents."""
     from pyspark.sql import functions as F
