@@ -21,6 +21,8 @@ UNKNOWN = "und"
 #: Labelled documents that a model is fitted on, and their UTF-8 bytes, at most about; all their words are learned.
 TRAIN_DOCS, TRAIN_BYTES = 20_000, 64 << 20
 LONGEST = 5
+#: Words whose n-grams are worked out at a time when a model is made.
+PIECE = 1 << 15
 #: Words that count in full towards a document's score; further ones only sharpen it as their mean.
 EVIDENCE = 24
 _LETTERS = regex.compile(r"\p{L}+")
@@ -69,11 +71,15 @@ class LanguageModel:
         return words.gram_keys([f"^{w}$" for w in names], size, inner=size == 1)
 
     def _level(self, names: list[str], weight: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        keys, number = self._keys(names, size)
-        unique, of = np.unique(keys, return_inverse=True)
-        total = np.empty((len(unique), weight.shape[1]))
-        for k in range(weight.shape[1]):
-            total[:, k] = np.bincount(of, np.repeat(weight[:, k], number), len(unique))
+        """Keys of all n-grams of one size, and their log frequencies; worked out for PIECE words at a time."""
+        unique, total = np.zeros(0, np.uint64), np.zeros((0, weight.shape[1]))
+        for a in range(0, len(names), PIECE):
+            keys, number = self._keys(names[a : a + PIECE], size)
+            own = np.repeat(weight[a : a + PIECE], number, axis=0)
+            unique, of = np.unique(np.concatenate([unique, keys]), return_inverse=True)
+            before, total = total, np.empty((len(unique), weight.shape[1]))
+            for k in range(weight.shape[1]):
+                total[:, k] = np.bincount(of, np.concatenate([before[:, k], own[:, k]]), len(unique))
         return unique, self._log(total)
 
     def table(self, names: list[str]) -> np.ndarray:
@@ -150,7 +156,9 @@ def fit(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_c
     word = counted["word"].combine_chunks().dictionary_encode() if len(counted) else pa.array([], pa.string()).dictionary_encode()
     n = np.zeros((len(word.dictionary), len(languages)))
     n[np.asarray(word.indices), np.fromiter((of[x] for x in counted["lang"].to_pylist()), np.int64, len(counted))] = np.asarray(counted["n"], float)
-    return LanguageModel(languages, word.dictionary.to_pylist(), n)
+    names = word.dictionary.to_pylist()
+    del counted, word
+    return LanguageModel(languages, names, n)
 
 
 def predict(docs: DataFrame, model: LanguageModel, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
