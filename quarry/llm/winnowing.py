@@ -24,7 +24,7 @@ LONG_WORD = 32
 #: Rows of a task where texts meet their neighbours, on average; tasks at most; ranges a task.
 TASK_ROWS, TASKS, RANGES = 20_000, 10_000, 4
 # The rolling hash: numbers below a prime, a base, and tokens that are rolled over at a time.
-_PRIME, _BASE, _STRETCH = (1 << 31) - 1, 1_103_515_245, 64
+_PRIME, _BASE, _STRETCH = (1 << 31) - 1, 1_103_515_245, 16
 _LOW = 0xFFFFFFFF
 _NO_ID = -(1 << 63)
 _BLANK = "[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]"
