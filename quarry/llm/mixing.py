@@ -150,8 +150,8 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
 
     *shares* gives each source a whole number of slots (a source without one gets
     1); without it shares go with a source's number of rows to the power
-    *temperature*.  A source's rows are in an order that depends on a hash of the
-    row, so it is mixed in itself; *block* of them make a block (the last may be
+    *temperature*.  A source's rows are in an order that depends on a hash of their
+    ids, so it is mixed in itself; *block* of them make a block (the last may be
     shorter).  position numbers the rows of the whole mix from 0 without gaps.
 
     Nothing is dropped or repeated: sources that run out leave their slots to the
@@ -170,8 +170,9 @@ def mix(docs: DataFrame, *, shares: dict | None = None, temperature: float = 0.5
     spark, columns = docs.sparkSession, docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in columns))
     whole = docs.select(row.alias("row"), F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{id_col}`").alias("id"))
-    # the whole row: repeated and null ids are spread by what else differs
-    whole = whole.withColumn("tie", F.xxhash64("id", "row")).withColumn("shard", F.pmod("tie", F.lit(SHARDS)).cast("int"))
+    # by a hash of the id; null ids are spread by what else their rows hold
+    hashed = F.conv(F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
+    whole = whole.withColumn("tie", F.xxhash64("id", "row")).withColumn("shard", F.pmod(F.coalesce(hashed, F.col("tie")), F.lit(SHARDS)).cast("int"))
     shard_rows = stored(whole.groupBy("source", "shard").agg(F.count("*").alias("n")), "shards")
     sizes = sorted(((r.source is None, r.source, r.n) for r in shard_rows.groupBy("source").agg(F.sum("n").alias("n")).collect()), key=lambda x: (x[0], x[1] or ""))
     names, counts = [x[1] for x in sizes], [x[2] for x in sizes]

@@ -89,6 +89,29 @@ def queries() -> dict:
 
 
 SQL = {
+    # shares by largest remainders; then earliest deadline first, slot by slot, with weights that start anew when a source runs out
+    "op2_source_mixing": """
+        WITH RECURSIVE c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM documents GROUP BY source),
+        e AS (SELECT *, sqrt(n::DOUBLE) * greatest(1000, 8 * count(*) OVER ()) / sum(sqrt(n::DOUBLE)) OVER () AS exact, greatest(1000, 8 * count(*) OVER ()) AS slots FROM c),
+        f AS (SELECT *, greatest(1, floor(exact)::BIGINT) AS low FROM e),
+        w AS (SELECT *, low + (row_number() OVER (ORDER BY floor(exact) - exact, i) <= slots - sum(low) OVER ())::BIGINT AS share FROM f),
+        l AS (SELECT list(share ORDER BY i) AS share, list((n + 15) // 16 ORDER BY i) AS blocks FROM w),
+        run AS (
+            SELECT 0::BIGINT AS t, 0::BIGINT AS base, 0 AS phase, list_transform(blocks, lambda x: 0::BIGINT) AS done, blocks AS remaining, NULL::BIGINT AS i, NULL::BIGINT AS release, NULL::BIGINT AS deadline, NULL::INT AS own FROM l
+            UNION ALL
+            SELECT t + 1, CASE WHEN remaining[pick] = 1 THEN t + 1 ELSE base END, phase + (remaining[pick] = 1)::INT,
+                list_transform(done, lambda x, k: CASE WHEN remaining[pick] = 1 THEN 0 WHEN k = pick THEN x + 1 ELSE x END),
+                list_transform(remaining, lambda x, k: CASE WHEN k = pick THEN x - 1 ELSE x END),
+                pick, base + done[pick] * total // share[pick], base + ((done[pick] + 1) * total + share[pick] - 1) // share[pick], phase
+            FROM (SELECT r.*, l.share, total, list_sort(list_transform(list_filter(range(1, len(r.remaining) + 1), lambda k: r.remaining[k] > 0 AND r.done[k] * total // l.share[k] <= r.t - r.base),
+                    lambda k: {'due': ((r.done[k] + 1) * total + l.share[k] - 1) // l.share[k], 'k': k}))[1].k AS pick
+                FROM (SELECT run.*, (SELECT sum(x.share)::BIGINT FROM w x WHERE run.remaining[x.i] > 0) AS total FROM run) r, l WHERE list_sum(r.remaining) > 0)),
+        b AS (SELECT i, t - 1 AS slot, release, deadline, own AS phase, row_number() OVER (PARTITION BY i ORDER BY t) - 1 AS block FROM run WHERE i IS NOT NULL),
+        d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 4096, doc_id) - 1 AS index FROM documents)
+        SELECT doc_id, d.source, share / (SELECT sum(share) FROM w)::DOUBLE AS target_weight, phase, block, release, deadline, slot,
+            row_number() OVER (ORDER BY slot, index) - 1 AS position
+        FROM d JOIN w ON d.source IS NOT DISTINCT FROM w.source JOIN b ON b.i = w.i AND b.block = d.index // 16
+    """,
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
