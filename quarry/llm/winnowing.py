@@ -28,7 +28,8 @@ _PRIME, _BASE, _STRETCH = (1 << 31) - 1, 1_103_515_245, 16
 _LOW = 0xFFFFFFFF
 _NO_ID = -(1 << 63)
 _BLANK = "[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]"
-_UNSPACED = "([" + "".join(f"\\\\p{{Is{x}}}" for x in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan")) + "])"
+# Blocks of scripts without blanks between words: Thai to Tibetan, Myanmar, Khmer, kana, Han and its supplements.
+_UNSPACED = "([\\\\x{0E00}-\\\\x{0FFF}\\\\x{1000}-\\\\x{109F}\\\\x{1780}-\\\\x{17FF}\\\\x{3040}-\\\\x{30FF}\\\\x{3400}-\\\\x{4DBF}\\\\x{4E00}-\\\\x{9FFF}\\\\x{F900}-\\\\x{FAFF}\\\\x{20000}-\\\\x{3FFFF}])"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -38,10 +39,10 @@ def _let(value: str, name: str, body: str) -> str:
 
 def tokens_sql(text: str) -> str:
     """SQL for the tokens of *text*: words between ASCII white space, or single characters (see LONG_WORD)."""
-    spaced = f"if({text} rlike '{_UNSPACED}', regexp_replace({text}, '{_UNSPACED}', ' $1 '), {text})"
+    spaced = f"if(octet_length({text}) > char_length({text}) and {text} rlike '{_UNSPACED}', regexp_replace({text}, '{_UNSPACED}', ' $1 '), {text})"
     characters = "transform(sequence(1, char_length(x)), c -> substring(x, c, 1))"
     single = f"flatten(transform(plain, x -> if(char_length(x) > {LONG_WORD}, {characters}, array(x))))"
-    return _let(f"array_remove(split({spaced}, '{_BLANK}+'), '')", "plain", f"if({text} rlike '{_BLANK.replace('[', '[^')}{{{LONG_WORD + 1}}}', {single}, plain)")
+    return _let(f"array_remove(split({spaced}, '{_BLANK}+'), '')", "plain", f"if(exists(plain, x -> octet_length(x) > {LONG_WORD}), {single}, plain)")
 
 
 def _runs(k: int) -> str:
