@@ -22,6 +22,7 @@ import tarfile
 import tempfile
 import tomllib
 import zipfile
+import zlib
 from datetime import datetime, timezone
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -35,7 +36,8 @@ yaml_kind yaml_document_count email_message_id email_in_reply_to email_to email_
 page_count entry_count uncompressed_size top_level_entries has_root_dir kernel cell_count code_cell_count
 markdown_cell_count functions type_names imports references max_complexity module go_version base_image package_name
 package_version img_width img_height sample_rate channels bit_depth duration binary_format bitness architectures
-entry_point video_width video_height video_codec audio_codec frame_rate section_count is_dynamically_linked class_name runtime_version bytecode_format wasm_version python_version
+entry_point camera_make camera_model lens orientation iso exposure_time f_stop focal_length taken_at gps_lat gps_lon
+artist album album_artist composer genre year track bitrate video_width video_height video_codec audio_codec frame_rate section_count is_dynamically_linked class_name runtime_version bytecode_format wasm_version python_version
 plist_format plist_root_kind plist_bundle_identifier plist_bundle_name plist_bundle_version plist_label plist_program
 database_format sqlite_page_size sqlite_page_count sqlite_text_encoding sqlite_user_version sqlite_application_id
 sqlite_table_count sqlite_view_count sqlite_index_count sqlite_trigger_count sqlite_table_names bitpix naxis naxis1
@@ -239,12 +241,55 @@ def epub(name: str, data: bytes):
 
 
 def pdf(name: str, data: bytes):
-    """Title, author and pages from the uncompressed parts; there is no PDF reader here."""
+    """Title, author and pages from the uncompressed parts; the words that content streams show, plain or deflated, as their codes stand."""
     attrs: dict = {"page_count": len(re.findall(rb"/Type\s*/Page[^s]", data))}
     for k, tag in (("title", rb"/Title"), ("author", rb"/Author")):
         if m := re.search(tag + rb"\s*\(((?:\\.|[^\\)])*)\)", data):
             attrs[k] = m[1].decode("latin-1")
-    return None, attrs
+    return _pdf_words(data) or None, attrs
+
+
+_SHOWN = re.compile(rb"\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]+>|\[|\]|-?\d+\.?\d*|[A-Za-z'\"*]+", re.S)
+_ESCAPES = {b"n": b"\n", b"r": b"\n", b"t": b"\t", b"b": b"", b"f": b"\n"}
+
+
+def _pdf_string(token: bytes) -> str:
+    if token[:1] == b"<":
+        raw = bytes.fromhex(re.sub(rb"\s", b"", token[1:-1]).decode() + "0" * (len(re.sub(rb"\s", b"", token[1:-1])) % 2))
+        return raw.decode("utf-16-be", "replace") if raw[:1] == b"\0" else raw.decode("latin-1")
+    plain = re.sub(rb"\\([0-7]{1,3}|.)", lambda m: bytes([int(m[1], 8) & 255]) if m[1][:1].isdigit() else _ESCAPES.get(m[1], m[1]), token[1:-1], flags=re.S)
+    return plain.decode("latin-1")
+
+
+def _pdf_words(data: bytes) -> str:
+    """The text that the streams of a PDF show, a line for each move to a new one."""
+    out: list[str] = []
+    for m in re.finditer(rb"stream\r?\n(.*?)\r?\nendstream", data, re.S):
+        body = m[1]
+        if b"FlateDecode" in data[max(0, m.start() - 400) : m.start()].rsplit(b"obj", 1)[-1]:
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"BT" not in body:
+            continue
+        held: list[bytes] = []
+        for t in _SHOWN.findall(body):
+            if t[:1] in b"(<[]" or t[:1].isdigit() or t[:1] == b"-":
+                held.append(t)
+                continue
+            if t in (b"Tj", b"TJ", b"'", b'"'):
+                if t in (b"'", b'"'):
+                    out.append("\n")
+                for x in held:
+                    if x[:1] in b"(<":
+                        out.append(_pdf_string(x))
+                    elif t == b"TJ" and x[:1] == b"-" and float(x) < -200:
+                        out.append(" ")
+            elif t in (b"Td", b"TD", b"T*", b"ET", b"Tm"):
+                out.append("\n")
+            held = []
+    return re.sub(r"\s*\n\s*", "\n", "".join(out)).strip()
 
 
 def archive(name: str, data: bytes):
@@ -301,7 +346,65 @@ def manifest(name: str, data: bytes):
     return text, attrs
 
 
+_TIFF_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 9: 4, 10: 8}
+
+
+def _tiff(data: bytes) -> dict:
+    """Tags of a TIFF block by number; those of the Exif and GPS folders come as (folder, number)."""
+    order = {b"II": "<", b"MM": ">"}[data[:2]]
+    found: dict = {}
+
+    def value(kind: int, n: int, at: int):
+        raw = data[at : at + _TIFF_SIZES[kind] * n]
+        if kind == 2:
+            return raw.split(b"\0")[0].decode("utf-8", "replace").strip()
+        if kind in (5, 10):
+            parts = struct.unpack(f"{order}{2 * n}{'I' if kind == 5 else 'i'}", raw)
+            own = [a / b if b else 0.0 for a, b in zip(parts[::2], parts[1::2])]
+        else:
+            own = list(struct.unpack(f"{order}{n}{ {1: 'B', 3: 'H', 4: 'I', 6: 'b', 7: 'B', 9: 'i'}[kind] }", raw))
+        return own[0] if n == 1 else own
+
+    def folder(at: int, of: int) -> None:
+        (count,) = struct.unpack(order + "H", data[at : at + 2])
+        for k in range(min(count, 512)):
+            tag, kind, n = struct.unpack(order + "HHI", data[at + 2 + 12 * k : at + 10 + 12 * k])
+            if kind not in _TIFF_SIZES or n > 4096:
+                continue
+            place = at + 10 + 12 * k
+            if _TIFF_SIZES[kind] * n > 4:
+                (place,) = struct.unpack(order + "I", data[place : place + 4])
+            found[(of, tag) if of else tag] = value(kind, n, place)
+
+    (first,) = struct.unpack(order + "I", data[4:8])
+    folder(first, 0)
+    for of in (0x8769, 0x8825):
+        if isinstance(found.get(of), int):
+            folder(found[of], of)
+    return found
+
+
+def exif(data: bytes) -> dict:
+    """Camera attributes of a TIFF block (of a JPEG or a raw photo)."""
+    tags = _tiff(data)
+    names = {0x010F: "camera_make", 0x0110: "camera_model", 0x0112: "orientation", (0x8769, 0xA434): "lens", (0x8769, 0x8827): "iso", (0x8769, 0x829A): "exposure_time", (0x8769, 0x829D): "f_stop", (0x8769, 0x920A): "focal_length"}
+    attrs = {n: tags[t] for t, n in names.items() if t in tags}
+    taken = str(tags.get((0x8769, 0x9003)) or "")
+    if re.match(r"\d{4}:\d\d:\d\d \d\d:\d\d:\d\d", taken):
+        attrs["taken_at"] = datetime.strptime(taken[:19], "%Y:%m:%d %H:%M:%S")
+    for name, mark, at, low in (("gps_lat", 1, 2, "S"), ("gps_lon", 3, 4, "W")):
+        parts = tags.get((0x8825, at))
+        if isinstance(parts, list) and len(parts) == 3:
+            degrees = parts[0] + parts[1] / 60 + parts[2] / 3600
+            attrs[name] = -degrees if tags.get((0x8825, mark)) == low else degrees
+    return attrs
+
+
 def image(name: str, data: bytes):
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        tags = _tiff(data)
+        size = {n: tags[t] for t, n in ((0x0100, "img_width"), (0x0101, "img_height")) if isinstance(tags.get(t), int)}
+        return None, size | exif(data)
     if data[:8] == b"\x89PNG\r\n\x1a\n":
         w, h, depth = struct.unpack(">IIB", data[16:25])
         return None, {"img_width": w, "img_height": h, "bit_depth": depth}
@@ -312,19 +415,95 @@ def image(name: str, data: bytes):
         w, h = struct.unpack("<ii", data[18:26])
         return None, {"img_width": w, "img_height": abs(h)}
     if data[:2] == b"\xff\xd8":
-        at = 2
+        at, attrs = 2, {}
         while at + 9 < len(data) and data[at] == 0xFF:
             mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            if mark == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                try:
+                    attrs = exif(data[at + 10 : at + 2 + size])
+                except (struct.error, KeyError, ValueError):
+                    attrs = {}
             if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC):
                 h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return None, {"img_width": w, "img_height": h}
+                return None, {"img_width": w, "img_height": h} | attrs
             at += 2 + size
+        return None, attrs
     if data[:4] == b"RIFF" and data[12:16] == b"VP8X":
         return None, {"img_width": int.from_bytes(data[24:27], "little") + 1, "img_height": int.from_bytes(data[27:30], "little") + 1}
     return None, {}
 
 
+# Names of tag frames and of comment fields.
+_ID3 = {"TIT2": "title", "TPE1": "artist", "TALB": "album", "TPE2": "album_artist", "TCOM": "composer", "TCON": "genre", "TYER": "year", "TDRC": "year", "TRCK": "track"}
+_COMMENTS = {"title": "title", "artist": "artist", "album": "album", "albumartist": "album_artist", "composer": "composer", "genre": "genre", "date": "year", "tracknumber": "track"}
+_MP3_RATES = {1: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
+
+
+def _tags(pairs) -> dict:
+    attrs: dict = {}
+    for name, text in pairs:
+        if name in ("year", "track"):
+            m = re.match(r"\d+", text)
+            text = int(m[0]) if m else None
+        if text:
+            attrs.setdefault(name, text)
+    return attrs
+
+
+def _id3(data: bytes) -> tuple[dict, int]:
+    """Tags of an ID3 version 2 block, and where the sound begins."""
+    if data[:3] != b"ID3":
+        return {}, 0
+    packed = lambda b: (b[0] & 127) << 21 | (b[1] & 127) << 14 | (b[2] & 127) << 7 | (b[3] & 127)
+    end, at, pairs = 10 + packed(data[6:10]), 10, []
+    while at + 10 <= end and data[at : at + 4].strip(b"\0"):
+        size = packed(data[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
+        frame, body = data[at : at + 4].decode("latin-1"), data[at + 10 : at + 10 + size]
+        if frame in _ID3 and body:
+            code = {0: "latin-1", 1: "utf-16", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "latin-1")
+            pairs.append((_ID3[frame], body[1:].decode(code, "replace").split("\0")[0].strip()))
+        at += 10 + size
+    return _tags(pairs), end
+
+
+def _comments(block: bytes) -> dict:
+    """Tags of a Vorbis comment block."""
+    (vendor,) = struct.unpack("<I", block[:4])
+    (count,) = struct.unpack("<I", block[4 + vendor : 8 + vendor])
+    at, pairs = 8 + vendor, []
+    for _ in range(min(count, 1000)):
+        (size,) = struct.unpack("<I", block[at : at + 4])
+        key, _, text = block[at + 4 : at + 4 + size].decode("utf-8", "replace").partition("=")
+        if key.lower() in _COMMENTS:
+            pairs.append((_COMMENTS[key.lower()], text.strip()))
+        at += 4 + size
+    return _tags(pairs)
+
+
+def _mp3(data: bytes) -> dict:
+    attrs, at = _id3(data)
+    while at + 4 <= len(data):
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 4 > len(data):
+            return attrs
+        head = int.from_bytes(data[at : at + 4], "big")
+        version, layer, rate, hertz = head >> 19 & 3, head >> 17 & 3, head >> 12 & 15, head >> 10 & 3
+        if head >> 21 == 0x7FF and version != 1 and layer == 1 and 0 < rate < 15 and hertz < 3:
+            bits = _MP3_RATES[1 if version == 3 else 2][rate] * 1000
+            attrs |= {"bitrate": bits, "sample_rate": [44100, 48000, 32000][hertz] >> {3: 0, 2: 1, 0: 2}[version], "channels": 1 if head >> 6 & 3 == 3 else 2, "duration": (len(data) - at) * 8 / bits}
+            return attrs
+        at += 1
+    return attrs
+
+
 def audio(name: str, data: bytes):
+    if data[:3] == b"ID3" or (data[:1] == b"\xff" and data[1:2] >= b"\xe0"):
+        return None, _mp3(data)
+    if data[:4] == b"OggS" and (at := data.find(b"\x03vorbis")) > 0:
+        attrs = _comments(data[at + 7 :])
+        if (h := data.find(b"\x01vorbis")) > 0:
+            attrs["channels"], attrs["sample_rate"] = data[h + 11], struct.unpack("<I", data[h + 12 : h + 16])[0]
+        return None, attrs
     if data[:4] == b"RIFF" and (at := data.find(b"fmt ")) > 0:
         _, channels, rate, per_second, _, bits = struct.unpack("<HHIIHH", data[at + 8 : at + 24])
         size = struct.unpack("<I", data[d + 4 : d + 8])[0] if (d := data.find(b"data")) > 0 else 0
@@ -332,7 +511,15 @@ def audio(name: str, data: bytes):
     if data[:4] == b"fLaC":
         packed = int.from_bytes(data[18:26], "big")
         rate, samples = packed >> 44, packed & ((1 << 36) - 1)
-        return None, {"sample_rate": rate, "channels": (packed >> 41 & 7) + 1, "bit_depth": (packed >> 36 & 31) + 1, "duration": samples / rate if rate else 0.0}
+        at, tags = 4, {}
+        while at + 4 <= len(data):
+            kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
+            if kind & 127 == 4:
+                tags = _comments(data[at + 4 : at + 4 + size])
+            if kind & 128:
+                break
+            at += 4 + size
+        return None, tags | {"sample_rate": rate, "channels": (packed >> 41 & 7) + 1, "bit_depth": (packed >> 36 & 31) + 1, "duration": samples / rate if rate else 0.0}
     return None, {}
 
 

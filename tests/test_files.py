@@ -188,3 +188,67 @@ def test_perceptual_hashes(spark):
     assert got["a.png"] == images.phash(png(scene)) and got["b.txt"] is None and got["c.png"] is None
     near = search.where(images.with_phash(files.detected(rows)), f'image_similar_to("{got["a.png"]}", 0.9)')
     assert names(near) == ["a.png"]
+
+
+def tiff(entries, exif, gps):
+    """A little-endian TIFF block: each entry is (tag, kind, count, value or bytes)."""
+    import struct
+
+    def folder(rows, at):
+        body, extra, end = struct.pack("<H", len(rows)), b"", at + 2 + 12 * len(rows) + 4
+        for tag, kind, n, value in rows:
+            if isinstance(value, bytes):
+                body += struct.pack("<HHI", tag, kind, n) + (value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", end + len(extra)))
+                extra += value if len(value) > 4 else b""
+            else:
+                body += struct.pack("<HHI", tag, kind, n) + (struct.pack("<HH", value, 0) if kind == 3 else struct.pack("<I", value))
+        return body + b"\0" * 4 + extra
+
+    size = lambda rows: len(folder(rows, 0))
+    main = [*entries, (0x8769, 4, 1, 0), (0x8825, 4, 1, 0)]
+    first = 8 + size(main)
+    main[-2:] = [(0x8769, 4, 1, first), (0x8825, 4, 1, first + size(exif))]
+    return b"II*\0\x08\0\0\0" + folder(main, 8) + folder(exif, first) + folder(gps, first + size(exif))
+
+
+def test_camera_attributes():
+    import struct
+
+    ratio = lambda *x: b"".join(struct.pack("<II", a, b) for a, b in x)
+    block = tiff(
+        [(0x010F, 2, 6, b"Canon\0"), (0x0110, 2, 3, b"R5\0"), (0x0112, 3, 1, 6)],
+        [(0x829A, 5, 1, ratio((1, 250))), (0x829D, 5, 1, ratio((28, 10))), (0x8827, 3, 1, 400), (0x9003, 2, 20, b"2024:05:06 07:08:09\0"), (0x920A, 5, 1, ratio((50, 1))), (0xA434, 2, 6, b"RF 50\0")],
+        [(1, 2, 2, b"S\0"), (2, 5, 3, ratio((33, 1), (30, 1), (0, 1))), (3, 2, 2, b"E\0"), (4, 5, 3, ratio((18, 1), (15, 1), (36, 1)))],
+    )
+    photo = b"\xff\xd8\xff\xe1" + (len(block) + 8).to_bytes(2, "big") + b"Exif\0\0" + block + b"\xff\xc0\0\x11\x08\0\x03\0\x02" + b"\0" * 12
+    for kind, data in (("image/jpeg", photo), ("image/raw-cr2", block)):
+        got = parsers.parse(kind, "x", data)[1]
+        assert (got["camera_make"], got["camera_model"], got["lens"], got["orientation"], got["iso"], got["f_stop"], got["exposure_time"], got["focal_length"]) == ("Canon", "R5", "RF 50", 6, 400, 2.8, 0.004, 50.0)
+        assert got["taken_at"].isoformat() == "2024-05-06T07:08:09" and (got["gps_lat"], round(got["gps_lon"], 6)) == (-33.5, 18.26)
+    assert parsers.parse("image/jpeg", "x", photo)[1]["img_width"] == 2
+    for n in range(0, len(photo), 7):
+        assert isinstance(parsers.parse("image/jpeg", "x", photo[:n])[1], dict)
+
+
+def test_sound_tags():
+    frame = lambda name, text: name + len(text).to_bytes(4, "big") + b"\0\0" + text
+    body = frame(b"TIT2", b"\x03Song") + frame(b"TPE1", b"\x01" + "Bänd".encode("utf-16")) + frame(b"TYER", b"\x001999") + frame(b"TRCK", b"\x003/12")
+    data = b"ID3\x03\0\0" + bytes([0, 0, len(body) >> 7, len(body) & 127]) + body + b"\xff\xfb\x90\x00" + b"\0" * 16_000
+    got = parsers.parse("audio/mpeg", "a.mp3", data)[1]
+    assert (got["title"], got["artist"], got["year"], got["track"], got["bitrate"], got["sample_rate"], got["channels"], round(got["duration"])) == ("Song", "Bänd", 1999, 3, 128_000, 44_100, 2, 1)
+    field = lambda x: len(x).to_bytes(4, "little") + x
+    notes = field(b"v") + (2).to_bytes(4, "little") + field("TITLE=Übung".encode()) + field(b"DATE=2001-02-03")
+    stream = (44_100 << 44 | 1 << 41 | 15 << 36 | 88_200).to_bytes(8, "big")
+    flac = b"fLaC\0\0\0\x22" + b"\0" * 10 + stream + b"\0" * 16 + b"\x84" + len(notes).to_bytes(3, "big") + notes
+    got = parsers.parse("audio/flac", "a.flac", flac)[1]
+    assert (got["title"], got["year"], got["duration"], got["channels"], got["bit_depth"]) == ("Übung", 2001, 2.0, 2, 16)
+
+
+def test_pdf_words():
+    import zlib
+
+    shown = b"BT /F1 12 Tf 72 700 Td (Hello \\(big\\)) Tj 0 -14 Td [(W) -20 (orld) -300 (again)] TJ T* <48692021> Tj ET"
+    packed = zlib.compress(b"BT (deflated words) Tj ET")
+    data = b"%PDF-1.4\n1 0 obj <</Type /Page /Title (T)>> endobj\n2 0 obj <</Length 9>>\nstream\n" + shown + b"\nendstream endobj\n3 0 obj <</Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream endobj\n"
+    body, attrs = parsers.parse("pdf", "a.pdf", data)
+    assert body == "Hello (big)\nWorld again\nHi !\ndeflated words" and attrs["title"] == "T" and attrs["page_count"] == 1
