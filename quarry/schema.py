@@ -70,36 +70,117 @@ entitlement_network_server draft is_btime_anomaly is_disguised is_known_good is_
 is_static_site
 """
 # Flags that are a test of the content type: of a beginning (ends in *), or of one of several names.
-FLAGS = """
-is_image=image/* is_office=office/* is_audio=audio/* is_video=video/* is_archive=archive/* is_binary=binary/*
-is_email=email/* is_source=source/* is_notebook=notebook/* is_build=build/* is_repo_meta=repo/* is_ignore=ignore/*
-is_manifest=manifest/* is_platform=platform/* is_windows_metadata=system/windows-* is_linux_metadata=system/linux-*
-is_system_metadata=system/* is_disk_image=disk-image/* is_install_package=install/* is_bytecode=bytecode/*
-is_science_data=science/* is_bookmark_file=browser/bookmarks-* is_chat_export=chat/* is_font=font/*
-is_raw_photo=image/raw-* is_3d_model=model3d/* is_macos_metadata=system/macos-*,system/plist
-is_markdown=markdown is_json=json,manifest/node is_yaml=yaml is_toml=toml,manifest/cargo is_xml=xml is_html=html
-is_pdf=pdf is_text=text,repo/license,repo/changelog,repo/contributing,manifest/python-reqs is_csv=csv is_epub=epub
-is_dockerfile=build/dockerfile is_makefile=build/makefile is_justfile=build/justfile is_rakefile=build/rakefile
-is_license=repo/license is_changelog=repo/changelog is_contributing=repo/contributing is_codeowners=repo/codeowners
-is_gitignore=ignore/git is_dockerignore=ignore/docker is_gomod=manifest/gomod is_node_manifest=manifest/node
-is_cargo_manifest=manifest/cargo is_pipfile=manifest/pipfile is_python_reqs=manifest/python-reqs
-is_gemfile=manifest/gemfile is_procfile=platform/procfile is_vagrantfile=platform/vagrant
-is_ds_store=system/macos-ds-store is_localized=system/macos-localized is_thumbs_db=system/windows-thumbs-db
-is_desktop_ini=system/windows-desktop-ini is_kde_directory=system/linux-directory is_plist=system/plist
-is_dmg=disk-image/dmg is_iso=disk-image/iso9660 is_vhd=disk-image/vhd is_vhdx=disk-image/vhdx is_vmdk=disk-image/vmdk
-is_qcow2=disk-image/qcow2 is_wim=disk-image/wim is_pkg=install/pkg is_deb=install/deb is_rpm=install/rpm
-is_appimage=install/appimage is_class=bytecode/jvm is_pyc=bytecode/python is_wasm=bytecode/wasm is_fits=science/fits
-is_votable=science/votable is_hdf5=science/hdf5 is_pds3=science/pds3 is_pds4=science/pds4
-is_pds=science/pds3,science/pds4 is_cdf=science/cdf is_database=database/sqlite is_sqlite=database/sqlite
-is_sqlite_wal=database/sqlite-wal is_sqlite_shm=database/sqlite-shm is_chromium_bookmarks=browser/bookmarks-chromium
-is_safari_bookmarks=browser/bookmarks-safari is_slack_export=chat/slack-export is_discord_export=chat/discord-export
-is_signal_export=chat/signal-cli is_ttf=font/ttf is_otf=font/otf is_font_collection=font/collection is_woff=font/woff
-is_woff2=font/woff2 is_cr2=image/raw-cr2 is_cr3=image/raw-cr3 is_nef=image/raw-nef is_arw=image/raw-arw
-is_dng=image/raw-dng is_raf=image/raw-raf is_orf=image/raw-orf is_rw2=image/raw-rw2 is_stl=model3d/stl
-is_obj=model3d/obj is_gltf=model3d/gltf
-"""
+FLAGS = {
+    "is_image": "image/*",
+    "is_office": "office/*",
+    "is_audio": "audio/*",
+    "is_video": "video/*",
+    "is_archive": "archive/*",
+    "is_binary": "binary/*",
+    "is_email": "email/*",
+    "is_source": "source/*",
+    "is_notebook": "notebook/*",
+    "is_build": "build/*",
+    "is_repo_meta": "repo/*",
+    "is_ignore": "ignore/*",
+    "is_manifest": "manifest/*",
+    "is_platform": "platform/*",
+    "is_windows_metadata": "system/windows-*",
+    "is_linux_metadata": "system/linux-*",
+    "is_system_metadata": "system/*",
+    "is_disk_image": "disk-image/*",
+    "is_install_package": "install/*",
+    "is_bytecode": "bytecode/*",
+    "is_science_data": "science/*",
+    "is_bookmark_file": "browser/bookmarks-*",
+    "is_chat_export": "chat/*",
+    "is_font": "font/*",
+    "is_raw_photo": "image/raw-*",
+    "is_3d_model": "model3d/*",
+    "is_macos_metadata": "system/macos-*,system/plist",
+    "is_markdown": "markdown",
+    "is_json": "json,manifest/node",
+    "is_yaml": "yaml",
+    "is_toml": "toml,manifest/cargo",
+    "is_xml": "xml",
+    "is_html": "html",
+    "is_pdf": "pdf",
+    "is_text": "text,repo/license,repo/changelog,repo/contributing,manifest/python-reqs",
+    "is_csv": "csv",
+    "is_epub": "epub",
+    "is_dockerfile": "build/dockerfile",
+    "is_makefile": "build/makefile",
+    "is_justfile": "build/justfile",
+    "is_rakefile": "build/rakefile",
+    "is_license": "repo/license",
+    "is_changelog": "repo/changelog",
+    "is_contributing": "repo/contributing",
+    "is_codeowners": "repo/codeowners",
+    "is_gitignore": "ignore/git",
+    "is_dockerignore": "ignore/docker",
+    "is_gomod": "manifest/gomod",
+    "is_node_manifest": "manifest/node",
+    "is_cargo_manifest": "manifest/cargo",
+    "is_pipfile": "manifest/pipfile",
+    "is_python_reqs": "manifest/python-reqs",
+    "is_gemfile": "manifest/gemfile",
+    "is_procfile": "platform/procfile",
+    "is_vagrantfile": "platform/vagrant",
+    "is_ds_store": "system/macos-ds-store",
+    "is_localized": "system/macos-localized",
+    "is_thumbs_db": "system/windows-thumbs-db",
+    "is_desktop_ini": "system/windows-desktop-ini",
+    "is_kde_directory": "system/linux-directory",
+    "is_plist": "system/plist",
+    "is_dmg": "disk-image/dmg",
+    "is_iso": "disk-image/iso9660",
+    "is_vhd": "disk-image/vhd",
+    "is_vhdx": "disk-image/vhdx",
+    "is_vmdk": "disk-image/vmdk",
+    "is_qcow2": "disk-image/qcow2",
+    "is_wim": "disk-image/wim",
+    "is_pkg": "install/pkg",
+    "is_deb": "install/deb",
+    "is_rpm": "install/rpm",
+    "is_appimage": "install/appimage",
+    "is_class": "bytecode/jvm",
+    "is_pyc": "bytecode/python",
+    "is_wasm": "bytecode/wasm",
+    "is_fits": "science/fits",
+    "is_votable": "science/votable",
+    "is_hdf5": "science/hdf5",
+    "is_pds3": "science/pds3",
+    "is_pds4": "science/pds4",
+    "is_pds": "science/pds3,science/pds4",
+    "is_cdf": "science/cdf",
+    "is_database": "database/sqlite",
+    "is_sqlite": "database/sqlite",
+    "is_sqlite_wal": "database/sqlite-wal",
+    "is_sqlite_shm": "database/sqlite-shm",
+    "is_chromium_bookmarks": "browser/bookmarks-chromium",
+    "is_safari_bookmarks": "browser/bookmarks-safari",
+    "is_slack_export": "chat/slack-export",
+    "is_discord_export": "chat/discord-export",
+    "is_signal_export": "chat/signal-cli",
+    "is_ttf": "font/ttf",
+    "is_otf": "font/otf",
+    "is_font_collection": "font/collection",
+    "is_woff": "font/woff",
+    "is_woff2": "font/woff2",
+    "is_cr2": "image/raw-cr2",
+    "is_cr3": "image/raw-cr3",
+    "is_nef": "image/raw-nef",
+    "is_arw": "image/raw-arw",
+    "is_dng": "image/raw-dng",
+    "is_raf": "image/raw-raf",
+    "is_orf": "image/raw-orf",
+    "is_rw2": "image/raw-rw2",
+    "is_stl": "model3d/stl",
+    "is_obj": "model3d/obj",
+    "is_gltf": "model3d/gltf",
+}
 
-FLAG_OF = dict(x.split("=") for x in FLAGS.split())
+FLAG_OF = FLAGS
 TYPES: dict[str, str] = {}
 for _kind, _names in (("string", STRINGS), ("int", INTS), ("double", DOUBLES), ("timestamp", TIMES), ("list<string>", LISTS), ("bool", BOOLS)):
     TYPES |= dict.fromkeys(_names.split(), _kind)

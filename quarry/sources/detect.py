@@ -6,46 +6,152 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Content types and the endings that tell them.
-SUFFIXES = """
-archive/zip=zip,jar,war,ear archive/tar=tar archive/tar+gzip=tar.gz,tgz archive/gzip=gz
-audio/mpeg=mp3 audio/mp4=m4a,m4b,m4p,aac audio/flac=flac audio/ogg=ogg,oga,opus audio/wav=wav,wave
-binary/elf=elf,so,o binary/mach-o=dylib,bundle binary/pe=exe,dll,sys
-bytecode/jvm=class bytecode/python=pyc,pyo bytecode/wasm=wasm csv=csv,tsv
-database/sqlite=db,sqlite,sqlite3,db3 database/sqlite-shm=db-shm,sqlite-shm,sqlite3-shm
-database/sqlite-wal=db-wal,sqlite-wal,sqlite3-wal
-disk-image/dmg=dmg disk-image/iso9660=iso disk-image/vhd=vhd disk-image/vhdx=vhdx disk-image/vmdk=vmdk
-disk-image/qcow2=qcow2,qcow disk-image/wim=wim
-office/docx=docx office/odt=odt office/pptx=pptx office/xlsx=xlsx email/rfc822=eml,email email/mbox=mbox epub=epub
-font/collection=ttc,otc font/otf=otf font/ttf=ttf font/woff=woff font/woff2=woff2 html=html,htm,xhtml
-image/raw-cr2=cr2 image/raw-cr3=cr3 image/raw-nef=nef,nrw image/raw-arw=arw,srf,sr2 image/raw-dng=dng
-image/raw-raf=raf image/raw-orf=orf,ori image/raw-rw2=rw2,raw
-image/jpeg=jpg,jpeg image/png=png image/gif=gif image/webp=webp image/svg+xml=svg,svgz image/tiff=tif,tiff
-image/bmp=bmp image/heic=heic,heif install/pkg=pkg install/deb=deb install/rpm=rpm install/appimage=appimage
-json=json,jsonl,geojson markdown=md,markdown,mdown,mkd model3d/stl=stl model3d/obj=obj model3d/gltf=gltf,glb
-notebook/jupyter=ipynb notebook/zeppelin=zpln pdf=pdf system/plist=plist
-science/cdf=cdf science/hdf5=h5,hdf5,hdf,he5 science/pds3=lbl science/pds4=lblx science/votable=vot,votable
-science/fits=fits,fit,fts text=txt,text,log toml=toml video/mp4=mp4,m4v video/quicktime=mov,qt
-video/x-matroska=mkv video/webm=webm video/x-msvideo=avi xml=xml,xsl,xslt,xsd,rss,atom yaml=yaml,yml
-"""
+SUFFIXES = {
+    "archive/zip": ["zip", "jar", "war", "ear"],
+    "archive/tar": ["tar"],
+    "archive/tar+gzip": ["tar.gz", "tgz"],
+    "archive/gzip": ["gz"],
+    "audio/mpeg": ["mp3"],
+    "audio/mp4": ["m4a", "m4b", "m4p", "aac"],
+    "audio/flac": ["flac"],
+    "audio/ogg": ["ogg", "oga", "opus"],
+    "audio/wav": ["wav", "wave"],
+    "binary/elf": ["elf", "so", "o"],
+    "binary/mach-o": ["dylib", "bundle"],
+    "binary/pe": ["exe", "dll", "sys"],
+    "bytecode/jvm": ["class"],
+    "bytecode/python": ["pyc", "pyo"],
+    "bytecode/wasm": ["wasm"],
+    "csv": ["csv", "tsv"],
+    "database/sqlite": ["db", "sqlite", "sqlite3", "db3"],
+    "database/sqlite-shm": ["db-shm", "sqlite-shm", "sqlite3-shm"],
+    "database/sqlite-wal": ["db-wal", "sqlite-wal", "sqlite3-wal"],
+    "disk-image/dmg": ["dmg"],
+    "disk-image/iso9660": ["iso"],
+    "disk-image/vhd": ["vhd"],
+    "disk-image/vhdx": ["vhdx"],
+    "disk-image/vmdk": ["vmdk"],
+    "disk-image/qcow2": ["qcow2", "qcow"],
+    "disk-image/wim": ["wim"],
+    "office/docx": ["docx"],
+    "office/odt": ["odt"],
+    "office/pptx": ["pptx"],
+    "office/xlsx": ["xlsx"],
+    "email/rfc822": ["eml", "email"],
+    "email/mbox": ["mbox"],
+    "epub": ["epub"],
+    "font/collection": ["ttc", "otc"],
+    "font/otf": ["otf"],
+    "font/ttf": ["ttf"],
+    "font/woff": ["woff"],
+    "font/woff2": ["woff2"],
+    "html": ["html", "htm", "xhtml"],
+    "image/raw-cr2": ["cr2"],
+    "image/raw-cr3": ["cr3"],
+    "image/raw-nef": ["nef", "nrw"],
+    "image/raw-arw": ["arw", "srf", "sr2"],
+    "image/raw-dng": ["dng"],
+    "image/raw-raf": ["raf"],
+    "image/raw-orf": ["orf", "ori"],
+    "image/raw-rw2": ["rw2", "raw"],
+    "image/jpeg": ["jpg", "jpeg"],
+    "image/png": ["png"],
+    "image/gif": ["gif"],
+    "image/webp": ["webp"],
+    "image/svg+xml": ["svg", "svgz"],
+    "image/tiff": ["tif", "tiff"],
+    "image/bmp": ["bmp"],
+    "image/heic": ["heic", "heif"],
+    "install/pkg": ["pkg"],
+    "install/deb": ["deb"],
+    "install/rpm": ["rpm"],
+    "install/appimage": ["appimage"],
+    "json": ["json", "jsonl", "geojson"],
+    "markdown": ["md", "markdown", "mdown", "mkd"],
+    "model3d/stl": ["stl"],
+    "model3d/obj": ["obj"],
+    "model3d/gltf": ["gltf", "glb"],
+    "notebook/jupyter": ["ipynb"],
+    "notebook/zeppelin": ["zpln"],
+    "pdf": ["pdf"],
+    "system/plist": ["plist"],
+    "science/cdf": ["cdf"],
+    "science/hdf5": ["h5", "hdf5", "hdf", "he5"],
+    "science/pds3": ["lbl"],
+    "science/pds4": ["lblx"],
+    "science/votable": ["vot", "votable"],
+    "science/fits": ["fits", "fit", "fts"],
+    "text": ["txt", "text", "log"],
+    "toml": ["toml"],
+    "video/mp4": ["mp4", "m4v"],
+    "video/quicktime": ["mov", "qt"],
+    "video/x-matroska": ["mkv"],
+    "video/webm": ["webm"],
+    "video/x-msvideo": ["avi"],
+    "xml": ["xml", "xsl", "xslt", "xsd", "rss", "atom"],
+    "yaml": ["yaml", "yml"],
+}
 # Source languages and their endings.
-LANGUAGES = """
-go=go javascript=js,mjs,cjs,jsx typescript=ts,tsx rust=rs c=c,h cpp=cpp,cc,cxx,hpp,hh,hxx java=java swift=swift
-kotlin=kt,kts scala=scala,sc zig=zig python=py,pyi shell=sh,bash,zsh elixir=ex,exs ruby=rb lua=lua haskell=hs
-ocaml=ml,mli clojure=clj,cljs,cljc,edn csharp=cs php=php,phtml,php3,php4,php5,php7,phps perl=pl,pm,t r=r ada=adb,ads
-sql=sql vb=vb,bas,vbs,cls,frm fortran=f,f90,f95,f03,f08,for,ftn,fpp matlab=m assembly=asm,s,nasm pascal=pas,pp,dpr,lpr
-"""
+LANGUAGES = {
+    "go": ["go"],
+    "javascript": ["js", "mjs", "cjs", "jsx"],
+    "typescript": ["ts", "tsx"],
+    "rust": ["rs"],
+    "c": ["c", "h"],
+    "cpp": ["cpp", "cc", "cxx", "hpp", "hh", "hxx"],
+    "java": ["java"],
+    "swift": ["swift"],
+    "kotlin": ["kt", "kts"],
+    "scala": ["scala", "sc"],
+    "zig": ["zig"],
+    "python": ["py", "pyi"],
+    "shell": ["sh", "bash", "zsh"],
+    "elixir": ["ex", "exs"],
+    "ruby": ["rb"],
+    "lua": ["lua"],
+    "haskell": ["hs"],
+    "ocaml": ["ml", "mli"],
+    "clojure": ["clj", "cljs", "cljc", "edn"],
+    "csharp": ["cs"],
+    "php": ["php", "phtml", "php3", "php4", "php5", "php7", "phps"],
+    "perl": ["pl", "pm", "t"],
+    "r": ["r"],
+    "ada": ["adb", "ads"],
+    "sql": ["sql"],
+    "vb": ["vb", "bas", "vbs", "cls", "frm"],
+    "fortran": ["f", "f90", "f95", "f03", "f08", "for", "ftn", "fpp"],
+    "matlab": ["m"],
+    "assembly": ["asm", "s", "nasm"],
+    "pascal": ["pas", "pp", "dpr", "lpr"],
+}
 # Content types told by the whole file name.
-NAMES = """
-browser/bookmarks-chromium=Bookmarks browser/bookmarks-safari=Bookmarks.plist build/dockerfile=Dockerfile,Containerfile
-build/makefile=Makefile,GNUmakefile,BSDmakefile,makefile build/justfile=Justfile,justfile build/rakefile=Rakefile
-ignore/git=.gitignore,.gitattributes ignore/docker=.dockerignore manifest/gomod=go.mod,go.sum
-manifest/node=package.json,package-lock.json manifest/cargo=Cargo.toml,Cargo.lock manifest/pipfile=Pipfile,Pipfile.lock
-manifest/python-reqs=requirements.txt manifest/gemfile=Gemfile,Gemfile.lock platform/procfile=Procfile
-platform/vagrant=Vagrantfile repo/license=LICENSE,LICENCE,COPYING,UNLICENSE repo/changelog=CHANGELOG,HISTORY
-repo/contributing=CONTRIBUTING repo/codeowners=CODEOWNERS,OWNERS system/macos-ds-store=.DS_Store
-system/macos-localized=.localized system/windows-thumbs-db=Thumbs.db,ehthumbs.db,ehthumbs_vista.db
-system/windows-desktop-ini=Desktop.ini system/linux-directory=.directory
-"""
+NAMES = {
+    "browser/bookmarks-chromium": ["Bookmarks"],
+    "browser/bookmarks-safari": ["Bookmarks.plist"],
+    "build/dockerfile": ["Dockerfile", "Containerfile"],
+    "build/makefile": ["Makefile", "GNUmakefile", "BSDmakefile", "makefile"],
+    "build/justfile": ["Justfile", "justfile"],
+    "build/rakefile": ["Rakefile"],
+    "ignore/git": [".gitignore", ".gitattributes"],
+    "ignore/docker": [".dockerignore"],
+    "manifest/gomod": ["go.mod", "go.sum"],
+    "manifest/node": ["package.json", "package-lock.json"],
+    "manifest/cargo": ["Cargo.toml", "Cargo.lock"],
+    "manifest/pipfile": ["Pipfile", "Pipfile.lock"],
+    "manifest/python-reqs": ["requirements.txt"],
+    "manifest/gemfile": ["Gemfile", "Gemfile.lock"],
+    "platform/procfile": ["Procfile"],
+    "platform/vagrant": ["Vagrantfile"],
+    "repo/license": ["LICENSE", "LICENCE", "COPYING", "UNLICENSE"],
+    "repo/changelog": ["CHANGELOG", "HISTORY"],
+    "repo/contributing": ["CONTRIBUTING"],
+    "repo/codeowners": ["CODEOWNERS", "OWNERS"],
+    "system/macos-ds-store": [".DS_Store"],
+    "system/macos-localized": [".localized"],
+    "system/windows-thumbs-db": ["Thumbs.db", "ehthumbs.db", "ehthumbs_vista.db"],
+    "system/windows-desktop-ini": ["Desktop.ini"],
+    "system/linux-directory": [".directory"],
+}
 # Content types told by their first bytes (hexadecimal, at an offset).
 MAGIC = [
     ("pdf", 0, "255044462D"),
@@ -83,9 +189,8 @@ MAGIC = [
     ("video/x-matroska", 0, "1A45DFA3"),
     ("video/mp4", 4, "66747970"),
 ]
-_pairs = lambda rows: [x.split("=") for x in rows.split()]
-BY_SUFFIX = {e: kind for kind, ends in _pairs(SUFFIXES) for e in ends.split(",")} | {e: f"source/{kind}" for kind, ends in _pairs(LANGUAGES) for e in ends.split(",")}
-BY_NAME = {n: kind for kind, names in _pairs(NAMES) for n in names.split(",")}
+BY_SUFFIX = {e: kind for kind, ends in SUFFIXES.items() for e in ends} | {e: f"source/{kind}" for kind, ends in LANGUAGES.items() for e in ends}
+BY_NAME = {n: kind for kind, names in NAMES.items() for n in names}
 
 
 def _map(table: dict[str, str]) -> Column:
