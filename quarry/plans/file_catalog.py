@@ -328,3 +328,15 @@ def generated_marks(spark, d):
     language = F.expr("CASE doc_id % 3 WHEN 0 THEN 'go' WHEN 1 THEN 'python' ELSE 'c' END")
     rows = tables.table(spark, d, "documents").select("doc_id", language.alias("language"), body.alias("body"))
     return rows.select("doc_id", "language", files.generated(F.col("body"), F.col("language")).alias("is_generated_code"))
+
+
+_TEST_NAMES = ["a_test.go", "test_a.py", "a.spec.tsx", "ATest.java", "testing.py", "a_tests.cpp", "x/tests/a.rs", "latest.rs", "T.t", "contest.cs"]
+
+
+@query(f"""WITH n AS (SELECT doc_id, [{", ".join(f"'{n}'" for n in _TEST_NAMES)}][doc_id % 10 + 1] AS path FROM documents) SELECT doc_id, path, doc_id % 10 NOT IN (4, 7) AS is_test_file FROM n""")
+def test_file_names(spark, d):
+    languages = ["go", "python", "typescript", "java", "python", "cpp", "rust", "rust", "perl", "csharp"]
+    i = (F.col("doc_id") % 10).cast("int")
+    rows = tables.table(spark, d, "documents").select("doc_id", F.get(F.array(*map(F.lit, _TEST_NAMES)), i).alias("path"), F.get(F.array(*map(F.lit, languages)), i).alias("language"))
+    name = F.element_at(F.split("path", "/"), -1)
+    return rows.select("doc_id", "path", files.test_file(name, F.col("path"), F.col("language")).alias("is_test_file"))

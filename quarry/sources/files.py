@@ -229,7 +229,7 @@ def attributes(files: DataFrame, *, body_bytes: int | None = None, profile: str
             "json_kind": F.when(ct == "json", text.json_kind(F.col("body"))),
             "root_element": F.when(ct == "xml", text.xml_root(F.col("body"))),
             "license_id": F.when(ct == "repo/license", scalars.license_id(F.col("body"))),
-            "is_test_file": F.when(code, test_file(F.col("name"), F.col("path"))),
+            "is_test_file": F.when(code, test_file(F.col("name"), F.col("path"), language)),
             "is_generated_code": F.when(code, generated(F.col("body"), language)),
             **({} if body_bytes is None else {"is_body_truncated": F.coalesce(is_text & (F.length("content") > body_bytes), F.lit(False))}),
         }
@@ -239,9 +239,38 @@ def attributes(files: DataFrame, *, body_bytes: int | None = None, profile: str
     return counted.withColumns({"loc": count("code"), "comment_loc": count("comment"), "blank_loc": count("blank")}).drop("__r")
 
 
-def test_file(name: Column, path: Column) -> Column:
-    """Whether a source file's name or folder follows a test convention."""
-    return name.rlike(r"(?:_test\.go|_test\.py|^test_.*\.py|\.(?:test|spec)\.[cm]?[jt]sx?|Tests?\.(?:java|kt|cs|swift)|_spec\.rb|_test\.(?:rb|exs|rs))$") | path.rlike(r"/(?:tests?|__tests__|spec)/")
+_SCRIPTS = r"\.(?:test|spec)\.(?:[cm]?js|jsx|tsx?)$"
+_C = r"(?:^test_.*|_tests?)\.(?:c|h|cpp|cc|cxx|hpp|hh|hxx)$"
+# How the names of test files look in a language, in lower case.
+TEST_FILES = {
+    "go": r"_test\.go$",
+    "python": r"_test\.py$|^test_.*\.py$",
+    "javascript": _SCRIPTS,
+    "typescript": _SCRIPTS,
+    "c": _C,
+    "cpp": _C,
+    "java": r"(?:tests?|it)\.java$",
+    "ruby": r"_(?:spec|test)\.rb$",
+    "swift": r"tests?\.swift$",
+    "kotlin": r"tests?\.kt$",
+    "scala": r"(?:spec|test)\.scala$",
+    "shell": r"_test\.sh$|^test_.*\.sh$",
+    "elixir": r"_test\.exs$",
+    "csharp": r"tests?\.cs$",
+    "php": r"test\.php$",
+    "perl": r"\.t$",
+    "r": r"^test[-_].*\.r$",
+    "vb": r"tests?\.vb$",
+    "matlab": r"tests?\.m$",
+}
+
+
+def test_file(name: Column, path: Column, language: Column) -> Column:
+    """Whether a source file's name follows its language's convention for tests; in Rust, whether it lies in a folder of tests."""
+    low, out = F.lower(name), F.lower(path).rlike(r"(?:^|/)tests/") & (language == "rust")
+    for own, pattern in TEST_FILES.items():
+        out = F.when(language == own, low.rlike(pattern)).otherwise(out)
+    return F.coalesce(out, F.lit(False))
 
 
 # What a generator writes into a file of a language, in lower case.
