@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of (at most) a few longs that may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of (at most) a few longs that may be broadcast, and the bytes of a stored table; beyond either joins shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: A key with more than this part of all rows is hot; so there are fewer hot keys than this.
 HOT = 1000
 
@@ -49,6 +49,11 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
     return again
 
 
+def _bytes_at(spark: SparkSession, path: str) -> int:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes *path* where the shared folder is, local or remote."""
     jvm = spark.sparkContext._jvm
@@ -69,11 +74,13 @@ def clean(spark: SparkSession) -> None:
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """*df* marked for broadcast if it has at most *rows* rows, else as it is.
+    """*df* marked for broadcast if it has at most *rows* rows and, where stored, BROADCAST_BYTES bytes, else as it is.
 
     For narrow tables (ids and flags) that are already stored: counting them
     reads Parquet footers only.
     """
+    if getattr(df, "_stored_at", None) and _bytes_at(df.sparkSession, df._stored_at) > BROADCAST_BYTES:
+        return df
     return F.broadcast(df) if df.count() <= rows else df
 
 

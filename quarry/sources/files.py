@@ -60,26 +60,22 @@ def _list(skip: str, follow: bool, artefacts: dict[str, list[str]]):
     return run
 
 
-def _read(paths: pd.Series) -> pd.Series:
-    def one(path: str) -> bytes | None:
-        try:
-            with open(path, "rb") as f:
-                return f.read()
-        except OSError:
-            return None
+def _reader(most: int):
+    """A column function from paths to the first *most* bytes of the files (-1: all); null where there is no path or no such file."""
 
-    return pd.Series([one(p) for p in paths], dtype=object)
-
-
-def _read_head(paths: pd.Series) -> pd.Series:
-    def one(path: str) -> bytes | None:
+    def one(path: str | None) -> bytes | None:
+        if not isinstance(path, str):
+            return None
         try:
             with open(path, "rb") as f:
-                return f.read(HEAD_BYTES)
+                return f.read(most)
         except OSError:
             return None
 
-    return pd.Series([one(p) for p in paths], dtype=object)
+    def read(paths: pd.Series) -> pd.Series:
+        return pd.Series([one(p) for p in paths], dtype=object)
+
+    return F.pandas_udf(read, "binary")
 
 
 def _glob_test(patterns: list[str], git_dir: bool) -> str:
@@ -88,8 +84,8 @@ def _glob_test(patterns: list[str], git_dir: bool) -> str:
     return "|".join(f"(?:{fnmatch.translate(g)})" for g in globs)
 
 
-def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False, prune_artefacts: bool = False) -> DataFrame:
-    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, head and content (each read only if used).
+def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_dir: bool = False, follow_symlinks: bool = False, prune_artefacts: bool = False, content: bool = True) -> DataFrame:
+    """Every regular file under the *roots*: path, name, dir, ext, size, mod_time, rel, link columns, head and, with *content*, content (each read only if used).
 
     Hidden and empty files count.  Folders are listed by the executors, one level
     a round, so an excluded folder is never entered, nor with *prune_artefacts*
@@ -106,7 +102,6 @@ def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_di
         front = level.where("is_dir").select("path", "root").repartition(shuffle_partitions(spark))
         if level.where("is_dir").isEmpty():
             break
-    content, head = F.pandas_udf(_read, "binary"), F.pandas_udf(_read_head, "binary")
     return found.select(
         "path",
         "name",
@@ -118,8 +113,8 @@ def walk(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), git_di
         "is_symlink",
         "target_path",
         "is_broken_symlink",
-        head("path").alias("head"),
-        content("path").alias("content"),
+        _reader(HEAD_BYTES)("path").alias("head"),
+        *([_reader(-1)("path").alias("content")] if content else []),
     )
 
 
@@ -201,18 +196,23 @@ def attributes(files: DataFrame, *, body_bytes: int | None = None, profile: str
     Text attributes are columns; other families go through one Arrow parser per
     batch.  What cannot be parsed keeps its row, with attributes missing.  Bodies
     and counts are those of whole files; with *body_bytes* text bodies end there
-    and is_body_truncated tells of which.  Files of the types of a *profile* (see
-    PROFILES) are not read.
+    and is_body_truncated tells of which.  Files without a ``content`` column are
+    read here, but for those whose type has neither text nor a parser, or is in a
+    *profile* (see PROFILES).
     """
-    if profile is not None:
-        skipped = F.lit(False)
-        for prefix in PROFILES[profile]:
-            skipped = skipped | F.col("content_type").startswith(prefix)
-        files = files.withColumn("content", F.when(~skipped, F.col("content")))
     ct = F.col("content_type")
     is_text = F.lit(False)
     for t in _TEXTS:
         is_text = is_text | ct.startswith(t)
+    wanted = is_text
+    for t in parsers.PARSED:
+        wanted = wanted | ct.startswith(t)
+    for prefix in PROFILES[profile] if profile is not None else ():
+        wanted = wanted & ~ct.startswith(prefix)
+    if "content" in files.columns:
+        files = files.withColumn("content", F.when(wanted, F.col("content")))
+    else:
+        files = files.withColumn("content", _reader(-1)(F.when(wanted, F.col("path"))))
     parsed = files.mapInPandas(_parse, _schema(files))
     body = F.coalesce("p_body", F.when(is_text, F.make_valid_utf8((F.col("content") if body_bytes is None else F.substring("content", 1, body_bytes)).cast("string"))))
     out = parsed.withColumn("body", F.when(F.length(F.coalesce(body, F.lit(""))) > 0, body)).drop("p_body")
@@ -319,7 +319,7 @@ def _parse(batches):
 
 def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "", prune_artefacts: bool = False, body_bytes: int | None = None, profile: str | None = None) -> DataFrame:
     """The whole source: listing, excludes, detection and attributes, ready for any search."""
-    files = walk(spark, *roots, exclude_globs=list(exclude_globs), prune_artefacts=prune_artefacts)
+    files = walk(spark, *roots, exclude_globs=list(exclude_globs), prune_artefacts=prune_artefacts, content=False)
     if ignore_rules:
         files = gitignore(files, ignore_rules)
     return attributes(detected(files), body_bytes=body_bytes, profile=profile).drop("rel")

@@ -717,6 +717,10 @@ _EXACT = {"markdown": markdown, "csv": table, "yaml": yaml, "email/rfc822": mail
 _FAMILIES = {"office": office, "archive": archive, "notebook": notebook, "manifest": manifest, "image": image, "audio": audio, "video": video, "binary": binary, "bytecode": bytecode, "science": science, "model3d": model, "font": font, "chat": chat, "browser": bookmarks, "install": package, "disk-image": disk}
 
 
+#: How the types begin whose files a parser reads.
+PARSED = (*_EXACT, *(f"{family}/" for family in _FAMILIES), "source/")
+
+
 def parse(content_type: str, name: str, data: bytes) -> tuple[str | None, dict]:
     """Body and attributes of one file; nothing where it is malformed or has no parser."""
     data = bytes(data or b"")
