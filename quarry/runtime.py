@@ -87,12 +87,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def join_each(rows: DataFrame, one: DataFrame, key: str, total: int | None = None) -> DataFrame:
     """*rows* joined with *one*, which has one row a key and the number of the key's rows as ``__n``; ``__n`` is dropped.
 
-    Keys with more than a 1 / HOT part of all rows (*total*, counted if not given)
-    are fewer than HOT, so their rows of *one* are broadcast and the hot rows stay
+    With BROADCAST_ROWS rows (*total*, counted if not given) or fewer *one* has no
+    more and is broadcast.  Else keys with more than a 1 / HOT part of all rows are
+    fewer than HOT, so their rows of *one* are broadcast and the hot rows stay
     where they are; all others meet by shuffle.
     """
     if total is None:
         total = one.agg(F.sum("__n")).first()[0] or 0
+    if total <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(one.drop("__n")), key)
     hot = F.broadcast(one.where(F.col("__n") * HOT > total).drop("__n"))
     cool = one.where(F.col("__n") * HOT <= total).drop("__n")
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))

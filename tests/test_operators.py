@@ -179,3 +179,20 @@ def test_chat_body_has_late_and_unnumbered_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 10_000, "user", "late"), (1, None, "system", "none"), (2, None, "user", "b"), (3, 20_000, "user", "c"), (None, 1, "user", "d")], "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.message_count, r.body) for r in stats.chat_summary(turns).collect()}
     assert got == {1: (3, "user\ta\nuser\tlate\nsystem\tnone"), 2: (1, "user\tb"), 3: (1, "user\tc"), None: (1, "user\td")}
+
+
+@pytest.mark.parametrize("bound", [10, 1_000_000])
+def test_components_by_broadcast_and_by_shuffle(spark, monkeypatch, bound):
+    """A hub, a chain and small groups, with and without room for a broadcast of all keys."""
+    from quarry import runtime
+    from quarry.operators import components
+
+    monkeypatch.setattr(runtime, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(runtime, "HOT", 5)
+    edges = [(5, i) for i in range(1000, 1400)] + [(i, i + 1) for i in range(2000, 2060)] + [(3000 + 2 * i, 3001 + 2 * i) for i in range(50)] + [(7, 7), (None, 1)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    roots = union_find([(a, b) for a, b in edges if a is not None and a != b])
+    least = {}
+    for n, r in roots.items():
+        least[r] = min(least.get(r, n), n)
+    assert got == {n: least[r] for n, r in roots.items()}
