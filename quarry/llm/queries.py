@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,7 +90,47 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+def _license_sql() -> str:
+    """Sentences by lines and marks, their identifiers by a join, then the rules one after another on what is left."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    table = {re.sub(licenses._UNDER, "licensed under ", k): v for k, v in licenses.SENTENCES.items()}
+    known = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in table.items())
+    rules = ", ".join(f"({n}, {quote(name)}, [{', '.join(map(quote, ids))}])" for n, (name, ids) in enumerate(licenses.RULES, 1))
+    telling = ", ".join(f"({quote(k)}, {quote(v)})" for k, v in licenses.TELLING.items())
+    ways = "(?:licensed|released|distributed|published|provided|available|made available) under "
+    gnu = "you can redistribute it and or modify it under the terms of the "
+    things = "(?:this|the|these|our|your)?(?: ?source)? ?(?:code|work|software|file|files|program|project|library|package|document|documentation|text|content|module|site)? ?(?:is|are)(?: also)? "
+    normal = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), '\\blicence', 'license', 'g'),
+        '^(?:.*\\b(?:is|are)(?: also| dual)? ({ways})|.* ({gnu}))', '\\1\\2'),
+        '^(?:copyright(?: c)?(?: [0-9]+)?(?: [a-z0-9]+){{0,8}}? (all rights reserved)$|{things})', '\\1'),
+        '^{ways}(?:the terms of (?:the )?)?(?:the |an? )?', 'licensed under '), '^(licensed under .*?) see .*$', '\\1')"""
+    parts = lambda x: f"string_split_regex(replace(regexp_replace(regexp_replace({x}, '([Ii]dentifier):', '\\1' || chr(1), 'g'), '([.!?;:])\\s+', '\\1' || chr(10), 'g'), chr(1), ':'), '\\s*\\n\\s*')"
+    return f"""
+        WITH RECURSIVE known(s, id) AS (VALUES {known}), rule(r, name, need) AS (VALUES {rules}), telling(id, name) AS (VALUES {telling}),
+        l AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        j AS (SELECT doc_id, t, ls, list_transform(ls, lambda x, i: i > 1 AND regexp_matches(ls[i - 1], '[^.!?;:\\s][ \\t]*\\r?$') AND NOT (i < len(ls) AND regexp_matches(x, '^[ \\t]*\\r?$'))) AS tied FROM l),
+        u AS (SELECT doc_id, t, array_to_string(list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN '' WHEN tied[i] THEN ' ' ELSE chr(10) END
+            || regexp_replace(CASE WHEN tied[i] THEN regexp_replace(x, '^[ \\t#*/-]*', '') ELSE x END, CASE WHEN i < len(ls) AND tied[i + 1] THEN '[ \\t]*\\r?$' ELSE '$^' END, '')), '') AS w FROM j),
+        p AS (SELECT doc_id, 1 AS pass, unnest({parts("w")}) AS s, generate_subscripts({parts("w")}, 1) AS k FROM u UNION ALL SELECT doc_id, 2, unnest({parts("t")}), generate_subscripts({parts("t")}, 1) FROM u),
+        n AS (SELECT doc_id, pass, k, {normal} AS s FROM p WHERE regexp_matches(s, {quote(licenses.TRIGGER)})),
+        i AS (SELECT doc_id, pass, k, id FROM n JOIN known USING (s)),
+        a AS (SELECT doc_id, list(id ORDER BY pass, k) AS ids FROM i WHERE pass = 1 OR NOT EXISTS (SELECT 1 FROM i o WHERE o.doc_id = i.doc_id AND o.pass = 1 AND o.id = i.id) GROUP BY doc_id),
+        run AS (SELECT doc_id, 1 AS r, '' AS fixed, ' ' || array_to_string(ids, ' ') || ' ' AS rest, []::VARCHAR[] AS found FROM a
+            UNION ALL
+            SELECT doc_id, r + (met IS NULL)::INT, CASE WHEN met IS NULL THEN '' ELSE fixed || split_part(met, '|', 1) END, CASE WHEN met IS NULL THEN fixed || rest ELSE split_part(met, '|', 2) END, CASE WHEN met IS NULL THEN found ELSE list_append(found, name) END
+            FROM (SELECT run.*, rule.name, list_reduce(list_prepend('|' || rest, need), lambda acc, x: CASE WHEN strpos(split_part(acc, '|', 2), ' ' || x || ' ') = 0 THEN NULL
+                ELSE split_part(acc, '|', 1) || left(split_part(acc, '|', 2), strpos(split_part(acc, '|', 2), ' ' || x || ' ') - 1) || '|' || substr(split_part(acc, '|', 2), strpos(split_part(acc, '|', 2), ' ' || x || ' ') + length(x) + 1) END) AS met
+                FROM run JOIN rule USING (r))),
+        e AS (SELECT doc_id, fixed || rest AS rest, found FROM run WHERE r = (SELECT max(r) + 1 FROM rule)),
+        f AS (SELECT doc_id, name, k FROM (SELECT doc_id, unnest(found) AS name, generate_subscripts(found, 1) AS k FROM e)
+            UNION ALL SELECT doc_id, telling.name, 1000 + k FROM (SELECT doc_id, unnest(string_split(rest, ' ')) AS id, generate_subscripts(string_split(rest, ' '), 1) AS k FROM e) JOIN telling USING (id)),
+        g AS (SELECT doc_id, string_agg(name, ' AND ' ORDER BY k) AS licenses FROM (SELECT doc_id, name, min(k) AS k FROM f GROUP BY ALL) GROUP BY doc_id)
+        SELECT doc_id, coalesce(array_to_string(ids, ' '), '') AS sentence_ids, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN g USING (doc_id)
+    """
+
+
 SQL = {
+    "op9_license_scan": _license_sql(),
     # shares by largest remainders; then earliest deadline first, slot by slot, with weights that start anew when a source runs out
     "op2_source_mixing": """
         WITH RECURSIVE c AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM documents GROUP BY source),

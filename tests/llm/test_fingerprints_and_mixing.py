@@ -268,6 +268,25 @@ def test_licences_against_brute_force(spark, sf):
         assert got[i] == brute_licences(text), i
 
 
+def test_license_sql_against_brute_force():
+    import textwrap
+
+    import duckdb
+    import pyarrow as pa
+
+    from quarry.llm import queries
+
+    rng, whole, rows = random.Random(3), ["\n".join(x) for x in _license_texts().values()], [None, "", "\n", "# a\n#  b\n\n", "Licensed under the\n * MIT License.\n"]
+    for _ in range(150):
+        lines = [rng.choice(rng.choice(whole).split("\n")) for _ in range(rng.randrange(1, 14))]
+        rows.append(rng.choice(["\n", "\n\n", " ", "\r\n"]).join(textwrap.fill(x, 72) if rng.random() < 0.5 else x for x in lines))
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(rows))), "text": rows}))
+    for doc_id, ids, names in con.execute(queries.SQL["op9_license_scan"]).fetchall():
+        want = brute_licences(rows[doc_id] or "")
+        assert (ids, names) == (" ".join(want[0]), " AND ".join(want[1]))
+
+
 def test_the_tables_agree_with_the_columns(spark):
     lines = sorted({x for own in _license_texts().values() for x in own} | set(licenses.SENTENCES))
     rows = spark.createDataFrame([(x,) for x in lines], "s string").select("s", licenses._normal(F.col("s")).alias("n")).collect()
