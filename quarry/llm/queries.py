@@ -129,7 +129,50 @@ def _license_sql() -> str:
     """
 
 
+_M = 1 << 64
+#: The primes of XXH64, and what its lanes begin with for seed 42.
+_P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+_LANES = [(42 + _P1 + _P2) % _M, (42 + _P2) % _M, 42, (42 - _P1) % _M]
+
+
+def _simhash_sql() -> str:
+    """XXH64 by folds over the words, the half word and the bytes of each distinct shingle; then votes, links and what they reach."""
+    wrap = lambda x: f"(({x}) % {_M}::UHUGEINT)::UBIGINT"
+    mul = lambda a, b: wrap(f"({a})::UHUGEINT * {b}::UHUGEINT")
+    add = lambda a, b: wrap(f"({a})::UHUGEINT + {b}::UHUGEINT")
+    rotl = lambda a, r: wrap(f"({a})::UHUGEINT * {1 << r} + (({a}) >> {64 - r})::UHUGEINT")
+    turn = lambda acc, x: mul(rotl(wrap(f"({acc})::UHUGEINT + {mul(x, _P2)}::UHUGEINT"), 31), _P1)
+    fold = lambda first, rest, step: f"list_reduce(list_prepend({first}, {rest}), lambda acc, x: {step})"
+    pair = lambda o: f"b[2 * ({o}) + 1:2 * ({o}) + 2]"
+    number = lambda o, n: f"('0x' || {' || '.join(pair(f'{o} + {k}') for k in reversed(range(n)))})::UBIGINT"
+    lanes = ", ".join(fold(f"{v}::UBIGINT", f"list_transform(range(0, n // 32), lambda i: w[4 * i + {k + 1}])", turn("acc", "x")) + f" AS v{k}" for k, v in enumerate(_LANES))
+    joined = "(" + " + ".join(f"{rotl(f'v{k}', r)}::UHUGEINT" for k, r in enumerate((1, 7, 12, 18))) + ")"
+    merged = fold(wrap(joined), "[v0, v1, v2, v3]", add(mul(f"xor(acc, {turn('0::UBIGINT', 'x')})", _P1), _P4))
+    words = fold("h", "w[4 * (n // 32) + 1:]", add(mul(rotl(f"xor(acc, {turn('0::UBIGINT', 'x')})", 27), _P1), _P4))
+    half = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rotl(f'xor(h, {mul(number('8 * (n // 8)', 4), _P1)})', 23), _P2), _P3)} ELSE h END"
+    tail = f"list_transform(range(8 * (n // 8) + CASE WHEN n % 8 >= 4 THEN 4 ELSE 0 END, n), lambda i: {number('i', 1)})"
+    last = fold("h", tail, mul(rotl(f"xor(acc, {mul('x', _P5)})", 11), _P1))
+    votes = " + ".join(f"(CASE WHEN sum((h >> {i}) & 1) * 2 > count(*) THEN {1 << i}::UHUGEINT ELSE 0 END)" for i in range(64))
+    return f"""
+        WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT row, unnest(CASE WHEN len(ws) > 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END) AS s FROM t WHERE len(ws) > 0),
+        x0 AS (SELECT s, hex(encode(s)) AS b, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM g)),
+        x1 AS (SELECT *, list_transform(range(0, n // 8), lambda i: {number("8 * i", 8)}) AS w FROM x0),
+        x2 AS (SELECT *, {lanes} FROM x1), x3 AS (SELECT s, b, n, w, {add(f"CASE WHEN n >= 32 THEN {merged} ELSE {42 + _P5}::UBIGINT END", "n")} AS h FROM x2),
+        x4 AS (SELECT s, b, n, {words} AS h FROM x3), x5 AS (SELECT s, b, n, {half} AS h FROM x4), x6 AS (SELECT s, {last} AS h FROM x5),
+        x7 AS (SELECT s, {mul("xor(h, h >> 33)", _P2)} AS h FROM x6), x8 AS (SELECT s, {mul("xor(h, h >> 29)", _P3)} AS h FROM x7), x9 AS (SELECT s, xor(h, h >> 32) AS h FROM x8),
+        v AS (SELECT row, ({votes})::UBIGINT AS p FROM g JOIN x9 USING (s) GROUP BY row),
+        d AS (SELECT doc_id, coalesce(p, 0::UBIGINT) AS p FROM t LEFT JOIN v USING (row)),
+        c AS (SELECT p, min(doc_id) AS class_id, count(*) AS class_size FROM d GROUP BY p),
+        e AS (SELECT x.p AS a, y.p AS b FROM c x JOIN c y ON x.p <> y.p AND bit_count(xor(x.p, y.p)) <= 3),
+        r AS (SELECT p AS a, p AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+        k AS (SELECT a AS p, min(class_id) AS component_id FROM r JOIN c ON c.p = r.b GROUP BY a), m AS (SELECT a AS p, count(*) AS links FROM e GROUP BY a)
+        SELECT doc_id, lpad(lower(hex(p)), 16, '0') AS fingerprint, component_id, class_id, class_size, coalesce(links, 0) AS links FROM d JOIN c USING (p) JOIN k USING (p) LEFT JOIN m USING (p)
+    """
+
+
 SQL = {
+    "op4_simhash_near_dedup": _simhash_sql(),
     "op9_license_scan": _license_sql(),
     # shares by largest remainders; then earliest deadline first, slot by slot, with weights that start anew when a source runs out
     "op2_source_mixing": """

@@ -136,3 +136,18 @@ def test_candidates_are_few(spark):
     prints = spark.createDataFrame([(rng.getrandbits(63),) for _ in range(20_000)], "print long")
     plan = simhash_dedup.links(prints)
     assert plan.count() == 0
+
+
+def test_fingerprint_sql():
+    """The SQL's XXH64 over texts of all lengths up to 130 characters and some longer ones."""
+    import duckdb
+    import pyarrow as pa
+
+    from quarry.llm import queries
+
+    rng = random.Random(1)
+    rows = [None, "", " \t\n", "A b", "One two Three", "É ß日本 \x0bA", *("".join(rng.choice("abcdéXYZ  ") for _ in range(n)) for n in [*range(1, 130), 500, 1000])]
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(rows))), "text": rows}))
+    for doc_id, fingerprint, *_ in con.execute(queries.SQL["op4_simhash_near_dedup"]).fetchall():
+        assert int(fingerprint, 16) == brute_print(rows[doc_id])
