@@ -264,8 +264,10 @@ def _rule(ids: list[str]) -> tuple[str, str]:
 
 def licences(ids: Column) -> Column:
     """The licences of an identifier sequence, each once, in the order of the rules; then what is told by single identifiers that are left."""
-    made = [(name, *_rule(need)) for name, need in RULES]
-    rules = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(need).alias("need"), F.lit(rest).alias("rest")) for name, need, rest in made))
+    fields = ("name", "need", "rest", "first", "last")
+    rules = F.array(*(F.struct(*(F.lit(x).alias(f) for f, x in zip(fields, (name, *_rule(need), need[0], need[-1])))) for name, need in RULES))
+    # only rules whose ends are there are tried
+    rules = F.filter(rules, lambda r: F.array_contains(ids, r["first"]) & F.array_contains(ids, r["last"]))
     none = F.array().cast("array<string>")
     start = F.struct(F.concat(F.array_join(ids, " "), F.lit(" ")).alias("left"), none.alias("found"))
     telling = _map(TELLING)
