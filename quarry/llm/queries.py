@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import public_tokenizers
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,13 +131,12 @@ def _license_sql() -> str:
 
 
 _M = 1 << 64
-#: The primes of XXH64, and what its lanes begin with for seed 42.
+#: The primes of XXH64.
 _P1, _P2, _P3, _P4, _P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
-_LANES = [(42 + _P1 + _P2) % _M, (42 + _P2) % _M, 42, (42 - _P1) % _M]
 
 
-def _simhash_sql() -> str:
-    """XXH64 by folds over the words, the half word and the bytes of each distinct shingle; then votes, links and what they reach."""
+def _xxh64_sql(name: str, source: str, seed: int) -> str:
+    """Common tables that end in *name* (s, h): the XXH64 of every distinct s of *source*, by folds over its words, half word and bytes."""
     wrap = lambda x: f"(({x}) % {_M}::UHUGEINT)::UBIGINT"
     mul = lambda a, b: wrap(f"({a})::UHUGEINT * {b}::UHUGEINT")
     add = lambda a, b: wrap(f"({a})::UHUGEINT + {b}::UHUGEINT")
@@ -145,23 +145,30 @@ def _simhash_sql() -> str:
     fold = lambda first, rest, step: f"list_reduce(list_prepend({first}, {rest}), lambda acc, x: {step})"
     pair = lambda o: f"b[2 * ({o}) + 1:2 * ({o}) + 2]"
     number = lambda o, n: f"('0x' || {' || '.join(pair(f'{o} + {k}') for k in reversed(range(n)))})::UBIGINT"
-    lanes = ", ".join(fold(f"{v}::UBIGINT", f"list_transform(range(0, n // 32), lambda i: w[4 * i + {k + 1}])", turn("acc", "x")) + f" AS v{k}" for k, v in enumerate(_LANES))
+    begin = [(seed + _P1 + _P2) % _M, (seed + _P2) % _M, seed, (seed - _P1) % _M]
+    lanes = ", ".join(fold(f"{v}::UBIGINT", f"list_transform(range(0, n // 32), lambda i: w[4 * i + {k + 1}])", turn("acc", "x")) + f" AS v{k}" for k, v in enumerate(begin))
     joined = "(" + " + ".join(f"{rotl(f'v{k}', r)}::UHUGEINT" for k, r in enumerate((1, 7, 12, 18))) + ")"
     merged = fold(wrap(joined), "[v0, v1, v2, v3]", add(mul(f"xor(acc, {turn('0::UBIGINT', 'x')})", _P1), _P4))
     words = fold("h", "w[4 * (n // 32) + 1:]", add(mul(rotl(f"xor(acc, {turn('0::UBIGINT', 'x')})", 27), _P1), _P4))
     half = f"CASE WHEN n % 8 >= 4 THEN {add(mul(rotl(f'xor(h, {mul(number('8 * (n // 8)', 4), _P1)})', 23), _P2), _P3)} ELSE h END"
     tail = f"list_transform(range(8 * (n // 8) + CASE WHEN n % 8 >= 4 THEN 4 ELSE 0 END, n), lambda i: {number('i', 1)})"
     last = fold("h", tail, mul(rotl(f"xor(acc, {mul('x', _P5)})", 11), _P1))
+    x = f"{name}_"
+    return f"""{x}0 AS (SELECT s, hex(encode(s)) AS b, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM {source})),
+        {x}1 AS (SELECT *, list_transform(range(0, n // 8), lambda i: {number("8 * i", 8)}) AS w FROM {x}0),
+        {x}2 AS (SELECT *, {lanes} FROM {x}1), {x}3 AS (SELECT s, b, n, w, {add(f"CASE WHEN n >= 32 THEN {merged} ELSE {(seed + _P5) % _M}::UBIGINT END", "n")} AS h FROM {x}2),
+        {x}4 AS (SELECT s, b, n, {words} AS h FROM {x}3), {x}5 AS (SELECT s, b, n, {half} AS h FROM {x}4), {x}6 AS (SELECT s, {last} AS h FROM {x}5),
+        {x}7 AS (SELECT s, {mul("xor(h, h >> 33)", _P2)} AS h FROM {x}6), {x}8 AS (SELECT s, {mul("xor(h, h >> 29)", _P3)} AS h FROM {x}7), {name} AS (SELECT s, xor(h, h >> 32) AS h FROM {x}8)"""
+
+
+def _simhash_sql() -> str:
+    """Shingles, a vote of their hashes for each bit, links and what they reach."""
     votes = " + ".join(f"(CASE WHEN sum((h >> {i}) & 1) * 2 > count(*) THEN {1 << i}::UHUGEINT ELSE 0 END)" for i in range(64))
     return f"""
         WITH RECURSIVE t AS (SELECT row_number() OVER () AS row, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         g AS (SELECT row, unnest(CASE WHEN len(ws) > 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) ELSE [array_to_string(ws, ' ')] END) AS s FROM t WHERE len(ws) > 0),
-        x0 AS (SELECT s, hex(encode(s)) AS b, octet_length(encode(s)) AS n FROM (SELECT DISTINCT s FROM g)),
-        x1 AS (SELECT *, list_transform(range(0, n // 8), lambda i: {number("8 * i", 8)}) AS w FROM x0),
-        x2 AS (SELECT *, {lanes} FROM x1), x3 AS (SELECT s, b, n, w, {add(f"CASE WHEN n >= 32 THEN {merged} ELSE {42 + _P5}::UBIGINT END", "n")} AS h FROM x2),
-        x4 AS (SELECT s, b, n, {words} AS h FROM x3), x5 AS (SELECT s, b, n, {half} AS h FROM x4), x6 AS (SELECT s, {last} AS h FROM x5),
-        x7 AS (SELECT s, {mul("xor(h, h >> 33)", _P2)} AS h FROM x6), x8 AS (SELECT s, {mul("xor(h, h >> 29)", _P3)} AS h FROM x7), x9 AS (SELECT s, xor(h, h >> 32) AS h FROM x8),
-        v AS (SELECT row, ({votes})::UBIGINT AS p FROM g JOIN x9 USING (s) GROUP BY row),
+        {_xxh64_sql("x", "g", 42)},
+        v AS (SELECT row, ({votes})::UBIGINT AS p FROM g JOIN x USING (s) GROUP BY row),
         d AS (SELECT doc_id, coalesce(p, 0::UBIGINT) AS p FROM t LEFT JOIN v USING (row)),
         c AS (SELECT p, min(doc_id) AS class_id, count(*) AS class_size FROM d GROUP BY p),
         e AS (SELECT x.p AS a, y.p AS b FROM c x JOIN c y ON x.p <> y.p AND bit_count(xor(x.p, y.p)) <= 3),
@@ -171,7 +178,40 @@ def _simhash_sql() -> str:
     """
 
 
+def _fingerprint_sql() -> str:
+    """Tokens and their hashes, a polynomial over each run, the least of each window, and the runs of characters of short texts."""
+    unspaced = "".join(f"\\x{{{a}}}-\\x{{{b}}}" for a, b in (("0E00", "0FFF"), ("1000", "109F"), ("1780", "17FF"), ("3040", "30FF"), ("3400", "4DBF"), ("4E00", "9FFF"), ("F900", "FAFF"), ("20000", "3FFFF")))
+    number = lambda h: f"(((CASE WHEN {h} >= 9223372036854775808 THEN {h}::HUGEINT - {_M} ELSE {h}::HUGEINT END) % {winnowing._PRIME} + {winnowing._PRIME}) % {winnowing._PRIME})::BIGINT"
+    run = lambda nums: f"list_reduce(list_prepend(0::BIGINT, {nums}), lambda acc, x: (acc * {winnowing._BASE} + x) % {winnowing._PRIME})"
+    k, w, low = winnowing.K, winnowing.W, winnowing._LOW
+    line = lambda column, field: f"array_to_string(list_transform({column}, lambda x: x.{field}), ' ')"
+    own = lambda column: f"list_distinct(list_transform({column}, lambda x: x.h))"
+    near = lambda a, b: f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0 ELSE len(list_intersect({own(a)}, {own(b)}))::DOUBLE / len(list_distinct(list_concat({own(a)}, {own(b)}))) END"
+    return f"""
+        WITH o AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC, text) AS i FROM documents),
+        n AS (SELECT a.*, b.text AS following, b.i AS j FROM o a JOIN o b ON b.i = a.i % (SELECT count(*) FROM o) + 1),
+        q AS (SELECT *, left(text, length(text) - length(text) // 3) || left(following, length(text) // 3) AS edited FROM n),
+        u AS (SELECT DISTINCT text FROM (SELECT text FROM q UNION ALL SELECT edited FROM q)),
+        z AS (SELECT text, list_filter(string_split_regex(regexp_replace(text, '([{unspaced}])', ' \\1 ', 'g'), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS plain FROM u),
+        t AS (SELECT text, flatten(list_transform(plain, lambda x: CASE WHEN length(x) > {winnowing.LONG_WORD} THEN string_split(x, '') ELSE [x] END)) AS tokens FROM z),
+        p AS (SELECT text, unnest(tokens) AS s, generate_subscripts(tokens, 1) AS i FROM t),
+        {_xxh64_sql("x", "p", 42)},
+        m AS (SELECT text, list({number("h")} ORDER BY i) AS nums FROM p JOIN x USING (s) GROUP BY text),
+        r AS (SELECT text, CASE WHEN len(nums) < {k} THEN [{run("nums")}] ELSE list_transform(range(1, len(nums) - {k - 2}), lambda i: {run(f"nums[i:i + {k - 1}]")}) END AS runs FROM m),
+        s AS (SELECT text, list_transform(runs, lambda h, i: h * {low + 1} + {low} - (i - 1)) AS marks FROM r),
+        k AS (SELECT text, list_sort(list_distinct(list_transform(range(1, greatest(len(marks) - {w - 1}, 1) + 1), lambda i: {{'p': {low} - list_min(marks[i:i + {w - 1}]) % {low + 1}, 'h': list_min(marks[i:i + {w - 1}]) // {low + 1}}}))) AS kept FROM s),
+        c AS (SELECT text, substring(text, i + 1, {winnowing.SHORT_RUN}) AS s, i FROM (SELECT text, unnest(range(0, greatest(length(text) - {winnowing.SHORT_RUN}, 0) + 1)) AS i FROM m WHERE length(text) < {winnowing.SHORT})),
+        {_xxh64_sql("y", "c", xxhash.xxh64_intdigest(b"short", 42))},
+        f AS (SELECT text, list({{'p': -1 - i, 'h': {number("h")}}} ORDER BY i) AS grams FROM c JOIN y USING (s) GROUP BY text),
+        a AS (SELECT text, coalesce(list_concat(kept, coalesce(grams, [])), []) AS kept FROM u LEFT JOIN k USING (text) LEFT JOIN f USING (text))
+        SELECT q.doc_id, length(q.text) AS n_chars, sha256(q.edited) AS edited_sha256, {line("o.kept", "h")} AS fingerprint, {line("e.kept", "h")} AS edited_fingerprint,
+            {near("o.kept", "e.kept")} AS near_edited, {near("o.kept", "n.kept")} AS near_next, {line("o.kept", "p")} AS positions, {line("e.kept", "p")} AS edited_positions
+        FROM q JOIN a o ON o.text = q.text JOIN a e ON e.text = q.edited JOIN a n ON n.text = q.following
+    """
+
+
 SQL = {
+    "op1_document_fingerprints": _fingerprint_sql(),
     "op4_simhash_near_dedup": _simhash_sql(),
     "op9_license_scan": _license_sql(),
     # shares by largest remainders; then earliest deadline first, slot by slot, with weights that start anew when a source runs out
