@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts of one numpy pass take at most so many UTF-8 bytes (or are one text).
-BATCH_BYTES = 48 << 20
+BATCH_BYTES = 16 << 20
 
 _loaded: dict[str, object] = {}
 
