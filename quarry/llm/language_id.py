@@ -110,33 +110,35 @@ class LanguageModel:
     def word(self, word: str) -> np.ndarray:
         return self.table([word])[0]
 
+    def answer(self, names: list[str], index: np.ndarray, bounds: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """As score(), for the texts of one pass (see words.batches_of_words)."""
+        found: dict[str, int] = {}
+        parts = [[found.setdefault(w, len(found)) for w in split(x)] for x in names]
+        number = np.fromiter(map(len, parts), np.int64, len(parts))
+        each = self.table(list(found))[np.fromiter((i for x in parts for i in x), np.int64, int(number.sum()))]
+        # a chunk's words added up, and how many they are
+        table = np.zeros((len(names), len(self.languages) + 1))
+        some = number > 0
+        if some.any():
+            table[some, :-1] = np.add.reduceat(each, (np.cumsum(number) - number)[some], axis=0)
+        table[:, -1] = number
+        total = words.sums(table, index, bounds)
+        n, scores = total[:, -1], total[:, :-1]
+        if not self.languages:
+            return [UNKNOWN] * len(n), np.zeros(len(n))
+        scores = scores * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
+        odds = np.exp(scores - scores.max(1, keepdims=True))
+        odds /= odds.sum(1, keepdims=True)
+        return [self.languages[k] if some else UNKNOWN for k, some in zip(odds.argmax(1), n > 0)], np.where(n > 0, odds.max(1), 0.0)
+
     def score(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """The language of each text and its probability; UNKNOWN and 0 without letters or without a language learnt."""
         labels: list[str] = []
         shares = []
         for _, _, names, index, bounds in words.batches_of_words(texts):
-            found: dict[str, int] = {}
-            parts = [[found.setdefault(w, len(found)) for w in split(x)] for x in names]
-            number = np.fromiter(map(len, parts), np.int64, len(parts))
-            each = self.table(list(found))[np.fromiter((i for x in parts for i in x), np.int64, int(number.sum()))]
-            # a chunk's words added up, and how many they are
-            table = np.zeros((len(names), len(self.languages) + 1))
-            some = number > 0
-            if some.any():
-                table[some, :-1] = np.add.reduceat(each, (np.cumsum(number) - number)[some], axis=0)
-            table[:, -1] = number
-            total = words.sums(table, index, bounds)
-            n, scores = total[:, -1], total[:, :-1]
-            if not self.languages:
-                labels += [UNKNOWN] * len(n)
-                shares.append(np.zeros(len(n)))
-                continue
-            scores = scores * (np.minimum(n, EVIDENCE) / np.maximum(n, 1))[:, None]
-            odds = np.exp(scores - scores.max(1, keepdims=True))
-            odds /= odds.sum(1, keepdims=True)
-            best = odds.argmax(1)
-            labels += [self.languages[k] if some else UNKNOWN for k, some in zip(best, n > 0)]
-            shares.append(np.where(n > 0, odds.max(1), 0.0))
+            own, share = self.answer(names, index, bounds)
+            labels += own
+            shares.append(share)
         return labels, np.concatenate(shares) if shares else np.zeros(0)
 
 
