@@ -33,6 +33,17 @@ def sample(labelled: DataFrame, rows: int, key: str, size: int | None = None, te
     return labelled.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def within(rows: DataFrame, size: int) -> DataFrame:
+    """As many of *rows* (text, place and more) as take *size* UTF-8 bytes in all: whole texts in order of place; the driver sees one number a row."""
+    total, last = 0, None
+    for place, n in sorted((r.place, r.n) for r in rows.select("place", F.octet_length("text").alias("n")).collect()):
+        total += n
+        if total > size:
+            break
+        last = place
+    return rows.where(F.col("place") <= last) if last is not None else rows.limit(0)
+
+
 def collected(rows: DataFrame, size: int) -> pa.Table:
     """The sampled *rows* (id, text and more) on the driver, in an order of their own that is the same at each run.
 
@@ -40,14 +51,7 @@ def collected(rows: DataFrame, size: int) -> pa.Table:
     id; the driver sees one number a row before it gets a text.
     """
     rows = stored(rows.withColumn("place", F.xxhash64("id", F.lit("place"))), "sample")
-    total, last = 0, None
-    for place, n in sorted((r.place, r.n) for r in rows.select("place", F.octet_length("text").alias("n")).collect()):
-        total += n
-        if total > size:
-            break
-        last = place
-    chosen = rows.where(F.col("place") <= last) if last is not None else rows.limit(0)
-    table = chosen.orderBy("place", F.xxhash64("text"), *(c for c in rows.columns if c not in ("id", "text", "place"))).toArrow()
+    table = within(rows, size).orderBy("place", F.xxhash64("text"), *(c for c in rows.columns if c not in ("id", "text", "place"))).toArrow()
     forget(rows)
     return table
 

@@ -299,3 +299,48 @@ def test_toxicity_trains_eight_epochs_with_the_whole_language_model(monkeypatch,
     monkeypatch.setattr(language_id, "fit", lambda docs, **options: asked.append(options) or fit(docs, **options))
     queries.op6_toxicity(spark, sf)
     assert asked == [{}]
+
+
+def test_toxicity_learns_from_all_labels(monkeypatch, spark):
+    """Every labelled text sets the thresholds and every word of them has learned, in several shards too."""
+    rows = [(i, f"calm{i} words {'zorgl' if i % 60 == 0 else 'here'} again{i % 7}", int(i % 60 == 0)) for i in range(2700)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen, best = [], toxicity.best_threshold
+    monkeypatch.setattr(toxicity, "best_threshold", lambda z, toxic, *more: seen.append((len(z), int((toxic == 1).sum()))) or best(z, toxic, *more))
+    for size in (1 << 20, 20_000):
+        monkeypatch.setattr(toxicity, "SHARD_BYTES", size, raising=False)
+        model = toxicity.fit(table.drop("toxic"), table.select("doc_id", "toxic"))
+        assert seen.pop() == (2700, 45) and not seen
+        keys, starts = toxicity._flat([f"calm{i}" for i in range(2700)])
+        assert model.rows[keys[starts[:-1]]].any(1).all()
+        got = toxicity.predict(table.drop("toxic"), model).join(table, "doc_id").where("predicted = toxic").count()
+        assert got == 2700
+
+
+def test_toxicity_shards_add_up():
+    texts, toxic = [f"aa b{i % 5} cc{i}" for i in range(12)] + ["", ""], np.array([1, 0] * 7)
+    fold = np.arange(14) % 4
+
+    def shard(own):
+        names, index, bounds = toxicity.chunk_tokens.split(pa.array([texts[i] for i in own]))
+        return toxicity.Shard.unpacked(toxicity.Shard.of(names.to_pylist(), index, bounds, toxic[own], fold[own]).packed())
+
+    whole, parts = shard(np.arange(14)), [shard(np.arange(14)[k::3]) for k in range(3)]
+    total = {}
+    for x in parts:
+        toxicity._add(total, x.counts(4))
+    assert all(np.array_equal(total[name], x) for name, x in whole.counts(4).items())
+    # models side by side are what each is alone
+    models = [toxicity.ToxicityModel() for _ in range(5)]
+    both = toxicity.Training(models, total, [None, 0, 1, 2, 3], 7)
+    alone = toxicity.Training(models[:1], total, [2], 7)
+    for x in (both, alone):
+        for k in range(3):
+            x.epoch(whole, np.random.default_rng(k))
+    assert np.allclose(both.rows[:, 3], alone.rows[:, 0], atol=1e-4) and np.allclose(both.params[-1][3], alone.params[-1][0], atol=1e-4)
+    # the average of one result is that result
+    before = toxicity.Training(models, total, [None, 0, 1, 2, 3], 7)
+    after = before.copy()
+    after.epoch(whole, np.random.default_rng(0))
+    before.averaged(after.copy().changed(before, 14))
+    assert np.allclose(before.rows, after.rows, atol=1e-6) and np.allclose(before.small(), after.small())
