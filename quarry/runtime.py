@@ -35,15 +35,15 @@ def run_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quarry-{spark.sparkContext.applicationId}"
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """*df* written as Parquet to the shared folder and read again.
+def stored(df: DataFrame, name: str = "step", **options: object) -> DataFrame:
+    """*df* written as Parquet to the shared folder, with the writer's *options*, and read again.
 
     Cuts lineage: a lost executor costs only the tasks that read the table, and
     whatever reads it more than once does not compute it again.
     """
     spark = df.sparkSession
     path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again

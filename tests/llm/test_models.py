@@ -344,3 +344,22 @@ def test_toxicity_shards_add_up():
     after.epoch(whole, np.random.default_rng(0))
     before.averaged(after.copy().changed(before, 14))
     assert np.allclose(before.rows, after.rows, atol=1e-6) and np.allclose(before.small(), after.small())
+
+
+def test_toxicity_sums_reach_the_driver_in_small_pieces(monkeypatch, spark):
+    """The driver gets a few MB of a task's sums at a time, however large they are, and the broadcast is gone by then."""
+    wide, kept = np.random.default_rng(1).random((1 << 16, 40), np.float32), []
+    names, index, bounds = toxicity.chunk_tokens.split(pa.array(["aa bb"]))
+    one = toxicity.Shard.of(names.to_pylist(), index, bounds, np.array([1]), np.array([0])).packed()
+    shards = spark.createDataFrame([(k, one, ["en"]) for k in range(3)], "shard int, data binary, langs array<string>").coalesce(2)
+    monkeypatch.setattr(toxicity, "forget", lambda *tables: kept.extend(tables))
+    used = spark.sparkContext.broadcast(wide)
+    gone, destroy = [], used.destroy
+    monkeypatch.setattr(used, "destroy", lambda: gone.append(True) or destroy())
+    total = toxicity._summed(shards, lambda number, shard: {"wide": wide + number, "few": np.eye(3)}, used)
+    assert np.allclose(total["wide"], 3 * wide + 3, atol=1e-5) and np.array_equal(total["few"], 3 * np.eye(3)) and gone
+    sums = kept[0]
+    assert sums.selectExpr("max(length(data))").first()[0] <= 64 << 10
+    with toxicity._held(spark, "spark.sql.files.maxPartitionBytes", str(toxicity.SENT_BYTES)):
+        parts = sums.selectExpr("spark_partition_id() as part", "length(data) as n").groupBy("part").sum("n").collect()
+    assert max(r[1] for r in parts) <= 3 * toxicity.SENT_BYTES
