@@ -356,10 +356,36 @@ def test_toxicity_sums_reach_the_driver_in_small_pieces(monkeypatch, spark):
     used = spark.sparkContext.broadcast(wide)
     gone, destroy = [], used.destroy
     monkeypatch.setattr(used, "destroy", lambda: gone.append(True) or destroy())
-    total = toxicity._summed(shards, lambda number, shard: {"wide": wide + number, "few": np.eye(3)}, used)
+    total = toxicity._summed(shards, lambda number, shard, total, kept: toxicity._add(total, {"wide": wide + number, "few": np.eye(3)}), used)
     assert np.allclose(total["wide"], 3 * wide + 3, atol=1e-5) and np.array_equal(total["few"], 3 * np.eye(3)) and gone
     sums = kept[0]
     assert sums.selectExpr("max(length(data))").first()[0] <= 64 << 10
     with toxicity._held(spark, "spark.sql.files.maxPartitionBytes", str(toxicity.SENT_BYTES)):
         parts = sums.selectExpr("spark_partition_id() as part", "length(data) as n").groupBy("part").sum("n").collect()
     assert max(r[1] for r in parts) <= 3 * toxicity.SENT_BYTES
+
+
+def test_chunks_as_arrays_give_what_lists_give():
+    """Words, letters and languages of plain and odd chunks, worked out for all at once and one by one."""
+    rng = np.random.default_rng(4)
+    letters = list("abcXYZ09'-,.éİΣß中́²\xa0\U0001f600_")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(rng.integers(0, 12))) for _ in range(400)] + ["", "ΑΣ ΣΑΣ", "!! ?? '"]
+    names, index, bounds = toxicity.chunk_tokens.split(pa.array(texts))
+    shown = [("".join(filter(str.isalnum, x)) or x).lower() for x in names.to_pylist()]
+    for part in (slice(None), slice(50, 60)):
+        assert words.letters_and_digits(names[part]).to_pylist() == shown[part]
+        found, at, number = words.letter_runs(names[part], language_id.split)
+        assert found.take(pa.array(at)).to_pylist() == [w for x in names[part].to_pylist() for w in language_id.split(x)] and len(number) == len(shown[part])
+    model = language_id.LanguageModel.of({"de": {"straße": 5, "abc": 1}, "el": {"ας": 2, "x": 3}})
+    one, two = model.answer(names, index, bounds), model.answer(names.to_pylist(), index, bounds)
+    assert one[0] == two[0] and np.array_equal(one[1], two[1])
+
+
+def test_toxicity_trains_on_long_texts_in_blocks(monkeypatch):
+    """A text that is longer than a block, and texts shorter than the filters, learn as if there were no blocks."""
+    texts, toxic = pa.array([" ".join(f"w{i % 37}" for i in range(90)) + " zorgl", "aa bb", "cc", "", "aa cc dd bb"] * 4), np.array([1, 0, 0, 0, 1] * 4)
+    whole = toxicity.ToxicityModel().fit(texts, toxic)
+    monkeypatch.setattr(toxicity, "BLOCK", 7)
+    parts = toxicity.ToxicityModel().fit(texts, toxic)
+    assert np.allclose(whole.rows, parts.rows, atol=1e-4) and np.allclose(whole.out, parts.out, atol=1e-4)
+    assert np.allclose(whole._all(texts), parts._all(texts), atol=1e-3)
