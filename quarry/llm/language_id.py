@@ -23,6 +23,8 @@ TRAIN_DOCS, TRAIN_BYTES = 20_000, 64 << 20
 LONGEST = 5
 #: Words whose n-grams are worked out at a time when a model is made.
 PIECE = 1 << 15
+#: Texts that are scored at a time take at most so many UTF-8 bytes (or are one text): a pass holds some 15 times its bytes.
+PASS_BYTES = 4 << 20
 #: Words that count in full towards a document's score; further ones only sharpen it as their mean.
 EVIDENCE = 24
 _LETTERS = regex.compile(r"\p{L}+")
@@ -150,7 +152,7 @@ class LanguageModel:
         """The language of each text and its probability; UNKNOWN and 0 without letters or without a language learnt."""
         labels: list[str] = []
         shares = []
-        for _, _, names, index, bounds in words.batches_of_words(texts):
+        for _, _, names, index, bounds in words.batches_of_words(texts, PASS_BYTES):
             own, share = self.answer(names, index, bounds)
             labels += own
             shares.append(share)

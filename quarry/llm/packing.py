@@ -20,6 +20,8 @@ FAN_IN = 16
 SLACK = 64
 #: Documents that one repacking task takes, about: a pool with more is dealt to several tasks, by bins.
 REPACK_ROWS = 1_000_000
+#: Texts that are tokenized at a time take at most so many UTF-8 bytes (or are one text): a pass holds some 15 times its bytes.
+PASS_BYTES = 4 << 20
 #: Pieces that are packed together where the order of the documents counts, and how often one may wait for the next stretch.
 STRETCH, CARRY = 512, 4
 
@@ -92,7 +94,7 @@ def _pieces(path: str, capacity: int, closing: int, batches):
     """(doc_id, piece, start, length, ids_crc32) arrays of the documents of *batches*, a slice of them at a time."""
     for batch in batches:
         texts = batch.column("text")
-        for a, b in chunk_tokens.slices(texts):
+        for a, b in chunk_tokens.slices(texts, PASS_BYTES):
             ids, ends = chunk_tokens.encode_texts(path, texts.slice(a, b - a), closing)
             ids = ids.astype("<u4", copy=False)
             begins = np.concatenate(([0], ends[:-1]))
@@ -131,26 +133,37 @@ def _first_round(path: str, capacity: int, closing: int):
     return pack
 
 
+def _dealt(found, stretch: int):
+    """The pieces of all of *found* in order, *stretch* at a time (at the end fewer), however many came together."""
+    left = None
+    for several in found:
+        left = several if left is None else _joined([left, several])
+        whole = len(left[1]) // stretch * stretch
+        for a in range(0, whole, stretch):
+            yield tuple(x[a : a + stretch] for x in left)
+        left = tuple(x[whole:] for x in left)
+    if left is not None and len(left[1]):
+        yield left
+
+
 def _stretches(path: str, capacity: int, closing: int, stretch: int):
     """As _first_round, but *stretch* pieces at a time, in order; those of bins with room wait for the next, CARRY times at most."""
 
     def pack(batches):
         part, done, held = TaskContext.get().partitionId(), 0, None
-        for several in _pieces(path, capacity, closing, batches):
-            for a in range(0, len(several[1]), stretch):
-                new = (several[0].slice(a, stretch), *(x[a : a + stretch] for x in several[1:]))
-                new = (*new, np.zeros(len(new[1]), np.int64))
-                held = new if held is None else _joined([held, new])
-                bins, offsets, fill = best_fit_decreasing(held[3], capacity)
-                waited = np.zeros(len(fill), np.int64)
-                np.maximum.at(waited, bins, held[5])
-                close = (capacity - fill <= capacity // SLACK) | (waited >= CARRY)
-                go = close[bins]
-                some = tuple(x.filter(pa.array(go)) if isinstance(x, pa.Array) else x[go] for x in held)
-                yield from _rows(some, part, (done + np.cumsum(close) - 1)[bins[go]], offsets[go], np.zeros(int(go.sum()), bool)).to_batches()
-                done += int(close.sum())
-                held = tuple(x.filter(pa.array(~go)) if isinstance(x, pa.Array) else x[~go] for x in held)
-                held[5][:] += 1
+        for new in _dealt(_pieces(path, capacity, closing, batches), stretch):
+            new = (*new, np.zeros(len(new[1]), np.int64))
+            held = new if held is None else _joined([held, new])
+            bins, offsets, fill = best_fit_decreasing(held[3], capacity)
+            waited = np.zeros(len(fill), np.int64)
+            np.maximum.at(waited, bins, held[5])
+            close = (capacity - fill <= capacity // SLACK) | (waited >= CARRY)
+            go = close[bins]
+            some = tuple(x.filter(pa.array(go)) if isinstance(x, pa.Array) else x[go] for x in held)
+            yield from _rows(some, part, (done + np.cumsum(close) - 1)[bins[go]], offsets[go], np.zeros(int(go.sum()), bool)).to_batches()
+            done += int(close.sum())
+            held = tuple(x.filter(pa.array(~go)) if isinstance(x, pa.Array) else x[~go] for x in held)
+            held[5][:] += 1
         if held is not None and len(held[1]):
             bins, offsets, fill = best_fit_decreasing(held[3], capacity)
             yield from _rows(held, part, done + bins, offsets, _still_open(bins, fill, held[3], capacity)).to_batches()

@@ -61,9 +61,9 @@ def one_array(table: pa.Table, column: str) -> pa.Array:
     return pa.concat_arrays(found.chunks) if isinstance(found, pa.ChunkedArray) and found.num_chunks else found
 
 
-def batches_of_words(texts: pa.Array) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
-    """(first row, end row, distinct chunks, chunk number of each word, where each text's words begin and end) in passes of bounded size."""
-    for a, b in chunk_tokens.slices(texts, PASS_BYTES):
+def batches_of_words(texts: pa.Array, limit: int = PASS_BYTES) -> Iterator[tuple[int, int, list[str], np.ndarray, np.ndarray]]:
+    """(first row, end row, distinct chunks, chunk number of each word, where each text's words begin and end) in passes of at most *limit* bytes."""
+    for a, b in chunk_tokens.slices(texts, limit):
         names, index, bounds = chunk_tokens.split(texts.slice(a, b - a))
         yield a, b, names.to_pylist(), index, bounds
 

@@ -1,9 +1,16 @@
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
+
 import corpus_pipeline
 import oracle
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
-from quarry.llm import language_id, queries, simhash_dedup
+from quarry.llm import chunk_tokens, language_id, queries, simhash_dedup
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -102,3 +109,76 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
         worst = max(worst, *(abs(n - (t + 1) / 3) for n in done))
     total = sum(r.length for r in rows)
     assert worst <= 100 and len(places) <= -(-total // 2048) * 1.02 + 4
+
+
+_PASSES = '''
+import re, sys, threading, time
+import pyarrow as pa, pyarrow.parquet as pq, public_tokenizers
+from quarry.llm import packing
+
+def held():
+    return int(re.search(r"Anonymous: +(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+
+def watch():
+    while going:
+        most[0] = max(most[0], held())
+        time.sleep(0.005)
+
+texts = pq.read_table(sys.argv[1], columns=["text"])["text"].drop_null().to_pylist()
+size = sum(len(x.encode()) for x in texts)
+rows = texts * -(-(16 << 20) // size)
+batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(rows))), "text": pa.array(rows, pa.string())})
+run = lambda b: sum(len(x[1]) for x in packing._pieces(public_tokenizers.path("word_bpe_49k.json"), 2048, 0, [b]))
+run(batch.slice(0, 50))  # loads what stays
+going, most, before = True, [0], held()
+watcher = threading.Thread(target=watch)
+watcher.start()
+assert run(batch) >= len(rows)
+going = False
+watcher.join()
+print(most[0] - before)
+'''
+
+
+def test_packing_holds_little_besides_its_batch(sf):
+    """16 MB of texts in one batch: the Python worker takes less than 100 MB more for them (two stand beside an executor's heap)."""
+    home = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+    env = os.environ | {"PYTHONPATH": os.pathsep.join(x for x in (home, os.environ.get("PYTHONPATH", "")) if x), "OMP_NUM_THREADS": "1"}
+    done = subprocess.run([sys.executable, "-c", _PASSES, f"{sf}/documents.parquet"], capture_output=True, text=True, env=env, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 100
+
+
+def test_language_scores_four_megabytes_at_a_time(monkeypatch):
+    """No pass is larger, and each text's answer is that of the text alone."""
+    sizes, split = [], chunk_tokens.split
+    monkeypatch.setattr(chunk_tokens, "split", lambda texts: sizes.append(pc.sum(pc.binary_length(texts)).as_py()) or split(texts))
+    model = language_id.LanguageModel.of({"en": {"the": 2, "and": 1}, "de": {"der": 2, "und": 1}})
+    texts = [f"{'the and' if i % 3 else 'der und'} w{i} " * 4000 for i in range(200)]
+    labels, shares = model.score(pa.array(texts))
+    assert sum(sizes) > 7 << 20 and max(sizes) <= 4 << 20
+    for i in (0, 1, 99, 199):
+        (label,), (share,) = model.score(pa.array(texts[i : i + 1]))
+        assert (labels[i], shares[i]) == (label, share)
+
+
+def test_passes_do_not_change_the_sequences(spark, sf, monkeypatch):
+    """Stretches have as many pieces whatever the size of a pass; so the places are the same."""
+    from quarry.llm import packing
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").toArrow().combine_chunks().to_batches()
+    found = []
+    for size in (1 << 30, 20_000):
+        monkeypatch.setattr(packing, "PASS_BYTES", size)
+        monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+        pack = packing._stretches(public_tokenizers.path("word_bpe_49k.json"), 2048, 0, 16)
+        found.append([r for b in pack(rows) for r in b.to_pylist()])
+    assert len(rows) == 1 and len(found[0]) >= rows[0].num_rows and found[0] == found[1]
+
+
+def test_pipeline_reads_a_store_that_only_spark_reads(spark, sf):
+    """The same rows by viewfs://, which Python cannot open, as by a local path."""
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.quarry.link./in", f"file://{sf}")
+    key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    near, far = (sorted(map(key, corpus_pipeline.run(spark, at).collect())) for at in (sf, "viewfs://quarry/in"))
+    assert near and near == far
