@@ -2,11 +2,10 @@
 
 Tokens are lower-case letter or digit runs of two or more; three in a row make a
 shingle; FNV-1a-64 of the shingles votes on each bit.  Two files are alike from
-1 - hamming / 64 >= threshold on.  The pairs come from an equi-join that loses
-none: with at most k differing bits, one of m parts of the bits has at most
-k // m, so both sides probe what lies around a part, half of that far each.
-More parts take fewer probes but meet more often; plan() weighs both for the
-number of fingerprints at hand.
+1 - hamming / 64 >= threshold on.  No pair is lost: with at most k differing
+bits, one of m parts of the bits has at most k // m, so all whose parts lie that
+near are compared.  More and wider parts take more steps but compare fewer;
+plan() weighs both for the number of fingerprints at hand.
 """
 
 from __future__ import annotations
@@ -14,11 +13,13 @@ from __future__ import annotations
 import functools
 import itertools
 import math
+from collections import defaultdict
+from collections.abc import Iterator
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -30,8 +31,10 @@ _FNV_START, _FNV_PRIME = np.uint64(14695981039346656037), np.uint64(109951162821
 _WORD = re.compile(r"[^\W_]+")
 #: Shingles that are hashed at a time, and characters of texts.
 SLICE, CHARS = 1 << 16, 8 << 20
-#: Bits of a part up to which balls around it are enumerated.
-_WIDEST = 40
+#: Bits of a part by which fingerprints are told apart, at most, and those that deal them to tasks.
+WIDEST, SHARD_BITS = 20, 4
+#: Pairs that are compared at a time, and those that are sent at a time.
+COMPARED, SENT = 1 << 18, 1 << 16
 
 
 def fnv1a(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -117,48 +120,127 @@ def _ball(width: int, radius: int) -> int:
     return sum(math.comb(width, r) for r in range(radius + 1))
 
 
-def plan(k: int, n: int) -> int:
-    """Into how many parts the 64 bits are dealt so that probes and meetings of *n* random fingerprints at most *k* bits apart are fewest."""
+def plan(k: int, n: int) -> tuple[int, int]:
+    """By how many parts of the 64 bits, and how many bits of each, *n* random fingerprints at most *k* bits apart are found soonest.
 
-    def cost(m: int) -> float:
-        width, radius = 64 // m, k // m
-        far, near = _ball(width, radius - radius // 2), _ball(width, radius // 2)
-        return m * n * (far + near) + n * n * m * far * near / 2.0**width
+    Weighs about 1 ns for a pair that is compared against the steps for each value of a part and its tasks.
+    """
 
-    return min((m for m in range(1, k + 2) if 64 // m <= _WIDEST or k // m == 0), key=cost)
+    def cost(plan: tuple[int, int]) -> float:
+        m, width = plan
+        ball = _ball(width, k // m)
+        return m * (0.1 + min(n, 2**width) * (4e-5 + 1.5e-7 * ball) + ball / 2.0**width * n * n / 2 * 1e-9)
 
+    return min(((m, w) for m in range(1, min(k + 1, 64 // SHARD_BITS) + 1) for w in range(SHARD_BITS, min(64 // m, WIDEST) + 1)), key=cost)
 
-def _masks(width: int, radius: int) -> list[int]:
-    return [sum(1 << b for b in bits) for r in range(radius + 1) for bits in itertools.combinations(range(width), r)]
 
+def _masks(width: int, radius: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in bits) for r in range(1, min(radius, width) + 1) for bits in itertools.combinations(range(width), r)], np.int64)
 
-def _key(part: int, own: Column, mask: Column) -> Column:
-    return F.struct(F.lit(part).alias("part"), own.bitwiseXOR(mask).alias("key"))
 
+def _alike(prints: np.ndarray, at: int, width: int, radius: int, most: int, shard: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) in *prints*, in pieces, of pairs at most *most* bits apart; *prints* are in the order of the part.
 
-def similar_pairs(prints: DataFrame, threshold: float, n: int) -> DataFrame:
+    The part is the *width* bits from *at* on.  Found are the pairs whose lesser
+    part begins with the bits *shard* and has at most *radius* bits other than the greater.
+    """
+    value = (prints >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
+    starts = np.searchsorted(value, np.arange((1 << width) + 1))
+    masks = _masks(width, radius)
+    for v in np.unique(value[value >> (width - SHARD_BITS) == shard]).tolist():
+        near = v ^ masks
+        near = np.r_[v, near[near > v]]
+        begins = starts[near]
+        sizes = starts[near + 1] - begins
+        there = np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        for c in range(0, len(there), COMPARED):
+            other = there[c : c + COMPARED]
+            met = prints[other]
+            step = max(1, COMPARED // len(other))
+            for i in range(int(starts[v]), int(starts[v + 1]), step):
+                own = prints[i : min(i + step, int(starts[v + 1]))]
+                hit = np.flatnonzero(np.bitwise_count(own[:, None] ^ met) <= most)
+                if len(hit):
+                    left, right = hit // len(other) + i, other[hit % len(other)]
+                    later = right > left
+                    if later.any():
+                        yield left[later], right[later]
+
+
+def _roots(parent: np.ndarray, i: np.ndarray) -> np.ndarray:
+    root = parent[i]
+    while True:
+        up = parent[root]
+        if (up == root).all():
+            parent[i] = root
+            return root
+        root = up
+
+
+def _joining(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of the links (left, right) those that join trees of *parent*, which then are one; so a forest is all that comes."""
+    while len(left):
+        a, b = _roots(parent, left), _roots(parent, right)
+        apart = a != b
+        left, right, a, b = left[apart], right[apart], a[apart], b[apart]
+        upper, first = np.unique(np.maximum(a, b), return_index=True)
+        parent[upper] = np.minimum(a, b)[first]
+        if len(first):
+            yield left[first], right[first]
+
+
+def _pairs(width: int, step: int, radius: int, most: int, whole: bool, batches):
+    """(a, b) of the fingerprints in the shards of a task, whose rows are (shard, print)."""
+    held = defaultdict(list)
+    for batch in batches:
+        shard, prints = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+        for s in np.unique(shard).tolist():
+            held[s].append(prints[shard == s])
+    kept, n = [], 0
+    for s in list(held):
+        part, shard = divmod(s, 1 << SHARD_BITS)
+        prints = np.concatenate(held.pop(s))
+        prints = prints[np.argsort((prints >> np.uint64(part * step)) & np.uint64((1 << width) - 1), kind="stable")]
+        found = _alike(prints, part * step, width, radius, most, shard)
+        parent = None if whole else np.arange(len(prints))
+        for left, right in found if whole else (x for pair in found for x in _joining(parent, *pair)):
+            kept.append(np.stack([prints[left].view(np.int64), prints[right].view(np.int64)]))
+            n += len(left)
+            if n >= SENT:
+                yield from _sent(kept)
+                kept, n = [], 0
+    yield from _sent(kept)
+
+
+def _sent(kept: list[np.ndarray]):
+    if kept:
+        both = np.concatenate(kept, axis=1)
+        for i in range(0, both.shape[1], SENT):
+            one = both[:, i : i + SENT]
+            yield pa.RecordBatch.from_arrays([pa.array(one.min(axis=0)), pa.array(one.max(axis=0))], names=["a", "b"])
+
+
+def similar_pairs(prints: DataFrame, threshold: float, n: int, whole: bool = True) -> DataFrame:
     """(a, b) of the *n* distinct fingerprints that are alike; each pair may come several times.
 
-    Per part both sides probe all values near their own, so what meets is a small
-    share of all pairs: with 9 bits 0.9 % for four parts, 0.007 % for two (which
-    plan() takes from some hundred thousand fingerprints on, where the work
-    grows with their number only).
+    Not *whole*, only pairs that link all that is linked come: at most one for
+    each fingerprint of a task, however large its clusters are.
+
+    The first SHARD_BITS bits of each part deal the fingerprints to tasks, and to
+    those of lesser bits that are near enough to hold a partner: at 0.85 about 20
+    copies, whatever their number.  No join could send them to the driver, and a
+    task holds its copies only.  What is compared is a fixed share of all pairs:
+    0.8 % with 9 bits and four parts of 16.
     """
-    k = max(0, min(64, int((1 - threshold) * 64 + 1e-9)))
-    m = plan(k, n)
-    widths = [64 // m + (i < 64 % m) for i in range(m)]
-    sides = []
-    for radius in (k // m - k // m // 2, k // m // 2):
-        keys, at = [], 0
-        for i, w in enumerate(widths):
-            own = F.shiftrightunsigned("print", at).bitwiseAND(F.lit((1 << w) - 1 if w < 64 else -1))
-            keys.append(F.transform(F.expr(f"array({', '.join(f'{x}L' for x in _masks(w, radius))})"), functools.partial(_key, i, own)))
-            at += w
-        sides.append(prints.select("print", F.inline(F.flatten(F.array(*keys)))))
-    x, y = sides[0].withColumnRenamed("print", "a"), sides[1].withColumnRenamed("print", "b")
-    likeness = 1 - F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) / F.lit(64.0)
-    met = x.join(y, ["part", "key"]).where((F.col("a") != F.col("b")) & (likeness >= threshold))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    k = max((d for d in range(65) if 1 - d / 64.0 >= threshold), default=0)
+    m, width = plan(k, n)
+    step, radius, shards = 64 // m, k // m, 1 << SHARD_BITS
+    each = []
+    for i in range(m):
+        own = f"cast(shiftrightunsigned(print, {i * step + width - SHARD_BITS}) & {shards - 1} as int)"
+        each.append(f"transform(filter(sequence(0, {own}), s -> bit_count(s ^ {own}) <= {radius}), s -> s + {i * shards})")
+    dealt = prints.select(F.explode(F.expr(f"concat({', '.join(each)})")).alias("shard"), "print").repartitionById(m * shards, F.col("shard"))
+    return dealt.mapInArrow(functools.partial(_pairs, width, step, radius, k, whole), "a bigint, b bigint")
 
 
 def near_duplicates(files: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -173,7 +255,7 @@ def near_duplicates(files: DataFrame, threshold: float | None = None) -> DataFra
         threshold = SOURCE_THRESHOLD if (share or 0) > 0.5 else THRESHOLD
     prints = stored(fingerprints(files), "prints")
     classes = stored(prints.groupBy("print").agg(F.count("*").alias("n")), "classes")
-    pairs = stored(similar_pairs(classes.select("print"), threshold, classes.count()).distinct(), "pairs")
+    pairs = stored(similar_pairs(classes.select("print"), threshold, classes.count(), whole=False).distinct(), "pairs")
     linked = connected_components(pairs, "a", "b")
     groups = classes.join(linked, classes["print"] == linked["node"], "left").select("print", F.coalesce("component", "print").alias("root"), "n")
     members = groups.groupBy("root").agg(F.sum("n").alias("members")).where("members > 1")

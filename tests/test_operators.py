@@ -86,6 +86,31 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values())) and have
 
 
+@pytest.mark.parametrize(("threshold", "n"), [(0.85, 300), (0.85, 500_000), (0.85, 20_000_000), (0.92, 3_000_000), (0.6, 300), (1.0, 300)])
+def test_similar_pairs_reach_no_driver_and_lose_none(spark, threshold, n):
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(1 << 63), 1 << 63, 60)
+    flips = [sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 12), replace=False)) for _ in range(240)]
+    prints = sorted({int(x) for x in base} | {int(base[i % 60]) ^ f for i, f in enumerate(flips)})
+    table = spark.createDataFrame([(p,) for p in prints], "print long")
+    pairs = near_duplicates.similar_pairs(table, threshold, n)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    bits = lambda a, b: ((a ^ b) & ((1 << 64) - 1)).bit_count()
+    want = {(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if 1 - bits(a, b) / 64 >= threshold}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    forest = {(r.a, r.b) for r in near_duplicates.similar_pairs(table, threshold, n, whole=False).collect()}
+    groups = lambda found: {frozenset(x for x in prints if roots.get(x) == r) for roots in [union_find(found)] for r in roots.values()}
+    assert forest <= want and groups(forest) == groups(want)
+
+
+def test_links_of_a_large_cluster_are_a_forest():
+    """Of 2 ** 10 fingerprints alike, half a million pairs, a task sends 1,023."""
+    prints = np.arange(1 << 10).astype(np.int64)
+    batch = near_duplicates.pa.RecordBatch.from_arrays([near_duplicates.pa.array(np.zeros(len(prints), np.int32)), near_duplicates.pa.array(prints)], names=["shard", "print"])
+    sent = [list(near_duplicates._pairs(16, 16, 10, 10, whole, iter([batch]))) for whole in (True, False)]
+    assert [sum(b.num_rows for b in x) for x in sent] == [1023 * 512, 1023] and max(b.num_rows for x in sent for b in x) <= near_duplicates.SENT
+
+
 def test_simhash_definition():
     h = 14695981039346656037
     for b in b"one two six":
