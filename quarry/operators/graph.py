@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.components import connected_components
 from quarry.plans.cel import re2
-from quarry.runtime import forget, stored
+from quarry.runtime import forget, join_each, stored
 from quarry.sources import symbols
 
 # Languages whose references are known; others never count as dead or untested.
@@ -225,15 +225,16 @@ def _least_source(edges: DataFrame) -> DataFrame:
     """(node, colour): the least node that reaches each node of *edges* (src, dst), itself included.
 
     Each round takes the colours of all nodes before and then the colour of the
-    colour, so a chain of n steps takes about log n rounds.
+    colour, so a chain of n steps takes about log n rounds.  All joins shuffle:
+    broadcasts would pass through the driver, again each round.
     """
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     colour = stored(nodes.withColumn("colour", F.col("node")), "colour")
     while True:
-        pushed = edges.join(colour, edges["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("c"))
-        step = colour.join(pushed, colour["node"] == pushed["dst"], "left").select("node", "colour", F.least("colour", "c").alias("near"))
+        pushed = edges.join(colour.hint("merge"), edges["src"] == colour["node"]).groupBy("dst").agg(F.min("colour").alias("c"))
+        step = colour.join(pushed.hint("merge"), colour["node"] == pushed["dst"], "left").select("node", "colour", F.least("colour", "c").alias("near"))
         jump = colour.select(F.col("node").alias("near"), F.col("colour").alias("far"))
-        new = stored(step.join(jump, "near").select("node", F.least("near", "far").alias("colour"), (F.least("near", "far") < F.col("colour")).alias("moved")), "colour")
+        new = stored(step.join(jump.hint("merge"), "near").select("node", F.least("near", "far").alias("colour"), (F.least("near", "far") < F.col("colour")).alias("moved")), "colour")
         forget(colour)
         colour = new
         if new.where("moved").isEmpty():
@@ -252,13 +253,13 @@ def cycles(edges: DataFrame) -> DataFrame:
     while True:
         before = _least_source(edges)
         behind = _least_source(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        colour = stored(before.join(behind.select("node", F.col("colour").alias("behind")), "node"), "colour")
+        colour = stored(before.join(behind.select("node", F.col("colour").alias("behind")).hint("merge"), "node"), "colour")
         a, b = (colour.select(F.col("node").alias(x), F.col("colour").alias(f"c_{x}"), F.col("behind").alias(f"b_{x}")) for x in ("src", "dst"))
-        edges = stored(edges.join(a, "src").join(b, "dst").where("c_src = c_dst and b_src = b_dst").select("src", "dst"), "edges")
+        edges = stored(edges.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where("c_src = c_dst and b_src = b_dst").select("src", "dst"), "edges")
         left = edges.count()
         if left == n:
-            sizes = colour.groupBy(F.col("colour").alias("component")).agg(F.count("*").alias("size"))
-            return colour.select("node", F.col("colour").alias("component")).join(sizes, "component").select("node", "component", "size")
+            sizes = colour.groupBy(F.col("colour").alias("component")).agg(F.count("*").alias("size"), F.count("*").alias("__n"))
+            return join_each(colour.select("node", F.col("colour").alias("component")), sizes, "component").select("node", "component", "size")
         n = left
 
 

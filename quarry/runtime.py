@@ -98,7 +98,7 @@ def join_each(rows: DataFrame, one: DataFrame, key: str, total: int | None = Non
         return rows.join(F.broadcast(one.drop("__n")), key)
     hot = F.broadcast(one.where(F.col("__n") * HOT > total).drop("__n"))
     cool = one.where(F.col("__n") * HOT <= total).drop("__n")
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool, key))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool.hint("merge"), key))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

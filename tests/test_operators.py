@@ -121,6 +121,20 @@ def test_simhash_definition():
     assert [int(x) for x in near_duplicates.fnv1a(data, np.array([0, 0, 1]), np.array([0, 1, 2]))] == [14695981039346656037, *((14695981039346656037 ^ b) * 1099511628211 % (1 << 64) for b in b"ab")]
 
 
+def test_rounds_of_cycles_broadcast_nothing(spark, monkeypatch):
+    plans = []
+
+    def stored(df, *a, keep=graph.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *a)
+
+    monkeypatch.setattr(graph, "stored", stored)
+    edges = [(i, i + 1) for i in range(20)] + [(20, 12), (5, 3), (30, 31), (31, 30), (40, 40)]
+    got = {r.node: (r.component, r["size"]) for r in graph.cycles(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {i: (3, 3) for i in (3, 4, 5)} | {i: (12, 9) for i in range(12, 21)} | {i: (30, 2) for i in (30, 31)}
+    assert sum("Join" in p for p in plans) > 3 and not [p for p in plans if "Broadcast" in p]
+
+
 def test_positions(spark):
     rng = np.random.default_rng(0)
     rows = [(f"p{i:04}", float(x)) for i, x in enumerate(rng.integers(0, 50, 500))]
