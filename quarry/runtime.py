@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,23 @@ def join_each(rows: DataFrame, one: DataFrame, key: str, total: int | None = Non
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cool.hint("merge"), key))
 
 
+#: Rows that a Python worker turns into wide rows at a time, whose texts or contents have at most so many bytes (or one row).
+SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+
+
+def slices(values: Iterable, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of stretches of *values* (texts, bytes or None) of at most *rows* values of *most* length in all, or of one value."""
+    start, held, end = 0, 0, 0
+    for i, value in enumerate(values):
+        size, end = len(value) if value is not None else 0, i + 1
+        if i > start and (i - start >= rows or held + size > most):
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < end:
+        yield start, end
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

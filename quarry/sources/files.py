@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from quarry import schema
 from quarry.functions import scalars, text
 from quarry.operators import lines
-from quarry.runtime import delete, shuffle_partitions, stored
+from quarry.runtime import delete, shuffle_partitions, slices, stored
 from quarry.sources import detect, parsers
 
 #: Bytes of a file that detection sees.
@@ -311,10 +311,12 @@ def _schema(files: DataFrame) -> str:
 
 
 def _parse(batches):
-    for pdf in batches:
-        rows = [parsers.parse(k, n, c) for k, n, c in zip(pdf["content_type"], pdf["name"], pdf["content"])]
-        found = {"p_body": [b for b, _ in rows]} | {a: [x.get(a) for _, x in rows] for a in parsers.ATTRIBUTES}
-        yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in found.items()})], axis=1)
+    for whole in batches:
+        for start, end in slices(whole["content"]):
+            pdf = whole.iloc[start:end]
+            rows = [parsers.parse(k, n, c) for k, n, c in zip(pdf["content_type"], pdf["name"], pdf["content"])]
+            found = {"p_body": [b for b, _ in rows]} | {a: [x.get(a) for _, x in rows] for a in parsers.ATTRIBUTES}
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in found.items()})], axis=1)
 
 
 def scan(spark: SparkSession, *roots: str, exclude_globs: list[str] = (), ignore_rules: str = "", prune_artefacts: bool = False, body_bytes: int | None = None, profile: str | None = None) -> DataFrame:

@@ -252,3 +252,16 @@ def test_pdf_words():
     data = b"%PDF-1.4\n1 0 obj <</Type /Page /Title (T)>> endobj\n2 0 obj <</Length 9>>\nstream\n" + shown + b"\nendstream endobj\n3 0 obj <</Filter /FlateDecode>>\nstream\n" + packed + b"\nendstream endobj\n"
     body, attrs = parsers.parse("pdf", "a.pdf", data)
     assert body == "Hello (big)\nWorld again\nHi !\ndeflated words" and attrs["title"] == "T" and attrs["page_count"] == 1
+
+
+def test_parsed_rows_are_held_a_slice_at_a_time():
+    """Of a batch of 5,000 mails, wide rows come 1,024 at a time, all and in order; large contents alone."""
+    import pandas as pd
+
+    contents = [f"Subject: s{i}\n\nx".encode() for i in range(5000)]
+    contents[7], contents[9] = b"Subject: s7\n\n" + b"y" * (9 << 20), None
+    pdf = pd.DataFrame({"content_type": "email/rfc822", "name": "a.eml", "content": contents}, index=range(3, 5003))
+    found = list(files._parse(iter([pdf])))
+    assert [len(x) for x in found][:3] == [7, 1, 1024] and max(map(len, found)) <= 1024
+    assert [t for x in found for t in x["title"]] == [None if i == 9 else f"s{i}" for i in range(5000)]
+    assert list(files._parse(iter([pdf[:0]]))) == []
